@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import documents, retrieval
+
+QUERIES = retrieval.QUERIES | documents.QUERIES
+SQL: dict[str, str] = retrieval.SQL | documents.SQL
