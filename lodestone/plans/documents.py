@@ -131,7 +131,7 @@ def _answers(spark, d):
     """Answers as predictions; gold is the same text, its first sentence, another question or none, by conversation."""
     p = chat.pairs(_talk(spark, d)).where("question is not null")
     kind = F.col("conv_id") % 4
-    gold = F.when(kind == 0, F.upper("answer")).when(kind == 1, T.first_sentence("answer")).when(kind == 2, F.col("question")).otherwise(F.lit(T.NO_ANSWER_SENTINEL))
+    gold = F.when(kind == 0, F.concat(F.lit("** "), "answer", F.lit(" !"))).when(kind == 1, T.first_sentence("answer")).when(kind == 2, F.col("question")).otherwise(F.lit(T.NO_ANSWER_SENTINEL))
     pred = F.when((kind == 3) & (F.col("turn") % 4 == 1), F.concat(F.lit("Sorry, I don't know. "), "answer")).otherwise(F.col("answer"))
     return p.select("conv_id", "turn", pred.alias("pred"), gold.alias("gold"))
 
@@ -304,7 +304,7 @@ def _f1(a, b):
 
 _METRICS = rf"""p as ({_PAIRS}),
 a as (select conv_id, turn, case when conv_id % 4 = 3 and turn % 4 = 1 then 'Sorry, I don''t know. ' || answer else answer end as pred,
-  case conv_id % 4 when 0 then upper(answer) when 1 then {_first("answer")} when 2 then question else '__NO_ANSWER__' end as gold from p where question is not null),
+  case conv_id % 4 when 0 then '** ' || answer || ' !' when 1 then {_first("answer")} when 2 then question else '__NO_ANSWER__' end as gold from p where question is not null),
 t as (select *, regexp_extract_all(lower(pred), '[a-z0-9]+') as tp, regexp_extract_all(lower(gold), '[a-z0-9]+') as tg,
   regexp_extract_all(lower({_first("pred")}), '[a-z0-9]+') as cp, regexp_extract_all(lower({_first("gold")}), '[a-z0-9]+') as cg from a),
 m as (select conv_id, turn, (tp = tg)::int::double as em, {_f1("tp", "tg")} as f1, {_f1("cp", "cg")} as concise_f1,
