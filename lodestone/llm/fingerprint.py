@@ -127,7 +127,8 @@ def with_next(rows: DataFrame, text: str, derived: str, derive: Callable[[Column
     a bucket's last is looked up in an order of the buckets alone.
     """
     low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
-    bucket = F.coalesce(F.shiftright("doc_id", BUCKET_BITS), F.lit(0).cast("long"))  # not nullable: no filter that only one reader of the shuffle has
+    first = (low or 0) >> BUCKET_BITS
+    bucket = F.coalesce(F.shiftright("doc_id", BUCKET_BITS) - F.lit(first), F.lit(0).cast("long"))  # not nullable: no filter that only one reader of the shuffle has
     w = Window.partitionBy("bucket").orderBy(F.desc("doc_id"), text)
     own = rows.withColumn("bucket", bucket)
     # plain columns, not a struct of them: that would be made before the shuffle and double it
@@ -137,7 +138,7 @@ def with_next(rows: DataFrame, text: str, derived: str, derive: Callable[[Column
     after, gone = F.struct(F.col("__text").alias(text), F.col("__derived").alias(derived)), ["bucket", "last", "before", "__text", "__derived"]
     if low is None:
         return own.withColumn("next", after).drop(*gone)
-    chain = _lower(rows.select(bucket.alias("k")).distinct(), low >> BUCKET_BITS, high >> BUCKET_BITS)
+    chain = _lower(rows.select(bucket.alias("k")).distinct(), 0, (high >> BUCKET_BITS) - first)
     heads = own.where("before is null").select(F.col("bucket").alias("lower"), F.struct(text, derived).alias("guest"))
     guests = chain.join(heads, "lower").select(F.col("k").alias("bucket"), "guest")
     return own.join(guests, "bucket", "left").withColumn("next", F.when(F.col("last"), F.col("guest")).otherwise(after)).drop("guest", *gone)

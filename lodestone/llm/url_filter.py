@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut_lineage
+from .common import ascii_lower, cut_lineage, mix
 
 #: (verdict, host, path): the rules of the query.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -28,19 +28,24 @@ def hashes(host: Column, path: Column) -> tuple[Column, Column]:
     return F.xxhash64(host, path), F.xxhash64(F.lit("second"), host, path)
 
 
+def _place(a: np.ndarray, b: np.ndarray, i: int, salt: int, m: int) -> np.ndarray:
+    """The i-th bit of each key. Levels have salts of their own: else keys that collide in one would in all."""
+    return (mix(a ^ mix(np.full(1, salt + 1, np.uint64))) + np.uint64(i) * (b | np.uint64(1))) % np.uint64(m)
+
+
 class Level:
-    def __init__(self, bits: np.ndarray, m: int, k: int):
-        self.bits, self.m, self.k = bits, m, k
+    def __init__(self, bits: np.ndarray, m: int, k: int, salt: int):
+        self.bits, self.m, self.k, self.salt = bits, m, k, salt
 
     def holds(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         out = np.ones(len(a), bool)
         for i in range(self.k):
-            at = (a + np.uint64(i) * (b | np.uint64(1))) % np.uint64(self.m)
+            at = _place(a, b, i, self.salt, self.m)
             out &= (self.bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
         return out
 
 
-def _fill(keys: DataFrame, n: int, rate: float) -> Level:
+def _fill(keys: DataFrame, n: int, rate: float, salt: int) -> Level:
     """A filter of n keys: bits are set in the tasks, words are joined by bit_or, and n * log2(1 / rate) bits come back."""
     m = max(64, int(np.ceil(n * np.log2(1 / rate) * 1.45)))
     k = max(1, round(np.log2(1 / rate)))
@@ -48,13 +53,13 @@ def _fill(keys: DataFrame, n: int, rate: float) -> Level:
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             a, b = x["a"].to_numpy().view(np.uint64), x["b"].to_numpy().view(np.uint64)
-            at = np.concatenate([(a + np.uint64(i) * (b | np.uint64(1))) % np.uint64(m) for i in range(k)])
+            at = np.concatenate([_place(a, b, i, salt, m) for i in range(k)])
             yield pd.DataFrame({"w": (at >> np.uint64(6)).astype(np.int64), "v": (np.uint64(1) << (at & np.uint64(63))).view(np.int64)})
 
     rows = keys.select("a", "b").mapInPandas(words, "w long, v long").groupBy("w").agg(F.bit_or("v").alias("v")).toPandas()
     bits = np.zeros(m // 64 + 1, np.uint64)
     bits[rows["w"].to_numpy()] = rows["v"].to_numpy().view(np.uint64)
-    return Level(bits, m, k)
+    return Level(bits, m, k, salt)
 
 
 class Cascade:
@@ -103,7 +108,7 @@ def build(listed: DataFrame, universe: DataFrame, most_bytes: int = BROADCAST_BY
     levels: list[Level] = []
     ours, theirs, n = inside, outside, r
     while n:
-        level = _fill(ours, n, rate if not levels else 0.5)
+        level = _fill(ours, n, rate if not levels else 0.5, len(levels))
         levels.append(level)
         if len(levels) > 200:
             raise RuntimeError("the cascade does not end; two keys share both hashes")
