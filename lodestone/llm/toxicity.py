@@ -7,7 +7,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
@@ -30,10 +31,19 @@ def features_of(word: str) -> list[str]:
     return [word, *(f"{word[:k]}*" for k in (4, 5, 6) if len(word) >= k)]
 
 
-def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def features_in(text: str | None) -> set[str]:
+    return {f for w in words_of(text) for f in features_of(w)}
+
+
+def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(feature, p, u): how many positive and unlabelled texts of a batch have it."""
     for b in pieces(batches):
-        found = [sorted({f for w in words_of(t) for f in features_of(w)}) for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.string()))], names=["positive", "features"])
+        found: dict[str, list[int]] = {}
+        for positive, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for f in features_in(text):
+                found.setdefault(f, [0, 0])[0 if positive else 1] += 1
+        n = np.array(list(found.values()), np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(n[:, 0]), pa.array(n[:, 1])], names=["feature", "p", "u"])
 
 
 class PuModel:
@@ -46,44 +56,32 @@ class PuModel:
         return sum(self.weights.get(f, 0.0) for f in features_of(word))
 
     def score(self, text: str | None) -> float:
-        own = {f for w in words_of(text) for f in features_of(w)}
-        return _sigmoid(self.bias + sum(sorted(self.weights.get(f, 0.0) for f in own)))
+        return _sigmoid(self.bias + sum(sorted(self.weights.get(f, 0.0) for f in features_in(text))))
 
 
 def _sigmoid(z: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit_nnpu(positive: list[list[str]], unlabelled: list[list[str]], prior: float, steps: int = 250, rate: float = 0.1, decay: float = 2e-4) -> PuModel:
+def clearness(np_: int, nu: int) -> Column:
+    """Standard errors by which a feature's share among positives exceeds that among unlabelled texts."""
+    p, u = F.col("p"), F.col("u")
+    both = (p + u) / F.lit(float(np_ + nu))
+    return (p / F.lit(float(np_)) - u / F.lit(float(nu))) / F.sqrt(F.greatest(F.lit(1e-12), both * (1 - both) * F.lit(1 / np_ + 1 / nu)))
+
+
+def fit_nnpu(positive: tuple[np.ndarray, np.ndarray, int], unlabelled: tuple[np.ndarray, np.ndarray, int], names: list[str], prior: float, steps: int = 250, rate: float = 0.1, decay: float = 2e-4) -> PuModel:
     """Logistic loss under the non-negative risk prior * R_p+ + max(0, R_u- - prior * R_p-).
 
-    Where the bracket turns negative, the step goes up its gradient instead, as the estimator demands. Features are
-    those of at least three positives whose share among positives exceeds that among unlabelled texts by SIGMAS
-    standard errors, the clearest first; most words say nothing, and the many weights of such words would only fit noise.
+    Either kind of text comes as (numbers of the features in `names`, number of the text that has each, how many texts).
+    Where the bracket turns negative, the step goes up its gradient instead, as the estimator demands.
     """
-    if not positive or not unlabelled:
+    (ip, rp, np_), (iu, ru, nu) = positive, unlabelled
+    if not np_ or not nu:
         return PuModel({}, -30.0)
-    df: dict[str, list[int]] = {}
-    for k, group in enumerate((positive, unlabelled)):
-        for doc in group:
-            for f in doc:
-                df.setdefault(f, [0, 0])[k] += 1
-    np_, nu = len(positive), len(unlabelled)
-
-    def clear(p: int, u: int) -> float:
-        both = (p + u) / (np_ + nu)
-        return (p / np_ - u / nu) / max(1e-12, both * (1 - both) * (1 / np_ + 1 / nu)) ** 0.5
-
-    ranked = sorted((f for f, (p, u) in df.items() if p >= 3 and clear(p, u) >= SIGMAS), key=lambda f: (-clear(*df[f]), f))
-    index = {f: i for i, f in enumerate(ranked[:FEATURES])}
-
-    def rows(group: list[list[str]]) -> tuple[np.ndarray, np.ndarray, int]:
-        own = [[index[f] for f in doc if f in index] for doc in group]
-        return np.concatenate([np.array(x, np.int64) for x in own] or [np.empty(0, np.int64)]), np.repeat(np.arange(len(own)), [len(x) for x in own]), len(own)
-
-    (ip, rp, _), (iu, ru, _) = rows(positive), rows(unlabelled)
-    w, bias, m, v = np.zeros(len(index) + 1), float(np.log(prior / (1 - prior))), np.zeros(len(index) + 1), np.zeros(len(index) + 1)
-    w[-1] = bias
+    size = len(names)
+    w, m, v = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
+    w[-1] = np.log(prior / (1 - prior))
     for step in range(1, steps + 1):
         zp = np.bincount(rp, w[ip], np_) + w[-1]
         zu = np.bincount(ru, w[iu], nu) + w[-1]
@@ -91,21 +89,21 @@ def fit_nnpu(positive: list[list[str]], unlabelled: list[list[str]], prior: floa
         risk = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         # derivatives by z of prior * softplus(-z_p), and of softplus(z_u) - prior * softplus(z_p)
         a, bp, bu = -prior * (1 - sp) / np_, -prior * sp / np_, su / nu
-        if risk >= 0:
-            cp, cu = a + bp, bu
-        else:
-            cp, cu = -bp, -bu
-        g = np.bincount(ip, cp[rp], len(index) + 1) + np.bincount(iu, cu[ru], len(index) + 1)
+        cp, cu = (a + bp, bu) if risk >= 0 else (-bp, -bu)
+        g = np.bincount(ip, cp[rp], size + 1) + np.bincount(iu, cu[ru], size + 1)
         g[-1] += cp.sum() + cu.sum()
         g[:-1] += decay * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
-    return PuModel({f: float(w[i]) for f, i in index.items() if abs(w[i]) > 1e-4}, float(w[-1]))
+    return PuModel({f: float(x) for f, x in zip(names, w, strict=False) if abs(x) > 1e-4}, float(w[-1]))
 
 
 def train(docs: DataFrame, labels: DataFrame, usable=None, most: int = SAMPLE) -> PuModel:
     """Fit on texts whose label is toxic = 1 (positives) and on texts of all kinds, labels unseen (unlabelled).
 
+    Features are those of at least three positives whose share among positives exceeds that among unlabelled texts by
+    SIGMAS standard errors, the clearest first; most words say nothing, and their many weights would only fit noise.
+    They are counted and chosen in Spark; the driver gets the numbers of the chosen ones in each text of the sample.
     `usable` is a condition on doc_id; only such rows take part. The class prior is the toxic share among all usable
     labelled rows. Of each kind about `most` rows are taken by a hash of doc_id, the same at every run; that is the
     only sample. No toxic row, or no rows at all, gives a model that scores every text 0.
@@ -121,10 +119,29 @@ def train(docs: DataFrame, labels: DataFrame, usable=None, most: int = SAMPLE) -
     known = marks.where((F.col("toxic") == 1) & share(pos)).select("doc_id").distinct()
     p = own.join(known, "doc_id", "left_semi").select(F.lit(1).alias("positive"), "text")
     u = own.where(share(total)).select(F.lit(0).alias("positive"), "text")
-    rows = p.unionByName(u).mapInArrow(_features, "positive int, features array<string>").toArrow()
-    flags, found = rows.column(0).to_pylist(), rows.column(1).to_pylist()
-    order = sorted(range(len(flags)), key=lambda i: (flags[i], found[i]))
-    return fit_nnpu([found[i] for i in order if flags[i]], [found[i] for i in order if not flags[i]], min(0.9, pos / n))
+    sample = p.unionByName(u)
+    sizes = {r.positive: r.n for r in sample.groupBy("positive").agg(F.count("*").alias("n")).collect()}
+    if len(sizes) < 2:
+        return PuModel({}, -30.0)
+    counts = sample.mapInArrow(_counts, "feature string, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    clear = counts.where("p >= 3").withColumn("z", clearness(sizes[1], sizes[0])).where(F.col("z") >= SIGMAS)
+    names = [r.feature for r in clear.orderBy(F.desc("z"), "feature").limit(FEATURES).select("feature").collect()]
+    index = docs.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(names)})  # at most FEATURES words
+
+    def numbers(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = index.value
+        for b in pieces(batches):
+            own = [sorted(at[f] for f in features_in(t) if f in at) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.list_(pa.int32()))], names=["positive", "ids"])
+
+    rows = sample.mapInArrow(numbers, "positive int, ids array<int>").orderBy("positive", "ids").toArrow().combine_chunks()
+
+    def group(kind: int) -> tuple[np.ndarray, np.ndarray, int]:
+        ids = rows.filter(pa.compute.equal(rows["positive"], kind))["ids"].combine_chunks()
+        lengths = pa.compute.list_value_length(ids).to_numpy()
+        return ids.flatten().to_numpy().astype(np.int64), np.repeat(np.arange(len(ids)), lengths), len(ids)
+
+    return fit_nnpu(group(1), group(0), names, min(0.9, pos / n))
 
 
 def score_texts(docs: DataFrame, model: PuModel, threshold: float = THRESHOLD) -> DataFrame:

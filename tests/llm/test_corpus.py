@@ -311,9 +311,9 @@ def test_held_out_toxicity(spark, odd):
 
 
 def test_the_risk_never_goes_negative_on_separable_data():
-    p = [["bad", f"n{i}"] for i in range(40)]
-    u = [[f"n{i}"] for i in range(300)] + [["bad", f"n{i}"] for i in range(30)]
-    m = toxicity.fit_nnpu(p, u, 0.1)
+    """Feature 0 marks the positives and the tenth of the unlabelled texts that are like them."""
+    at = lambda n, marked: (np.concatenate([np.zeros(marked, int), np.arange(n) % 40 + 1]), np.concatenate([np.arange(marked), np.arange(n)]), n)
+    m = toxicity.fit_nnpu(at(40, 40), at(330, 30), ["bad", *(f"n{i}" for i in range(40))], 0.1)
     assert m.score("bad") > 0.5 > m.score("fine")
 
 
