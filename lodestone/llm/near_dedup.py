@@ -124,10 +124,11 @@ def _rare_shingles(crowd: DataFrame, texts: DataFrame, percent: int) -> DataFram
     `shared` counts the shingles that any other document of the crowd has.
     """
     own = texts.join(crowd.select(F.col("doc_id").alias("id")), "id", "left_semi")
-    own = cut_lineage(own.mapInArrow(_shingles, "doc_id long, keys array<long>, bits array<long>"))
-    rows = own.select("doc_id", F.explode("keys").alias("key"))
+    own = own.mapInArrow(_shingles, "doc_id long, keys array<long>, bits array<long>")
+    own = cut_lineage(own.join(crowd, "doc_id"))  # here, a row for each document; not below, with one for each shingle
+    rows = own.select("doc_id", "root", "n_shingles", F.explode("keys").alias("key"))
     often = rows.groupBy("key").agg(F.count("*").alias("often"))
-    rows = rows.join(often, "key").join(crowd, "doc_id")
+    rows = rows.join(often, "key")
     doc = Window.partitionBy("doc_id")
     rows = rows.withColumn("shared", F.count(F.when(F.col("often") > 1, 1)).over(doc))
     first = F.expr(f"n_shingles - cast(ceil({percent} * n_shingles / 100D) as bigint) + 1")
