@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +14,8 @@ from ..functions.text import terms
 from .dense import top_by
 
 K1, B = 1.2, 0.75
+#: Queries and (query, term) pairs that are sent to the tasks at once, and documents that a task scores at once.
+BLOCK, PAIRS, STEP = 4096, 500_000, 1024
 
 
 def corpus_terms(docs: DataFrame) -> DataFrame:
@@ -42,6 +49,64 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, mode: str = "any", share:
     return top_by(hits.select("qid", "id", "score", "matched"), k, ["qid"], [F.desc(F.round("score", 9)), F.asc("id")])
 
 
+def bm25_long(docs: DataFrame, queries: DataFrame, k: int, block: int = BLOCK, pairs: int = PAIRS) -> DataFrame:
+    """(qid, id, score, rank) as bm25() in mode `any`, for queries of any length, such as whole documents.
+
+    Such queries share terms with nearly every document, so joining them term by term makes rows by the thousand for
+    a document. Here queries go out in blocks of a bounded number of terms, with their idf; each task scores its
+    documents where they lie against a whole block and keeps k rows a query, so only those are shuffled.
+    """
+    own, wanted = corpus_terms(docs), query_terms(queries).select("qid", "term")
+    n, avgdl = own.agg(F.count("*"), F.avg("dl")).first()
+    df = own.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    idf = wanted.join(df, "term").select("qid", "term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    sizes = wanted.agg(F.count("*").alias("pairs"), F.count_distinct("qid").alias("queries")).first()
+    parts = max(sizes.pairs // pairs, sizes.queries // block) + 1
+    kinds = {"qid": queries.schema["qid"].dataType.simpleString(), "id": docs.schema["id"].dataType.simpleString()}
+    result = None
+    for i in range(parts):
+        rows = (idf if parts == 1 else idf.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == i)).toPandas()
+        if rows.empty:
+            continue
+        qids, q = np.unique(rows["qid"].to_numpy(), return_inverse=True)
+        words, t = np.unique(rows["term"].to_numpy().astype(object), return_inverse=True)
+        order = np.argsort(t, kind="stable")
+        bounds, weight = np.searchsorted(t[order], np.arange(len(words) + 1)), np.zeros(len(words))
+        weight[t] = rows["idf"].to_numpy()
+        sent = docs.sparkSession.sparkContext.broadcast((qids, pa.array(words, pa.string()), q[order], bounds, weight))
+
+        def nearest(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            qids, words, askers, bounds, weight = sent.value
+            ids, best, kind = None, None, None
+            for whole in batches:
+                for at in range(0, whole.num_rows, STEP):
+                    b = whole.slice(at, STEP)
+                    dl, kind = b.column(2).to_numpy(zero_copy_only=False), b.schema.field(0).type
+                    term = pc.index_in(b.column(1).flatten(), value_set=words).fill_null(-1).to_numpy(zero_copy_only=False)
+                    doc = np.repeat(np.arange(b.num_rows), dl)[term >= 0]
+                    cell, tf = np.unique(term[term >= 0].astype(np.int64) * STEP + doc, return_counts=True)
+                    term, doc = cell // STEP, cell % STEP
+                    part = weight[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[doc] / avgdl))
+                    scores = np.zeros((b.num_rows, len(qids)))
+                    starts = np.flatnonzero(np.diff(term, prepend=-1))
+                    for lo, hi in zip(starts, [*starts[1:], len(term)], strict=True):
+                        scores[np.ix_(doc[lo:hi], askers[bounds[term[lo]] : bounds[term[lo] + 1]])] += part[lo:hi, None]
+                    new = np.broadcast_to(b.column(0).to_numpy(zero_copy_only=False), (len(qids), b.num_rows))
+                    ids = new if ids is None else np.concatenate([ids, new], axis=1)
+                    best = scores.T if best is None else np.concatenate([best, scores.T], axis=1)
+                    keep = np.lexsort((ids, -np.round(best, 9)), axis=1)[:, :k]
+                    ids, best = np.take_along_axis(ids, keep, 1), np.take_along_axis(best, keep, 1)
+            if best is not None:
+                row, col = np.nonzero(best > 0)
+                yield pa.RecordBatch.from_arrays([pa.array(qids[row]), pa.array(ids[row, col], kind), pa.array(best[row, col])], names=["qid", "id", "score"])
+
+        found = own.select("id", "terms", "dl").mapInArrow(nearest, f"qid {kinds['qid']}, id {kinds['id']}, score double")
+        result = found if result is None else result.unionByName(found)
+    if result is None:
+        result = docs.select(F.lit(None).cast(kinds["qid"]).alias("qid"), "id", F.lit(0.0).alias("score")).limit(0)
+    return top_by(result, k, ["qid"], [F.desc(F.round("score", 9)), F.asc("id")])
+
+
 def phrase(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """(qid, id, n): how often the terms of a query stand in a document in its order, one after another.
 

@@ -56,7 +56,7 @@ def _both(spark, d):
     c, q = _vectors(spark, d)
     docs, _ = _texts(spark, d)
     asked = q.join(docs.withColumnRenamed("id", "qid"), "qid").select("qid", "text")
-    return dense.search(c, q, 20), lexical.bm25(docs, _openings(asked), 20)
+    return dense.search(c, q, 20), lexical.bm25_long(docs, asked, 20)
 
 
 def hybrid_fusion(spark, d):

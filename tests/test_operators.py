@@ -4,11 +4,13 @@ import zipfile
 
 import numpy as np
 import pytest
+from compare import connect, rows, sql_rows
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.functions import urls
 from lodestone.operators import catalog, chat, chunk, context, dense, evaluate, fuse, lexical, settings, structure
+from lodestone.plans import registry
 from lodestone.sources import files
 from lodestone.streaming import events
 
@@ -195,3 +197,19 @@ def test_ingestion_drops_repeated_contents(spark, tmp_path):
 
 def test_vectors_of_equal_texts_are_equal():
     assert np.array_equal(chunk.text_vector("a b"), chunk.text_vector("A  b"))
+
+
+def test_bm25_of_long_queries_equals_the_join(spark):
+    words = "red fox hen jumps over lazy dog again and blue".split()
+    docs = spark.createDataFrame([(i, " ".join(words[(i * j) % 10] for j in range(i % 13))) for i in range(60)] + [(60, None), (61, "zebra")], "id long, text string")
+    q = docs.where("id % 7 = 0").selectExpr("cast(id as int) as qid", "text")
+    want = {(r.qid, r.id, r["rank"], round(r.score, 9)) for r in lexical.bm25(docs, q, 5).collect()}
+    for pairs in (5, 10**6):
+        assert {(r.qid, r.id, r["rank"], round(r.score, 9)) for r in lexical.bm25_long(docs, q, 5, pairs=pairs).collect()} == want
+    assert lexical.bm25_long(docs, q.limit(0), 5).count() == 0
+
+
+def test_hybrid_fusion_asks_whole_texts(spark, small):
+    """The given SQL cuts the questions to three terms; without that cut it gives the rows for whole texts."""
+    sql = registry.SQL["hybrid_fusion"]
+    assert rows(registry.QUERIES["hybrid_fusion"](spark, small)) == sql_rows(connect(small), sql.replace("[1:3]", ""))
