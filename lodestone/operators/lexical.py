@@ -110,11 +110,16 @@ def bm25_long(docs: DataFrame, queries: DataFrame, k: int, block: int = BLOCK, p
 def phrase(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """(qid, id, n): how often the terms of a query stand in a document in its order, one after another.
 
-    Terms meet at document position minus query position; a start at which all meet is a match. Queries without terms
-    match nothing.
+    Each query goes out under its rarest term in docs only; where a document has that term, the terms from the start
+    that it implies are compared with the whole query. Queries without terms, or with one that no document has, match
+    nothing.
     """
-    t = terms("text")
-    asked = queries.select("qid", F.size(t).alias("n_terms"), F.posexplode(t).alias("offset", "term"))
-    at = corpus_terms(docs).select("id", F.posexplode("terms").alias("pos", "term"))
-    met = at.join(asked, "term").groupBy("qid", "id", (F.col("pos") - F.col("offset")).alias("start"), "n_terms").agg(F.count("*").alias("n"))
-    return met.where("n = n_terms").groupBy("qid", "id").agg(F.count("*").alias("n"))
+    own = corpus_terms(docs).select("id", "terms")
+    asked = queries.select("qid", terms("text").alias("wanted")).where(F.size("wanted") > 0)
+    counts = own.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    rare = asked.select("qid", F.posexplode("wanted").alias("offset", "term")).join(counts, "term")
+    rare = rare.groupBy("qid").agg(F.min_by(F.struct("term", "offset"), F.struct("n", "offset")).alias("r")).select("qid", "r.*")
+    at = own.select("id", F.posexplode("terms").alias("pos", "term")).join(F.broadcast(rare), "term")
+    starts = at.select("qid", "id", (F.col("pos") - F.col("offset")).alias("start")).where("start >= 0")
+    met = starts.join(asked.withColumn("n_terms", F.size("wanted")), "qid").join(own, "id")
+    return met.where(F.slice("terms", F.col("start") + 1, F.col("n_terms")) == F.col("wanted")).groupBy("qid", "id").agg(F.count("*").alias("n"))

@@ -42,14 +42,8 @@ def _bm25(mode):
     return run
 
 
-def _openings(q):
-    """The first three terms of each item, as a query."""
-    return q.select("qid", F.array_join(F.slice(lexical.terms("text"), 1, 3), " ").alias("text"))
-
-
 def bm25_phrase(spark, d):
-    docs, q = _texts(spark, d)
-    return lexical.phrase(docs, _openings(q))
+    return lexical.phrase(*_texts(spark, d))
 
 
 def _both(spark, d):
