@@ -96,7 +96,7 @@ def _blocks(spark, d):
     k = F.col("i") % 40
     wide, right = k % 13 == 0, k % 2 == 1
     x0 = F.when(right & ~wide, 320.0).otherwise(50.0)
-    return lines.select("doc_id", F.floor(F.col("i") / 40).cast("int").alias("page"), F.lit(600.0).alias("page_width"), F.lit(800.0).alias("page_height"), x0.alias("x0"), F.when(wide, 550.0).otherwise(x0 + 230).alias("x1"), (k * 20.0).alias("y0"), (k * 20.0 + 15).alias("y1"), F.substring("text", 1, 60).alias("text"))
+    return lines.select("doc_id", F.floor(F.col("i") / 40).cast("int").alias("page"), F.lit(600.0).alias("page_width"), F.lit(800.0).alias("page_height"), x0.alias("x0"), F.when(wide, 550.0).otherwise(x0 + 230).alias("x1"), (k * 20.0).alias("y0"), (k * 20.0 + 15).alias("y1"), "text")
 
 
 def pdf_gutters(spark, d):

@@ -227,3 +227,10 @@ def test_bm25_phrase_asks_whole_items(spark, tmp_path):
     spark.createDataFrame([(1, "so a b c d e"), (2, "a b c x e")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(7, "A b c d e")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert [tuple(r) for r in registry.QUERIES["bm25_phrase"](spark, str(tmp_path)).collect()] == [(7, 1, 1)]
+
+
+def test_running_headers_compare_whole_lines(spark, tmp_path):
+    long = "This program is free software; you can redistribute it and or modify it "
+    lines = [f"{long}{i}" if i % 40 == 0 else f"{long}always" if i % 40 == 1 else f"line {i}" for i in range(120)]
+    spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [(r.doc_id, r.text, r.n) for r in registry.QUERIES["pdf_running_headers"](spark, str(tmp_path)).collect()] == [(1, f"{long}always", 3)]
