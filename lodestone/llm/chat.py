@@ -9,7 +9,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -83,12 +83,25 @@ def format_turn(role: str | None, parts: list[dict] | None, first: int = 0) -> t
 
 
 def read_turns(formatted: str) -> Iterator[tuple[str, str, bool]]:
-    """(role, text, learned) of each turn of a formatted text; placeholders stay in the text."""
+    """(role, text, learned) of each turn of a formatted text; placeholders stay in the text, read_parts() tells them apart."""
     for m in re.finditer(r"<\|im_start\|>((?:[^\\\n]|\\.)*)\n(.*?)<\|im_end\|>\n", formatted, re.S):
         role = unescape(m[1])
         yield role, unescape(m[2]), role in LEARNED
 
 
+def read_parts(formatted: str) -> Iterator[tuple[str, list[tuple[str, str | int]], bool]]:
+    """(role, parts, learned) of each turn: ("text", text) or (kind, ordinal); a text that looks like a placeholder is text."""
+    for m in re.finditer(r"<\|im_start\|>((?:[^\\\n]|\\.)*)\n(.*?)<\|im_end\|>\n", formatted, re.S):
+        role, parts = unescape(m[1]), []
+        for i, piece in enumerate(re.split(r"(<\|(?:image|audio|document):\d+\|>)", m[2])):
+            if i % 2:
+                kind, n = piece[2:-2].split(":")
+                parts.append((kind, int(n)))
+            elif piece:
+                parts.append(("text", unescape(piece)))
+        yield role, parts, role in LEARNED
+
+
 TURN = (
     "conv_id long, turn long, formatted string, loss_start int, loss_end int, "
     "attachments array<struct<ordinal:int,kind:string,ref:string,tokens:int>>, n_tokens long"
@@ -106,23 +119,36 @@ def text_parts(text: str | Column = "text") -> Column:
     )
 
 
+def number_attachments(turns: DataFrame) -> DataFrame:
+    """turns (conv_id, turn, role, parts) with `first`, the count of attachments in earlier turns of the conversation.
+
+    Repeated turns are ordered by role and parts. This shuffles the turns by conversation; texts alone don't need it.
+    """
+    own = F.coalesce(F.size(F.filter("parts", lambda p: F.coalesce(p["kind"], F.lit("")).isin("image", "audio", "document"))), F.lit(0))
+    earlier = Window.partitionBy("conv_id").orderBy("turn", "role", "parts").rowsBetween(Window.unboundedPreceding, -1)
+    counted = turns.withColumn("first", F.greatest(own, F.lit(0)))
+    return counted.withColumn("first", F.coalesce(F.sum("first").over(earlier), F.lit(0)))
+
+
 def format_turns(turns: DataFrame) -> DataFrame:
     """A formatted segment per row of turns (conv_id, turn, role, parts), made where the row lies, without a shuffle.
 
     Segments of a conversation put together in turn order are its formatted text. Loss offsets are within the segment
-    and empty for roles that are not learned. Attachment ordinals count within the turn. Null roles, parts and texts
-    count as empty; a part of an unknown kind is an error. Other columns are ignored.
+    and empty for roles that are not learned. Attachment ordinals count from the column `first` of number_attachments(),
+    without it from 0 in each turn. Null roles, parts and texts count as empty; a part of an unknown kind is an error.
+    Other columns are ignored.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = b.to_pydict()
-            made = [format_turn(r, p) for r, p in zip(rows["role"], rows["parts"], strict=True)]
+            made = [format_turn(*x) for x in zip(rows["role"], rows["parts"], rows["first"], strict=True)]
             kinds = pa.list_(pa.struct([("ordinal", pa.int32()), ("kind", pa.string()), ("ref", pa.string()), ("tokens", pa.int32())]))
             cols = [b.column(0), b.column(1)] + [pa.array([m[i] for m in made], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int32(), kinds, pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, names=["conv_id", "turn", "formatted", "loss_start", "loss_end", "attachments", "n_tokens"])
 
-    own = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), "parts")
+    first = (F.col("first") if "first" in turns.columns else F.lit(0)).cast("int").alias("first")
+    own = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), "parts", first)
     return own.mapInArrow(run, TURN)
 
 
@@ -130,7 +156,8 @@ DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Per conversation, digests of what the formatted segments say when they are parsed again.
+    """Per conversation, digests of what the formatted segments say when they are parsed again, and of what the loss
+    offsets cut out of them.
 
     Segments are sorted by (conv_id, turn, text) inside hash partitions and streamed through running digests, so a
     conversation of any length takes constant memory; a digest over one text in order can't be split further. Rows
@@ -146,16 +173,16 @@ def read_back(formatted: DataFrame) -> DataFrame:
                 done.append((state[0], state[1], state[2].hexdigest(), state[3], state[4].hexdigest(), state[5], state[6]))
 
         for b in batches:
-            for conv, text, tokens in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(6).to_pylist(), strict=True):
+            for conv, text, start, end, tokens in zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 4, 6)), strict=True):
                 if state is None or state[0] != conv:
                     close()
                     state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
-                for role, said, learned in read_turns(text):
+                for role, said, _ in read_turns(text):
                     state[1] += 1
                     state[2].update(f"{role}\n{said}\n".encode())
-                    if learned:
-                        state[3] += len(said)
-                        state[4].update(said.encode())
+                loss = unescape(text[start:end])
+                state[3] += len(loss)
+                state[4].update(loss.encode())
                 state[5] += len(text)
                 state[6] += tokens
             if len(done) >= 1000:

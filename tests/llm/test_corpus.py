@@ -82,6 +82,19 @@ def test_chat_parts_and_round_trip(spark):
     assert chat.read_back(chat.format_turns(turns.withColumn("parts", chat.text_parts()))).count() == 2
 
 
+def test_chat_loss_is_read_from_the_mask_and_attachments_count_through_a_conversation(spark):
+    rows = [(1, 0, "user", [("image", None)]), (1, 1, "assistant", [("text", "<|image:0|> said"), ("image", None)]), (1, 2, "user", [("audio", None), ("text", "x")]), (2, 0, "user", [("document", None)])]
+    turns = spark.createDataFrame([(c, t, r, [(k, x, None, 14, 14, 1.0, 1) for k, x in parts]) for c, t, r, parts in rows], f"conv_id long, turn long, role string, parts array<{chat.PART}>")
+    made = chat.format_turns(chat.number_attachments(turns))
+    got = {(r.conv_id, r.turn): r for r in made.collect()}
+    assert {k: [a.ordinal for a in r.attachments] for k, r in got.items()} == {(1, 0): [0], (1, 1): [1], (1, 2): [2], (2, 0): [0]}
+    assert list(chat.read_parts(got[1, 1].formatted)) == [("assistant", [("text", "<|image:0|> said"), ("image", 1)], True)]
+    loss = lambda df: {r.conv_id: (r.loss_chars, r.loss_sha256) for r in chat.read_back(df).collect()}
+    want = "<|image:0|> said<|image:1|>"
+    assert loss(made)[1] == (len(want), hashlib.sha256(want.encode()).hexdigest())
+    assert loss(made.withColumn("loss_end", F.col("loss_start")))[1] == (0, hashlib.sha256(b"").hexdigest())
+
+
 # 3: decontamination
 
 
