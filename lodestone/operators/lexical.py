@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import terms
@@ -18,34 +18,45 @@ K1, B = 1.2, 0.75
 BLOCK, PAIRS, STEP = 4096, 500_000, 1024
 
 
-def corpus_terms(docs: DataFrame) -> DataFrame:
+def kept(stop: Sequence[str]) -> Column:
+    """The terms of `text` that are no stop words."""
+    return F.filter(terms("text"), lambda x: ~x.isin(list(stop))) if stop else terms("text")
+
+
+def corpus_terms(docs: DataFrame, stop: Sequence[str] = ()) -> DataFrame:
     """(id, terms, dl) of docs (id, text); null texts have no terms."""
-    return docs.select("id", F.coalesce(terms("text"), F.array().cast("array<string>")).alias("terms")).withColumn("dl", F.size("terms"))
+    return docs.select("id", F.coalesce(kept(stop), F.array().cast("array<string>")).alias("terms")).withColumn("dl", F.size("terms"))
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
+def query_terms(queries: DataFrame, stop: Sequence[str] = ()) -> DataFrame:
     """(qid, term, n_terms): the distinct terms of queries (qid, text)."""
-    t = F.array_distinct(terms("text"))
+    t = F.array_distinct(kept(stop))
     return queries.select("qid", F.explode(t).alias("term"), F.size(t).alias("n_terms"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int, mode: str = "any", share: int | None = None) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, k: int, mode: str = "any", share: int | None = None, use_phrase: bool = False, stop: Sequence[str] = ()) -> DataFrame:
     """(qid, id, score, matched, rank): the k best of docs (id, text) for each of queries (qid, text).
 
     mode `any` needs one term, `all` every term, `balanced` half of them; `share` (percent, rounded down, one at
     least) takes precedence. idf is ln(1 + (N - df + 0.5) / (df + 0.5)); statistics cover all docs. Only terms of a
-    query leave the documents, counted before they are shuffled; ties go to the smaller id.
+    query leave the documents, counted before they are shuffled; ties go to the smaller id. Terms in `stop` (lower
+    case) don't count in queries, documents or their lengths. With `use_phrase` a document that holds the whole query as
+    a phrase, stop words included, gets the phrase's score added: the idf of all its terms, with the phrase's count as tf.
     """
-    own, wanted = corpus_terms(docs), query_terms(queries)
+    own, wanted = corpus_terms(docs, stop), query_terms(queries, stop)
     stats = own.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     asked = wanted.select("term").distinct()
     tf = own.select("id", "dl", F.explode("terms").alias("term")).join(asked, "term").groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.crossJoin(F.broadcast(stats)).select("term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    hits = wanted.join(idf, "term").join(tf, "term").groupBy("qid", "id", "n_terms").agg(F.sum(part).alias("score"), F.count("*").alias("matched"))
+    part = lambda tf: F.col("idf") * F.col(tf) * (K1 + 1) / (F.col(tf) + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    hits = wanted.join(idf, "term").join(tf, "term").groupBy("qid", "id", "n_terms").agg(F.sum(part("tf")).alias("score"), F.count("*").alias("matched"))
     percent = share if share else {"any": 0, "all": 100, "balanced": 50}[mode]
     hits = hits.where(F.col("matched") >= F.greatest(F.lit(1), F.floor(F.col("n_terms") * percent / 100)))
+    if use_phrase:
+        whole = queries.select("qid", F.explode(kept(stop)).alias("term")).join(idf, "term").groupBy("qid", "avgdl").agg(F.sum("idf").alias("idf"))
+        found = phrase(docs, queries).join(whole, "qid").join(own.select("id", "dl"), "id").select("qid", "id", part("n").alias("more"))
+        hits = hits.join(found, ["qid", "id"], "left").withColumn("score", F.col("score") + F.coalesce("more", F.lit(0.0)))
     return top_by(hits.select("qid", "id", "score", "matched"), k, ["qid"], [F.desc(F.round("score", 9)), F.asc("id")])
 
 

@@ -234,3 +234,13 @@ def test_running_headers_compare_whole_lines(spark, tmp_path):
     lines = [f"{long}{i}" if i % 40 == 0 else f"{long}always" if i % 40 == 1 else f"line {i}" for i in range(120)]
     spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert [(r.doc_id, r.text, r.n) for r in registry.QUERIES["pdf_running_headers"](spark, str(tmp_path)).collect()] == [(1, f"{long}always", 3)]
+
+
+def test_bm25_phrase_clause_and_stop_words(spark):
+    docs = spark.createDataFrame([(1, "fox the red hen"), (2, "the red fox hen"), (3, "red hat")], "id long, text string")
+    q = spark.createDataFrame([(0, "red fox")], "qid long, text string")
+    plain = {r.id: (r["rank"], r.score) for r in lexical.bm25(docs, q, 10).collect()}
+    more = {r.id: (r["rank"], r.score) for r in lexical.bm25(docs, q, 10, use_phrase=True).collect()}
+    assert [plain[i][0] for i in (1, 2)] == [1, 2] and [more[i][0] for i in (1, 2)] == [2, 1]
+    assert more[2][1] == pytest.approx(2 * plain[2][1]) and more[1] == (2, plain[1][1])
+    assert {(r.id, r.matched) for r in lexical.bm25(docs, q, 10, "all", stop=["red", "the"]).collect()} == {(1, 1), (2, 1)}
