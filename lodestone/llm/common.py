@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,6 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out evenly if it comes in fewer pieces than there are cores, as one small file does."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 
@@ -34,19 +41,61 @@ def bucket_of(key: Column | str, n: int) -> Column:
     return F.crc32(F.col(key).cast("string") if isinstance(key, str) else key.cast("string")) % n
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """The name, with as many underscores before it as keep it apart from df's columns, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of about `rows` rows bound what a Python worker holds."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which the driver and all executors see.
+
+    Where it is unset, a local master gets a temporary folder; a cluster is an error, as no local folder would do there."""
+    own = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not own:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        own = tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(own)
+    return own.rstrip("/")
+
 
-    The folder is the one in spark.checkpoint.dir; only where that is unset (tests, a laptop) a temporary one is made."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint"))
-    return df.checkpoint(eager=True)
+class Scratch:
+    """Tables that are written to the shared folder and read again. They cut lineage, outlive lost executors, and go
+    when they are superseded, so that rounds of a job take no more disk than one round."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.paths = spark, f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}", {}
+
+    def keep(self, name: str, df: DataFrame) -> DataFrame:
+        """df written and read again; an earlier table of that name is dropped after that."""
+        path, old = f"{self.folder}/{name}-{len(self.paths)}-{uuid.uuid4().hex[:8]}", self.paths.get(name)
+        df.write.parquet(path)
+        self.paths[name] = path
+        if old:
+            self._delete(old)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            if path := self.paths.pop(name, None):
+                self._delete(path)
+
+    def _delete(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read from there; the table stays as long as the folder."""
+    return Scratch(df.sparkSession).keep("table", df)
 
 
 def pieces(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = 4_000_000) -> Iterator[pa.RecordBatch]:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import M2, cut_lineage, hash_words, mix, pieces, shingle_hashes, small_batches
+from .common import M2, Scratch, hash_words, mix, pieces, shingle_hashes, small_batches
 from .components import components
 
 #: Coordinates of a sketch; bands of ROWS of them. Two sets with Jaccard 0.75 share a band with 1 - (1 - 0.75**4)**32,
@@ -76,147 +77,221 @@ def _sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _linked(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """The pairs (a, b) whose whole shingle sets reach the similarity; a text that recurs in a batch is cut up once."""
+    """The pairs (a, ta, b, tb) with texts in columns 4 and 5 whose whole shingle sets reach the similarity; a set that
+    recurs is cut up once."""
     for b in batches:
-        texts: dict[int, np.ndarray] = {}
+        sets: dict[tuple, np.ndarray] = {}
         keep = []
-        cols = [b.column(i) for i in range(4)]
+        cols = b.columns
         for i in range(b.num_rows):
             pair = []
-            for who, what in ((0, 2), (1, 3)):
-                k = cols[who][i].as_py()
-                if k not in texts:
-                    if len(texts) > 2000:
-                        texts.clear()
-                    texts[k] = shingle_hashes(hash_words(cols[what][i].as_buffer().to_pybytes()))
-                pair.append(texts[k])
+            for who, tag, text in ((0, 1, 4), (2, 3, 5)):
+                k = (cols[who][i].as_py(), cols[tag][i].as_py())
+                if k not in sets:
+                    if len(sets) > 2000:
+                        sets.clear()
+                    sets[k] = shingle_hashes(hash_words(cols[text][i].as_buffer().to_pybytes()))
+                pair.append(sets[k])
             same = len(np.intersect1d(*pair, assume_unique=True))
             keep.append(100 * same >= percent * (len(pair[0]) + len(pair[1]) - same))
-        yield pa.RecordBatch.from_arrays([cols[0], cols[1]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        yield pa.RecordBatch.from_arrays(cols[:4], names=["a", "ta", "b", "tb"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
-    return both.mapInArrow(lambda it: _linked(it, percent), "a long, b long")
+    """b's texts come first, so that the join with the few a's, which may have very many pairs, is one that adaptive
+    execution can split."""
+    one, other = (texts.select(F.col("id").alias(s), F.col("tag").alias(f"t{s}"), F.col("text").alias(f"text_{s}")) for s in "ab")
+    both = pairs.join(other, ["b", "tb"]).join(one, ["a", "ta"]).select("a", "ta", "b", "tb", "text_a", "text_b")
+    return both.mapInArrow(lambda it: _linked(it, percent), "a long, ta long, b long, tb long")
 
 
-#: 64-bit words of a set's bitmap, which has a bit for each residue of the hashes.
-BITMAP = 16
+def _tagged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, tag, text): each text with the digest of its set, which tells the rows of one id apart."""
+    for b in pieces(batches):
+        sets = _sets(b.column(1).cast(pa.large_binary()).to_pylist())
+        tags = np.array([np.add.reduce(mix(x ^ np.uint64(0xA5A5))) if len(x) else 0 for x in sets], np.uint64)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tags.view(np.int64)), b.column(1)], names=["id", "tag", "text"])
 
 
-def _shingles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in pieces(batches, most=1_000_000):
-        sets = _sets(b.column(1).cast(pa.large_binary()).to_pylist())
-        bits = np.zeros((len(sets), BITMAP), np.uint64)
-        for i, x in enumerate(sets):
-            np.bitwise_or.at(bits[i], (x >> np.uint64(6)) % np.uint64(BITMAP), np.uint64(1) << (x & np.uint64(63)))
-        keys = pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([b.column(0), keys, pa.array(list(bits.view(np.int64)), pa.list_(pa.int64()))], names=["doc_id", "keys", "bits"])
+#: Slots of the table that says how common a shingle is; two shingles of one slot look as common as both.
+SLOTS = 1 << 20
 
 
-def _rare_shingles(crowd: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The keys under which any two documents of the crowd meet if their similarity reaches the percentage.
+def _slot_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in pieces(batches):
+        x = np.concatenate([np.empty(0, np.uint64), *_sets(b.column(b.schema.get_field_index("text")).cast(pa.large_binary()).to_pylist())])
+        slots, n = np.unique(x & np.uint64(SLOTS - 1), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(slots.view(np.int64)), pa.array(n)], names=["slot", "n"])
 
-    With shingles put into one order for all, rarest first, two such sets share one of their first
-    n - ceil(percent * n / 100) + 1. A passage that everyone quotes comes last in that order and so makes few pairs.
-    `shared` counts the shingles that any other document of the crowd has.
-    """
-    own = texts.join(crowd.select(F.col("doc_id").alias("id")), "id", "left_semi")
-    own = own.mapInArrow(_shingles, "doc_id long, keys array<long>, bits array<long>")
-    own = cut_lineage(own.join(crowd, "doc_id"))  # here, a row for each document; not below, with one for each shingle
-    rows = own.select("doc_id", "root", "n_shingles", F.explode("keys").alias("key"))
-    often = rows.groupBy("key").agg(F.count("*").alias("often"))
-    rows = rows.join(often, "key")
-    doc = Window.partitionBy("doc_id")
-    rows = rows.withColumn("shared", F.count(F.when(F.col("often") > 1, 1)).over(doc))
-    first = F.expr(f"n_shingles - cast(ceil({percent} * n_shingles / 100D) as bigint) + 1")
-    rows = rows.withColumn("place", F.row_number().over(doc.orderBy("often", "key"))).where((F.col("place") <= first) & (F.col("often") > 1))
-    return rows.join(own.select("doc_id", "bits"), "doc_id").select("key", "doc_id", "root", "n_shingles", "shared", "bits")
-
-
-def _across_roots(met: DataFrame, percent: int) -> DataFrame:
-    """The pairs that meet under a key, lie in different components and can reach the similarity.
-
-    At most min(shared) shingles can be in both sets, and at least as many are only in one set as its bitmap has bits
-    that the other's lacks; pairs which these exact bounds rule out are not made.
-    """
-    bitmap = "bits" in met.columns
-    x, y = (met.select("key", F.col("doc_id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in met.columns if c not in ("key", "doc_id")]) for s in "ab")
-    near = f"a < b and root_a <> root_b and {100 + percent} * least(shared_a, shared_b) >= {percent} * (n_shingles_a + n_shingles_b)"
-    if bitmap:
-        for s, t in ("ab", "ba"):
-            only = " + ".join(f"bit_count(get(bits_{s}, {i}) & ~get(bits_{t}, {i}))" for i in range(BITMAP))
-            near += f" and {100 + percent} * (n_shingles_{s} - ({only})) >= {percent} * (n_shingles_a + n_shingles_b)"
-    return x.join(y, (x["key"] == y["key"]) & F.expr(near)).select("a", "b").distinct()
 
+def _need(a: str, b: str, percent: int) -> str:
+    """SQL: the shingles that sets of sizes a and b share at least if they are as similar as percent says."""
+    return f"(({percent} * ({a} + {b}) + {99 + percent}) div {100 + percent})"
 
-def near_duplicates(docs: DataFrame, percent: int = 75, bucket: int = 32) -> DataFrame:
+
+def _prefixes(crowd: DataFrame, percent: int) -> DataFrame:
+    """(key, place, shared) and the columns of crowd but its text: of every document the shingles that any partner must
+    share one of, rarest first by one order for all.
+
+    Of n shingles a partner shares ceil(percent * n / 100) or more, so one of the first n - that + 1. `shared` counts
+    those that may occur in a second document; a shingle that can't is left out, but keeps its place. A passage that
+    everyone quotes comes last in the order.
+    """
+    counted = crowd.mapInArrow(_slot_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    common = np.zeros(SLOTS, np.int64)  # at most SLOTS numbers, whatever the crowd's size
+    common[counted["slot"].to_numpy()] = counted["n"].to_numpy()
+    sent = crowd.sparkSession.sparkContext.broadcast(common)
+
+    def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, most=1_000_000):
+            at = b.schema.get_field_index("text")
+            keys, places, shared = [], [], []
+            for x in _sets(b.column(at).cast(pa.large_binary()).to_pylist()):
+                often = sent.value[(x & np.uint64(SLOTS - 1)).astype(np.int64)]
+                order = np.lexsort((x, often))[: len(x) - -(-percent * len(x) // 100) + 1]
+                rare = often[order] > 1
+                keys.append(x[order][rare].view(np.int64))
+                places.append(np.flatnonzero(rare) + 1)
+                shared.append(int((often > 1).sum()))
+            rows = np.repeat(np.arange(b.num_rows), [len(k) for k in keys])
+            rest = b.select([c for c in b.schema.names if c != "text"]).take(pa.array(rows))
+            more = [np.concatenate(c) if c else np.empty(0, np.int64) for c in (keys, places)] + [np.array(shared, np.int64)[rows]]
+            yield pa.RecordBatch.from_arrays([*rest.columns, *map(pa.array, more)], names=[*rest.schema.names, "key", "place", "shared"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in crowd.schema.fields if f.name != "text")
+    return crowd.mapInArrow(emit, f"{kinds}, key long, place long, shared long")
+
+
+def _exact(crowd: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, ta, b, tb) of the crowd (id, tag, n, root, asks, text), in different components and with a member that
+    asks, among which is every such pair that reaches the similarity.
+
+    Two documents meet under a shingle that both have early enough for the other's size. The bound is first applied
+    with the least size under the shingle, then, for what is left, by classes of sizes a hundredth wide, and then pair
+    by pair. So a document that differs from the rest of its group in too much never meets them under the group's
+    common text: it is compared only with those that share a rarer shingle with it.
+    """
+    rows = scratch.keep("prefixes", _prefixes(crowd, percent))
+    least = rows.groupBy("key").agg(F.min("n").alias("low"), F.min(F.when(F.col("asks"), F.col("n"))).alias("low_asks"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+    fits = lambda low: F.expr(f"place <= n - {_need('n', f'greatest({low}, ({percent} * n + 99) div 100)', percent)} + 1")
+    kept = rows.join(least.where("low_asks is not null and r0 < r1").select("key", "low", "low_asks"), "key")
+    kept = kept.withColumns({"asks": F.col("asks") & fits("low"), "told": fits("low_asks")}).where("asks or told").drop("low", "low_asks")
+    kept = scratch.keep("kept", kept)
+    scratch.drop("prefixes")
+    sizes = kept.groupBy("key").agg(F.min(F.when(F.col("told"), F.col("n"))).alias("low"), F.max(F.when(F.col("told"), F.col("n"))).alias("high"))
+    size_class = lambda n: f"cast(floor(ln({n}) * 100) as int)"
+    # the largest partner for which this place is early enough, by the bound's slope
+    largest = f"least(high, (100 * n) div {percent}, (({100 + percent} * (n + 1 - place)) div {percent}) - n)"
+    smallest = f"greatest(low, ({percent} * n + 99) div 100)"
+    own = kept.where("asks").join(sizes.where("low is not null"), "key").withColumns({"most": F.expr(largest), "least": F.expr(smallest)}).where("least <= most")
+    own = own.withColumn("size", F.explode(F.expr(f"sequence({size_class('least')}, {size_class('most')})")))
+    own = own.select("key", "size", *[F.col(c).alias(f"{c}_a") for c in ("id", "tag", "n", "root", "place", "shared", "most")])
+    told = kept.where("told").withColumn("size", F.expr(size_class("n")))
+    told = told.select("key", "size", *[F.col(c).alias(f"{c}_b") for c in ("id", "tag", "n", "root", "place", "shared")])
+    need = _need("n_a", "n_b", percent)
+    near = F.expr(f"root_a <> root_b and n_b <= most_a and {need} <= least(shared_a, shared_b) and place_a <= n_a - {need} + 1 and place_b <= n_b - {need} + 1")
+    met = own.join(told, (own["key"] == told["key"]) & (own["size"] == told["size"]) & near)
+    return _ordered(met, ("id_a", "tag_a"), ("id_b", "tag_b")).distinct()
+
+
+def _ordered(pairs: DataFrame, one: tuple[str, str], other: tuple[str, str]) -> DataFrame:
+    """(a, ta, b, tb) with the smaller (id, tag) first."""
+    x, y = (F.struct(F.col(i).alias("i"), F.col(t).alias("t")) for i, t in (one, other))
+    both = pairs.select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y"))
+    return both.select(F.col("x.i").alias("a"), F.col("x.t").alias("ta"), F.col("y.i").alias("b"), F.col("y.t").alias("tb"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """One row per doc_id: n_shingles, component_id, kept.
 
     Documents are linked when their sets of distinct five-word shingles have 100 * |A & B| >= percent * |A | B|; the
     component is named by its smallest doc_id and keeps that document.
 
-    Copies with equal sets fall together first, by a 128-bit digest of the set, and only the smallest id of each such
-    class goes on. Its bands meet others' in buckets. Members of a bucket are checked against the bucket's smallest
-    and then its largest member, on whole texts; only in buckets that this leaves in more than one component do the
-    pairs across components follow. Of such buckets, those of more than `bucket` members (documents that share a
-    passage, mostly) do not pair up by band: their documents meet under rare shingles by the exact prefix bound. So no
-    link is lost and no group is expanded into all its pairs.
+    Copies with equal sets fall together first, by a 128-bit digest of the set, and one of each such class goes on. Its
+    bands meet others' in buckets. In each round the members of a bucket are checked, on whole texts, against one of
+    them: first the one that meets the most others, later one drawn from the largest component; that one then leaves
+    the bucket, and buckets that hold a single component are done. Rounds go on as long as each shortens the buckets by
+    three tenths. Where they end, documents that are still in different components meet under rare shingles by exact bounds
+    (_exact). So no link is lost, and no group is expanded into all its pairs unless its documents can't be told apart
+    by those bounds though they aren't linked: many texts that differ from each other, but from no common text, in
+    just over what the similarity allows.
 
     Null, empty and wordless texts have n_shingles 0 and are linked with nothing. Rows that repeat a doc_id count as
-    one document (its largest set size is shown); rows without doc_id stay unlinked, with a null component, and are
-    kept. Other columns are ignored. An empty table gives an empty result.
+    one document that has the links of all of them (its largest set size is shown); rows without doc_id stay unlinked,
+    with a null component, and are kept. Other columns are ignored. An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    scratch = Scratch(spark)
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketched = cut_lineage(docs.mapInArrow(_sketch, SKETCH))
+    sketched = scratch.keep("sketched", docs.mapInArrow(_sketch, SKETCH))
     linkable = sketched.where("n_shingles > 0 and doc_id is not null")
-    classes = cut_lineage(linkable.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep")))
-    reps = linkable.join(classes.select("set_a", "set_b", F.col("rep").alias("doc_id")), ["set_a", "set_b", "doc_id"], "left_semi")
-    placed = reps.select("doc_id", F.explode("bands").alias("key")).distinct()
-    met = placed.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    members = cut_lineage(placed.join(met, "key"))
-    ids = members.select(F.col("doc_id").alias("id")).distinct()
-    texts = docs.select(F.col("doc_id").alias("id"), "text").where("text is not null")
-    texts = cut_lineage(texts.join(ids, "id", "left_semi").dropDuplicates(["id"]))
-
-    tried = members.where("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = cut_lineage(_verify(tried, texts, percent))
-    found = components(links)
-
-    def across(found: DataFrame) -> DataFrame:
-        """Members of the buckets that still hold more than one component."""
-        own = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-        open_ = own.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1")
-        return own.join(open_.select("key"), "key", "left_semi")
-
-    rest = across(found)
-    again = rest.where("doc_id <> high").select(F.col("doc_id").alias("a"), F.col("high").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    links = links.unionByName(cut_lineage(_verify(again, texts, percent)))
-    found = components(links)
-    sizes = reps.select("doc_id", "n_shingles")
-    rest = cut_lineage(across(found).select("key", "doc_id", "root").join(sizes, "doc_id"))
-    large = rest.groupBy("key").agg(F.count("*").alias("n")).where(f"n > {bucket}").select("key")
-    pairs = _across_roots(rest.join(large, "key", "left_anti").withColumn("shared", F.col("n_shingles")), percent)
-    crowd = cut_lineage(rest.join(large, "key", "left_semi").select("doc_id", "root", "n_shingles").distinct())
-    pairs = pairs.unionByName(_across_roots(_rare_shingles(crowd, texts, percent), percent)).distinct()
-    pairs = pairs.join(tried, ["a", "b"], "left_anti").join(again, ["a", "b"], "left_anti")
-    links = links.unionByName(cut_lineage(_verify(pairs, texts, percent)))
-    found = components(links)
-
-    named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("root", "rep").alias("root"))
-    linked = sketched.select("doc_id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b"], "left")
-    root = F.when(F.col("n_shingles") > 0, F.col("root"))
+    by_set = linkable.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    classes = scratch.keep("classes", by_set)
+    named = sketched.select("doc_id", "n_shingles", "set_a", "set_b").join(classes.select("set_a", "set_b", "rep"), ["set_a", "set_b"], "left")
+    named = scratch.keep("named", named.select("doc_id", "n_shingles", "rep"))
+    scratch.drop("sketched")
+
+    placed = classes.select(F.col("rep").alias("id"), F.col("set_a").alias("tag"), "n", F.explode("bands").alias("key"))
+    met = placed.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
+    members = scratch.keep("members", placed.join(met, "key"))
+    scratch.drop("classes")
+    ids = members.select("id", "tag").distinct()
+    texts = docs.where("text is not null").withColumnRenamed("doc_id", "id").join(ids.select("id").distinct(), "id", "left_semi")
+    texts = texts.mapInArrow(_tagged, "id long, tag long, text string").join(ids, ["id", "tag"], "left_semi").dropDuplicates(["id", "tag"])
+    texts = scratch.keep("texts", texts)
+
+    weights = members.groupBy("id", "tag").agg(F.sum("many").alias("weight"))
+    own = members.drop("many").join(weights, ["id", "tag"]).withColumns({"root": F.col("id"), "lead": F.lit(None).cast("long")})
+    own, before = scratch.keep("open", own), members.count()
+    scratch.drop("members")
+    # rows that repeat an id hold the classes that they are in together
+    several = named.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("r0"), F.max("rep").alias("r1")).where("r0 < r1").select("doc_id")
+    links = named.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    found = components(links, scratch=scratch, name="found 0")
+    tried = scratch.keep("tried", spark.createDataFrame([], "a long, ta long, b long, tb long"))
+    for turn in count():
+        order = F.col("weight") if not turn else F.xxhash64("id", "tag", F.lit(turn))
+        head = own.groupBy("key").agg(F.max(F.struct((F.col("root") == F.col("lead")).alias("same"), order.alias("order"), (-F.col("id")).alias("low"), "id", "tag", "n", "root")).alias("h"))
+        head = head.select("key", *[F.col(f"h.{c}").alias(f"{c}_h") for c in ("id", "tag", "n", "root")])
+        rest = scratch.keep("rest", own.join(head, "key").where("not (id = id_h and tag = tag_h)"))
+        can = f"root <> root_h and {100} * least(n, n_h) >= {percent} * greatest(n, n_h)"
+        pairs = rest.where(can).select(F.col("id_h").alias("a"), F.col("tag_h").alias("ta"), F.col("id").alias("b"), F.col("tag").alias("tb")).distinct()
+        again = _ordered(tried, ("b", "tb"), ("a", "ta"))
+        back = again.select(F.col("b").alias("a"), F.col("tb").alias("ta"), F.col("a").alias("b"), F.col("ta").alias("tb"))
+        pairs = scratch.keep("pairs", pairs.join(again.unionByName(back), ["a", "ta", "b", "tb"], "left_anti") if turn else pairs)
+        links = _verify(pairs, texts, percent).select("a", "b").unionByName(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        found = components(links, scratch=scratch, name=f"found {turn + 1}")
+        scratch.drop(f"found {turn}")
+        tried = scratch.keep("tried", tried.unionByName(_ordered(pairs, ("a", "ta"), ("b", "tb"))))
+        roots = found.withColumnRenamed("root", "now")
+        own = rest.drop("root", "lead").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("now", "id")).drop("now")
+        own = own.join(roots.withColumnRenamed("node", "root_h"), "root_h", "left").withColumn("lead", F.coalesce("now", "root_h")).select("key", "id", "tag", "n", "weight", "root", "lead")
+        still = own.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
+        own = scratch.keep("open", own.join(still, "key", "left_semi"))
+        left = own.count()
+        if not left or left > 0.7 * before:
+            break
+        before = left
+    scratch.drop("rest", "pairs")
+    if left:
+        lead = own.groupBy("key").agg(F.coalesce(F.min(F.when(F.col("root") == F.col("lead"), F.col("lead"))), F.min("root")).alias("most"))
+        asks = own.join(lead, "key").groupBy("id", "tag", "n", "root").agg(F.max(F.col("root") != F.col("most")).alias("asks"))
+        crowd = scratch.keep("crowd", texts.join(asks, ["id", "tag"]))
+        pairs = scratch.keep("pairs", _exact(crowd, percent, scratch).join(tried, ["a", "ta", "b", "tb"], "left_anti"))
+        scratch.drop("crowd", "kept", "open", "tried")
+        links = _verify(pairs, texts, percent).select("a", "b").unionByName(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        found = components(links, scratch=scratch, name="found")
+    scratch.drop("texts", "open", "tried", "pairs")
+
+    roots = named.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     known = (
-        linked.where("doc_id is not null")
+        roots.where("doc_id is not null")
         .groupBy("doc_id")
-        .agg(F.max("n_shingles").alias("n_shingles"), F.min(root).alias("root"))
+        .agg(F.max("n_shingles").alias("n_shingles"), F.min("root").alias("root"))
         .select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
     )
-    nameless = linked.where("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
+    nameless = named.where("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
     return known.unionByName(nameless).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
@@ -227,9 +302,9 @@ def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 
 def op7_minhash_near_dedup(spark, sf_dir):
-    from .common import table
+    from .common import spread, table
 
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 #: Every pair of documents that shares a shingle, compared on whole sets; for small tables.

@@ -3,6 +3,7 @@ import hashlib
 import random
 import re
 import sys
+from collections import Counter
 from itertools import product
 
 import numpy as np
@@ -261,10 +262,21 @@ def test_near_duplicates_against_all_pairs(spark, odd):
             if j and len(w) > 3:
                 w[draw.randrange(len(w))] = f"x{k}{j}"
             texts.append((len(texts), " ".join(w).upper() if j == 2 else " ".join(w)))
-    texts += [(500 + i, f"{quote} {sentence(draw, 12)}") for i in range(50)]  # a bucket over the pair limit
+    texts += [(500 + i, f"{quote} {sentence(draw, 12)}") for i in range(50)]  # a crowd about one passage
+    crowd = sentence(draw, 200).split()
+    for i in range(90):  # copies of a text that isn't there, some too far from each other, some from all
+        w = list(crowd)
+        for _ in range(draw.randint(0, 12)):
+            w[draw.randrange(len(w))] = f"y{i}{draw.randrange(5)}"
+        texts.append((1000 + i, " ".join(w)))
     texts += [(700, None), (701, ""), (702, " \t")]
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(table(spark, texts), bucket=8).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(table(spark, texts)).collect()}
     assert got == brute_components(texts)
+    groups = Counter(c for d, (_, c) in got.items() if d >= 1000)
+    assert max(groups.values()) > 30 and min(groups.values()) == 1
+    again = [(1, "a b c d e f g"), (1, sentence(draw, 40)), (2, "h i j k l m n"), (3, "A b c d e f g"), (4, "h i j k l m n")]
+    again += [(1, "h i j k l m n"), (7, again[1][1])]  # one id with three texts holds their groups together
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(table(spark, again)).collect()} == dict.fromkeys((1, 2, 3, 4, 7), 1)
     kept = near_dedup.keep_one(odd)
     assert {r.doc_id for r in kept.collect()} == {None, 1, 2, 3, 4, 5, 7}
     assert near_dedup.near_duplicates(odd.limit(0)).count() == 0
