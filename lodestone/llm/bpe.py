@@ -188,6 +188,6 @@ def vocabulary() -> tuple[str, str]:
 
 
 def op1_byte_bpe(spark, sf_dir):
-    from .common import table
+    from .common import spread, table
 
-    return tokenize(table(spark, sf_dir, "documents"), *vocabulary(), with_ids=False)
+    return tokenize(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), *vocabulary(), with_ids=False)

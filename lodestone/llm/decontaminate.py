@@ -217,6 +217,6 @@ def drop_leaks(docs: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFra
 
 
 def op3_decontamination(spark, sf_dir):
-    from .common import table
+    from .common import spread, table
 
-    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "benchmark"))

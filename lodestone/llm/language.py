@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, pieces, small_batches, table
+from .common import bucket_of, pieces, small_batches, spread, table
 
 WORD = re.compile(r"[^\W\d_]+")
 #: About so many training documents of each language, runs of words taken from each, words of a run.
@@ -249,6 +249,6 @@ def held_out(key: str = "doc_id"):
 
 
 def op5_language_id(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     model = train(docs, ~held_out())
     return predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

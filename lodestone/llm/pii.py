@@ -299,7 +299,7 @@ def _digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def op10_pii(spark, sf_dir):
     """Base spans by count and digest, and all spans."""
-    from .common import table
+    from .common import spread, table
 
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
-    return find_spans(table(spark, sf_dir, "documents")).mapInArrow(_digest, schema)
+    return find_spans(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).mapInArrow(_digest, schema)
