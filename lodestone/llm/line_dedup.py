@@ -5,19 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 #: Lines of a window.
 WINDOW = 3
 
 
 def repeated_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, gone): the 0-based lines of each document that later occurrences of repeated windows cover.
+    """(doc_id, hash, gone): the 0-based lines of each text (doc_id and hash of the text) that later occurrences of
+    repeated windows cover.
 
     Every run of `window` consecutive lines is hashed to 128 bits; only hashes, ids and positions are shuffled. The
-    first occurrence in the order (doc_id, position) stays. Counting is done with partial aggregates, and the join
-    back to the occurrences is an inner equi-join of which the other side has one row per repeated hash, so that a
-    passage which very many documents share is a skewed key that adaptive execution splits.
+    first occurrence in the order (doc_id, hash of the text, position) stays. It is found with partial aggregates, and
+    one equi-join with a row per repeated window gives all others, so that a passage which very many documents share
+    is a skewed key that adaptive execution splits.
     """
-    lines = docs.select("doc_id", F.split("text", "\n", -1).alias("lines")).where(F.size("lines") >= window)
+    lines = docs.select("doc_id", F.xxhash64("text").alias("hash"), F.split("text", "\n", -1).alias("lines")).where(F.size("lines") >= window)
     at = F.sequence(F.lit(0), F.size("lines") - window)
     hashed = F.transform(
         at,
@@ -28,14 +31,12 @@ def repeated_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             F.exists(F.slice("lines", i + 1, window), lambda x: F.trim(x) != "").alias("some"),
         ),
     )
-    seen = lines.select("doc_id", F.explode(hashed).alias("w")).select("doc_id", "w.*").where("some").drop("some")
-    first = seen.groupBy("h1", "h2").agg(F.min("doc_id").alias("d0"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = seen.join(first, ["h1", "h2"])
-    own = again.where("doc_id = d0").groupBy("h1", "h2").agg(F.min("pos").alias("p0"))
-    later = again.where("doc_id > d0").select("doc_id", "pos")
-    inside = again.where("doc_id = d0").join(own, ["h1", "h2"]).where("pos > p0").select("doc_id", "pos")
+    seen = lines.select("doc_id", "hash", F.explode(hashed).alias("w")).select("doc_id", "hash", "w.*").where("some").drop("some")
+    place = F.struct("doc_id", "hash", "pos")
+    first = seen.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = seen.join(first, ["h1", "h2"]).where(place > F.col("first"))
     covered = F.array_distinct(F.flatten(F.transform(F.collect_set("pos"), lambda p: F.sequence(p, p + (window - 1)))))
-    return later.unionByName(inside).groupBy("doc_id").agg(covered.alias("gone"))
+    return later.groupBy("doc_id", "hash").agg(covered.alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, window: int = WINDOW, drop_emptied: bool = True) -> DataFrame:
@@ -43,18 +44,20 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, drop_emptied: bool = True
 
     A line goes if any later occurrence of a repeated window covers it; overlapping occurrences merge. Documents of
     fewer lines than a window, null and empty texts, windows of blank lines only and rows without doc_id stay as they
-    are. Rows that repeat a doc_id count as one document's occurrences and lose the same lines. A document of which
-    no line is left is dropped, as all of it stands elsewhere, unless drop_emptied is off. Empty tables stay empty.
+    are. Rows of one doc_id with different texts are documents of their own, in the order of a hash of the text; such
+    with equal texts count as one and lose the same lines. A document of which no line is left is dropped, as all of
+    it stands elsewhere, unless drop_emptied is off. Empty tables stay empty; columns may have any further names.
     """
-    gone = repeated_lines(docs.where("doc_id is not null").select("doc_id", "text"), window).withColumnRenamed("doc_id", "__id")
-    joined = docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == F.col("__id"), "left")
+    id_, hash_, gone_, left_ = (unused(n, docs) for n in ("id_", "hash_", "gone_", "left_"))
+    gone = repeated_lines(docs.where("doc_id is not null").select("doc_id", "text"), window).toDF(id_, hash_, gone_)
+    joined = docs.join(gone.hint("shuffle_hash"), (docs["doc_id"] == F.col(id_)) & (F.xxhash64(docs["text"]) == F.col(hash_)), "left")
     lines = F.split("text", "\n", -1)
-    keep = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone")))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(keep, lambda i: F.get(lines, i)), "\n"))
-    out = joined.withColumn("__text", text)
+    keep = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone_)))
+    text = F.when(F.col(gone_).isNull(), F.col("text")).otherwise(F.array_join(F.transform(keep, lambda i: F.get(lines, i)), "\n"))
+    out = joined.withColumn(left_, text)
     if drop_emptied:
-        out = out.where("gone is null or __text <> '' or size(gone) < size(split(text, '\\n', -1))")
-    columns = [F.col("__text").alias("text") if c == "text" else (F.length("__text").cast("long").alias(c) if c == "n_chars" else docs[c]) for c in docs.columns]
+        out = out.where(F.col(gone_).isNull() | (F.col(left_) != "") | (F.size(gone_) < F.size(lines)))
+    columns = [F.col(left_).alias("text") if c == "text" else (F.length(left_).cast("long").alias(c) if c == "n_chars" else docs[c]) for c in docs.columns]
     return out.select(*columns)
 
 

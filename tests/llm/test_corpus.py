@@ -227,6 +227,17 @@ def test_line_dedup_against_a_loop(spark, odd):
     assert line_dedup.dedup_lines(odd).count() == odd.count()
 
 
+def test_line_dedup_tells_texts_of_one_id_apart_and_takes_any_column_names(spark):
+    texts = [(1, "a\nb\nc"), (2, "a\nb\nc\nq"), (2, "k\nl\nm\nn"), (3, "z"), (2, "k\nl\nm\nn")]
+    docs = table(spark, texts).withColumns({"gone": F.lit("g"), "__id": F.lit(5), "ID_": F.lit("i"), "hash_": F.lit("h"), "left_": F.lit(1), "gone_": F.lit(2)})
+    got = line_dedup.dedup_lines(docs)
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == [(1, "a\nb\nc"), (2, "k\nl\nm\nn"), (2, "k\nl\nm\nn"), (2, "q"), (3, "z")]
+    assert got.columns == docs.columns and got.where("gone = 'g' and __id = 5 and left_ = 1 and gone_ = 2").count() == 5
+    crowd = table(spark, [(i, "one\ntwo\nthree\n" + str(i)) for i in range(300)])
+    assert sorted(r.text for r in line_dedup.dedup_lines(crowd).collect()) == sorted(["one\ntwo\nthree\n0"] + [str(i) for i in range(1, 300)])
+    assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
+
+
 # 7: near duplicates
 
 
@@ -330,6 +341,10 @@ def test_held_out_toxicity(spark, odd):
     assert np.mean([r.predicted for r in toxic]) >= 0.85 and np.mean([r.predicted for r in clean]) <= 0.08
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet").limit(400), spark.read.parquet(f"{folder}/labels.parquet")
     model = toxicity.train(docs, labels)
+    marked = docs.limit(50).withColumns({"score": F.lit(0.77), "Predicted": F.lit("p")})
+    left = toxicity.reject_toxic(marked, labels)
+    assert left.columns == marked.columns and left.where("score <> 0.77 or Predicted <> 'p'").count() == 0
+    assert not any(r.held_out is None for r in odd.select(toxicity.held_out().alias("held_out")).collect())
     scored = toxicity.score_texts(odd.withColumn("score", F.lit("x")), model)
     assert scored.count() == odd.count() and scored.where("score < 0 or score > 1 or score is null").count() == 0
     assert toxicity.score_texts(odd, toxicity.train(docs, labels.limit(0))).where("predicted = 1").count() == 0
@@ -342,6 +357,36 @@ def test_the_risk_never_goes_negative_on_separable_data():
     assert m.score("bad") > 0.5 > m.score("fine")
 
 
+def test_toxicity_without_a_feature_that_stands_out(spark):
+    docs = table(spark, [(i, sentence(random.Random(i), 8)) for i in range(60)])
+    labels = spark.createDataFrame([(i, int(i < 6)) for i in range(60)] + [(None, 1)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    assert not model.weights and toxicity.score_texts(docs, model).where("predicted = 1").count() == 0
+    nothing = (np.empty(0, int), np.empty(0, int), 6)
+    assert abs(toxicity.fit_nnpu(nothing, (*nothing[:2], 60), [], 0.1).score("x") - 0.1) < 1e-6
+
+
+def test_the_scores_are_a_plain_sum_and_the_risk_falls(spark):
+    model = toxicity.PuModel({"ab": 1.0, "abcd*": 0.5, "é": -2.0}, -1.0)
+    texts = ["", None, "ab", "AB ab", "abcdef é", "zz"]
+    got = toxicity.score_texts(table(spark, list(enumerate(texts))), model).orderBy("doc_id").collect()
+    assert [r.score for r in got] == [model.score(t) for t in texts]
+    assert np.allclose(model.score("abcdef é"), 1 / (1 + np.exp(2.5)))
+    draw = np.random.default_rng(1)
+    x = draw.random((200, 6)) < np.linspace(0.1, 0.6, 6)
+    p, u = x[:60] | (draw.random((60, 6)) < 0.3), x
+    sparse = lambda a: (np.nonzero(a)[1], np.nonzero(a)[0], len(a))
+
+    def risk(m):
+        w = np.array([m.weights.get(str(i), 0) for i in range(6)])
+        loss = lambda a, y: np.logaddexp(0, -y * (a @ w + m.bias)).mean()
+        return 0.2 * loss(p, 1) + max(0, loss(u, -1) - 0.2 * loss(p, -1))
+
+    names = [str(i) for i in range(6)]
+    fitted, first = (toxicity.fit_nnpu(sparse(p), sparse(u), names, 0.2, steps=n) for n in (250, 1))
+    assert risk(fitted) < risk(first)
+
+
 # 10: personal data
 
 
