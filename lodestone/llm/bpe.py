@@ -17,17 +17,15 @@ from .common import pieces, small_batches
 
 #: Distinct words whose ids a worker keeps between batches; the cache is emptied when it is full.
 CACHE = 600_000
-#: Words up to so many characters contract one pair a round; longer ones all safe pairs of the round's rank.
-SHORT = 48
-
 #: Each round joins token rows, which also hold their right neighbour, with the merge table and contracts every word's
-#: leftmost pair of least rank: row p takes the new token m, row q goes, and the rows beside them get new neighbours.
-#: A word of which no pair is in the table leaves the recursion; its last round is its result.
+#: leftmost pair of least rank: row p takes the new token m, row q goes (its token is null), and the row before p gets a
+#: new neighbour. A word of which no pair is in the table leaves the recursion. Only the last state of each (word,
+#: position) is kept, so memory follows the words' bytes, not the rounds.
 MERGE = """
-with recursive t as (
-  select 0 as round, * from bytes_in
+with recursive t(w, pos, tok, next, ntok) using key (w, pos) as (
+  select w, pos, tok, next, ntok from bytes_in
   union all
-  select round + 1, w, pos, case when pos = p then m else tok end, case when pos = p then after else next end,
+  select w, pos, case when pos = p then m when pos = q then null else tok end, case when pos = p then after else next end,
     case when pos = p then atok when next = p then m else ntok end
   from t join (
     select b.*, x.next as after, x.ntok as atok
@@ -35,34 +33,8 @@ with recursive t as (
       select w, min(pick) >> 32 as m, min(pick) & 4294967295 as p, arg_min(next, pick) as q
       from (select w, next, (id << 32) + pos as pick from t join merges on l = tok and r = ntok) group by w) b
     join t x on x.w = b.w and x.pos = b.q) using (w)
-  where pos <> q)
-select w, string_agg(tok::varchar, ',' order by pos) as ids from (select t.* from t join (select w, max(round) as last from t group by w) z on z.w = t.w and z.last = t.round) group by w
-"""
-
-#: As MERGE, but a round contracts all pairs of the least rank: of a run of overlapping ones the first, third and so on.
-#: That is what one at a time would do unless the new token makes a pair of lower rank; for such tokens (`unsafe`) only
-#: the leftmost is contracted.
-MERGE_LONG = """
-with recursive t as (
-  select 0 as round, w, pos, tok from bytes_in
-  union all
-  select round + 1, w, pos, case when chosen then best else tok end
-  from (
-    select *, lag(chosen) over (partition by w order by pos) as gone
-    from (
-      select *, hit and (case when best in (select id from unsafe) then nth = 1 else part % 2 = 1 end) as chosen
-      from (
-        select *, count(*) filter (hit) over (partition by w order by pos) as nth,
-          row_number() over (partition by w, hit, i - same order by pos) as part
-        from (
-          select *, coalesce(id = best, false) as hit, row_number() over (partition by w, coalesce(id = best, false) order by pos) as same
-          from (
-            select a.*, m.id, min(m.id) over (partition by w) as best
-            from (select *, lead(tok) over (partition by w order by pos) as next, row_number() over (partition by w order by pos) as i from t) a
-            left join merges m on m.l = a.tok and m.r = a.next)))))
-  where best is not null and gone is not true)
-select w, string_agg(tok::varchar, ',' order by pos) as ids from t
-where round = (select max(x.round) from t x where x.w = t.w) group by w
+  where tok is not null)
+select w, string_agg(tok::varchar, ',' order by pos) as ids from t where tok is not null group by w
 """
 
 #: Ordered aggregation puts a text's pieces together; bytes travel as the characters of the same number.
@@ -78,17 +50,15 @@ class Bpe:
         self.split = regex.compile(pattern).findall
         self.known: dict[str, str] = {}
         self.first = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
-        merges, unsafe = [], set()
+        merges = []
         for token, rank in self.ranks.items():
             for k in range(1, len(token)):
                 left, right = self.ranks.get(token[:k]), self.ranks.get(token[k:])
                 if left is not None and right is not None:
                     merges.append((left, right, rank))
-                unsafe.update(x for x in (left, right) if x is not None and x > rank)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "preserve_insertion_order": False})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "preserve_insertion_order": False, "temp_directory": ""})
         l, r, i = (pa.array(np.array(x, np.int64)) for x in zip(*merges, strict=True))
         self._table("merges", pa.table({"l": l, "r": r, "id": i}))
-        self._table("unsafe", pa.table({"id": pa.array(sorted(unsafe), pa.int64())}))
         self._table("vocab", pa.table({"id": pa.array(list(self.ranks.values()), pa.int64()), "piece": [x.decode("latin-1") for x in self.ranks]}))
 
     def _table(self, name: str, rows: pa.Table) -> None:
@@ -96,7 +66,9 @@ class Bpe:
         self.db.execute(f"create or replace table {name} as select * from rows_in")
         self.db.unregister("rows_in")
 
-    def _merge(self, words: list[str], sql: str, most: int = 400_000) -> None:
+    def _merge(self, words: list[str], most: int = 400_000) -> None:
+        """Words go in by length, so that those of one query take about as many rounds."""
+        words = sorted(words, key=len)
         start = 0
         while start < len(words):
             end, total = start, 0
@@ -110,11 +82,9 @@ class Bpe:
             toks = self.first[np.frombuffer(b"".join(data), np.uint8)]
             word = np.repeat(np.arange(len(data)), sizes)
             last = np.append(word[1:] != word[:-1], True)
-            rows = {"w": word, "pos": at, "tok": toks}
-            if sql is MERGE:
-                rows |= {"next": pa.array(at + 1, mask=last), "ntok": pa.array(np.append(toks[1:], 0), mask=last)}
+            rows = {"w": word, "pos": at, "tok": toks, "next": pa.array(at + 1, mask=last), "ntok": pa.array(np.append(toks[1:], 0), mask=last)}
             self._table("bytes_in", pa.table(rows))
-            out = self.db.sql(sql).to_arrow_table()
+            out = self.db.sql(MERGE).to_arrow_table()
             for w, ids in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True):
                 self.known[words[start + w]] = ids
             start = end
@@ -124,9 +94,7 @@ class Bpe:
         split = [self.split(t) for t in texts]
         if len(self.known) > CACHE:
             self.known.clear()
-        new = set().union(*split).difference(self.known)
-        self._merge([w for w in new if len(w) <= SHORT], MERGE)
-        self._merge([w for w in new if len(w) > SHORT], MERGE_LONG)
+        self._merge(list(set().union(*split).difference(self.known)))
         known = self.known
         return [",".join([known[w] for w in ws]) for ws in split]
 
@@ -154,8 +122,9 @@ def tokenize(docs: DataFrame, path: str, pattern: str, with_ids: bool = True) ->
 
     Words are the matches of `pattern` in the whole text and are merged by the ranks of the file at `path`, without
     special tokens; the ids are then decoded, and a text that does not come back is an error. A null or empty text has
-    no ids and the hashes of nothing. Repeated rows are encoded each. The file must be at the same path on every
-    machine, as an installed package puts it. No shuffle.
+    no ids and the hashes of nothing. Repeated rows are encoded each, an empty table gives an empty one, and other
+    columns are ignored. The file must be at the same path on every machine, as an installed package puts it. No
+    shuffle. A single word of n letters takes about n rounds over n rows: README gives times for very long ones.
     """
     small_batches(docs.sparkSession)
 
@@ -188,6 +157,7 @@ def vocabulary() -> tuple[str, str]:
 
 
 def op1_byte_bpe(spark, sf_dir):
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 per row of `documents`; null texts are empty ones."""
     from .common import spread, table
 
     return tokenize(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), *vocabulary(), with_ids=False)

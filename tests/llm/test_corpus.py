@@ -54,10 +54,10 @@ def test_bpe_is_the_library(spark, small, odd):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
     own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").unionByName(odd.select((F.col("doc_id") + 10_000).alias("doc_id"), "text").where("doc_id <> 10008"))
-    docs = docs.unionByName(spark.createDataFrame([(20_000, "x" * 3000), (20_001, "ab" * 900 + "é" * 700), (20_002, "<|endoftext|> 漢字🙂\x00")], "doc_id long, text string"))
+    docs = docs.unionByName(spark.createDataFrame([(20_000, "x" * 9000), (20_003, "".join(random.Random(6).choice("abcdefghijklmnop") for _ in range(5000))), (20_001, "ab" * 900 + "é" * 700), (20_002, "<|endoftext|> 漢字🙂\x00")], "doc_id long, text string"))
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
-    got = bpe.tokenize(docs, path, pattern).collect()
-    assert len(got) == docs.count()
+    got = bpe.tokenize(docs.withColumns({"ids": F.lit(1), "n_tokens": F.lit("x")}), path, pattern).collect()
+    assert len(got) == docs.count() and bpe.tokenize(docs.limit(0), path, pattern).count() == 0
     for r in got:
         ids = own.encode_ordinary(texts[r.doc_id])
         assert r.ids == ids and r.n_tokens == len(ids)
