@@ -9,11 +9,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut_lineage, mix
+from .common import Scratch, ascii_lower, mix
 
 #: (verdict, host, path): the rules of the query.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
-#: Most bytes of all filters of a cascade that are broadcast; beyond it, lookups are a shuffled equi-join.
+#: About so many bytes of filters are broadcast at once; longer lists are split by a hash of the key into several
+#: cascades, looked up in one after another.
 BROADCAST_BYTES = 64 << 20
 
 
@@ -89,32 +90,39 @@ class Cascade:
         return out
 
 
-def build(listed: DataFrame, universe: DataFrame, most_bytes: int = BROADCAST_BYTES) -> Cascade | None:
-    """The cascade of listed keys (a, b) that is exact on `universe` (a, b); None if it would exceed most_bytes.
+def _first_rate(listed: int, others: int) -> float:
+    return min(0.5, listed * 0.5**0.5 / max(1, others))
+
+
+def shards(listed: int, others: int, most_bytes: int = BROADCAST_BYTES) -> int:
+    """Cascades of which each takes about most_bytes at most; all levels take less than three times the first."""
+    return int(max(1, listed) * -np.log2(_first_rate(max(1, listed), others)) * 1.45 / 8 * 3 // most_bytes) + 1
+
+
+def build(listed: DataFrame, universe: DataFrame) -> Cascade:
+    """The cascade of listed keys (a, b) that is exact on `universe` (a, b).
 
     The first filter's false positive rate is set by the two counts so that about as many false positives as listed
     keys are left, later filters halve them; its size follows the listed keys, not the universe.
     """
-    inside = cut_lineage(listed.select("a", "b").distinct())
-    outside = universe.select("a", "b").distinct().join(inside, ["a", "b"], "left_anti")
-    r, s = inside.count(), 0
-    if not r:
-        return Cascade([])
-    outside = cut_lineage(outside)
-    s = outside.count()
-    rate = min(0.5, r * 0.5**0.5 / max(1, s))
-    if r * np.log2(1 / rate) * 1.45 / 8 * 3 > most_bytes:
-        return None
+    scratch = Scratch(listed.sparkSession)
+    inside = scratch.keep("inside", listed.select("a", "b").distinct())
+    outside = scratch.keep("outside", universe.select("a", "b").distinct().join(inside, ["a", "b"], "left_anti"))
+    r, s = inside.count(), outside.count()
     levels: list[Level] = []
     ours, theirs, n = inside, outside, r
+    names, spare = ["inside", "outside"], 0
     while n:
-        level = _fill(ours, n, rate if not levels else 0.5, len(levels))
+        level = _fill(ours, n, _first_rate(r, s) if not levels else 0.5, len(levels))
         levels.append(level)
         if len(levels) > 200:
             raise RuntimeError("the cascade does not end; two keys share both hashes")
         sent = listed.sparkSession.sparkContext.broadcast(level)
-        ours, theirs = cut_lineage(theirs.where(_passes(sent)("a", "b"))), ours
+        spare += 1
+        ours, theirs = scratch.keep(f"level {spare}", theirs.where(_passes(sent)("a", "b"))), ours
+        names.append(f"level {spare}")
         n = ours.count()
+    scratch.drop(*names)
     return Cascade(levels)
 
 
@@ -149,37 +157,42 @@ def judge(pages: DataFrame, rules: DataFrame, key: str = "page_id", default: str
 
     A rule (verdict, host, path) fits its host and all subdomains if the path starts with the rule's path; the longest
     that fits wins (by host and path together), and where none does the verdict is `default`. The keys of a page are
-    all its host's suffixes with all beginnings of its path that are as long as some rule's path; membership of each is
-    decided by one cascade per verdict, built from the rules and exact over the keys of all pages, without a join.
-    A key that is both allowed and blocked is allowed. Null urls or urls without `://` have empty host and path and no
-    rule. Empty tables give an empty result; other columns are ignored.
+    the suffixes of its host with as many labels as some rule's host, each with the beginnings of its path that are as
+    long as some rule's path; membership of each is decided by one cascade per verdict (several, for lists that take
+    more than most_bytes), built from the rules and exact over the keys of all pages, without a join. A key that is
+    both allowed and blocked is allowed. Null urls or urls without `://` have empty host and path and no rule. Repeated
+    rows are judged each. Empty tables give an empty result; other columns are ignored.
     """
+    spark, scratch = pages.sparkSession, Scratch(pages.sparkSession)
     rules = rules.select(F.col("verdict"), ascii_lower(F.col("host")).alias("h"), F.col("path").alias("p")).dropna()
-    lengths = sorted(r[0] for r in rules.select(F.length("p")).distinct().collect())  # at most as many as a URL is long
+    dots = lambda host: F.split(host, r"\.", -1)
+    lengths, depths = (sorted(r[0] for r in rules.select(c).distinct().collect()) for c in (F.length("p"), F.size(dots("h"))))  # at most as many as a path is long or a host deep
     host, path = host_path()
     own = pages.select(F.col(key).alias("key"), host.alias("host"), path.alias("path"))
-    labels = F.split("host", r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    starts = F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths]), lambda x: x.isNotNull())
+    strings = lambda xs: F.filter(F.array(*xs), lambda x: x.isNotNull()) if xs else F.array().cast("array<string>")
+    labels = dots("host")
+    suffixes = strings([F.when(F.size(labels) >= n, F.array_join(F.slice(labels, F.size(labels) - (n - 1), n), ".")) for n in depths])
+    starts = strings([F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths])
+    pairs = F.flatten(F.transform("suffixes", lambda h: F.transform("starts", lambda p: F.struct(h.alias("h"), p.alias("p"), *(x.alias(n) for x, n in zip(hashes(h, p), "ab", strict=True))))))
+    own = own.withColumns({"suffixes": suffixes, "starts": starts}).withColumn("keys", pairs).drop("suffixes", "starts")
+    universe = scratch.keep("universe", own.select(F.explode("keys").alias("x")).select("x.a", "x.b").distinct())
+    others = universe.count()
     a, b = hashes(F.col("h"), F.col("p"))
-    pairs = F.flatten(F.transform("suffixes", lambda h: F.transform("starts", lambda p: F.struct(h.alias("h"), p.alias("p"), F.xxhash64(h, p).alias("a"), F.xxhash64(F.lit("second"), h, p).alias("b")))))
-    if not lengths:
-        pairs = F.array().cast("array<struct<h:string,p:string,a:bigint,b:bigint>>")
-        starts = F.array().cast("array<string>")
-    own = own.withColumns({"suffixes": suffixes, "starts": starts}).withColumn("keys", pairs)
-    universe = own.select(F.explode("keys").alias("x")).select("x.a", "x.b").distinct()
-    universe = cut_lineage(universe)
-    listed = rules.withColumns({"a": a, "b": b})
-    flags = []
-    for verdict in ("allow", "block"):
-        part = listed.where(F.col("verdict") == verdict)
-        cascade = build(part, universe, most_bytes)
-        if cascade is None:
-            return _judge_by_join(own, listed, key, default)
-        sent = pages.sparkSession.sparkContext.broadcast(cascade)
-
-        flags.append(_members(sent)(F.col("keys.a"), F.col("keys.b")).alias(verdict))
-    marked = own.select("key", "host", "path", "keys", *flags)
+    listed = scratch.keep("listed", rules.select("verdict", a.alias("a"), b.alias("b")).distinct())
+    sizes = {v: listed.where(F.col("verdict") == v).count() for v in ("allow", "block")}
+    n = {v: shards(r, others, most_bytes) if r else 0 for v, r in sizes.items()}  # an empty list needs no filter
+    marked = own.withColumns({v: F.transform("keys", lambda x: F.lit(False)) for v in n})
+    for v in n:
+        for k in range(n[v]):
+            mine = lambda x: F.pmod(F.shiftrightunsigned(x, 40), F.lit(n[v])) == k  # noqa: B023, E731
+            cascade = build(listed.where((F.col("verdict") == v) & mine(F.col("a"))), universe.where(mine(F.col("a"))))
+            found = _members(spark.sparkContext.broadcast(cascade))(F.col("keys.a"), F.col("keys.b"))
+            # keys of other parts may pass by chance: a cascade is exact on its own part alone
+            flags = F.zip_with(F.zip_with(F.col("keys"), F.col("found"), lambda x, f: f & mine(x["a"])), F.col(v), lambda x, y: x | y)
+            marked = marked.withColumn("found", found).withColumn(v, flags).drop("found")
+            if sum(n.values()) > 2:
+                marked = scratch.keep("marked", marked)
+    scratch.drop("universe", "listed")
     found = F.filter(
         F.zip_with(
             F.col("keys"),
@@ -196,15 +209,8 @@ def _named(best: DataFrame, key: str, default: str) -> DataFrame:
     return best.select(F.col("key").alias(key), "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"))
 
 
-def _judge_by_join(own: DataFrame, listed: DataFrame, key: str, default: str) -> DataFrame:
-    """For rule lists too large to broadcast: the keys meet the rules in a shuffled join."""
-    own = own.withColumn("row", F.monotonically_increasing_id())
-    hit = own.select("row", F.explode("keys").alias("x")).join(listed.groupBy("a", "b", "h", "p").agg(F.min("verdict").alias("verdict")), (F.col("x.a") == F.col("a")) & (F.col("x.b") == F.col("b")))
-    best = hit.groupBy("row").agg(F.max(F.struct((F.length("h") + F.length("p")).alias("n"), F.concat("h", "p").alias("rule"), "verdict")).alias("best"))
-    return _named(own.join(best, "row", "left"), key, default)
-
-
 def op8_url_filter(spark, sf_dir):
+    """page_id, host, path, rule and verdict per row of `pages`; null urls have empty parts and no rule."""
     from .common import table
 
     return judge(table(spark, sf_dir, "pages").select("page_id", "url"), rule_table(spark, RULES))
