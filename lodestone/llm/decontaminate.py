@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import M1, M2, hash_words, mix, pieces, small_batches
+from .common import M1, M2, Scratch, hash_words, mix, pieces, small_batches
 
 #: A passage matches an item if at most this share of the item's words must be edited.
 TOLERANCE = 0.2
@@ -160,18 +161,25 @@ class Index:
         return found
 
 
-def _blocks(items: DataFrame, size: int) -> Iterator[Index]:
-    """The items in blocks of about `size` rows, one at a time on the driver; rows without id or words find nothing."""
+def _each_block(docs: DataFrame, items: DataFrame, size: int, pass_: Callable) -> Iterator[DataFrame]:
+    """What pass_ makes of each block of about `size` items. Where there are several, each result is written before the
+    next block is gathered, so that the driver and the tasks hold one at a time. Rows without id or words find nothing."""
     own = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null").distinct()
     n = own.count() // size + 1
+    scratch = Scratch(docs.sparkSession)
     for k in range(n):
-        part = own if n == 1 else own.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
-        yield Index(sorted((r.item_id, r.text or "") for r in part.collect()))
+        part = own if n == 1 else own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
+        index = Index(sorted((r.item_id, r.text or "") for r in part.collect()))
+        sent = docs.sparkSession.sparkContext.broadcast(index)
+        result = pass_(docs, sent)
+        if n > 1:
+            result = scratch.keep(f"block {k}", result)
+            sent.destroy()
+        yield result
 
 
-def _over(docs: DataFrame, index: Index, use: Callable, schema) -> DataFrame:
+def _over(docs: DataFrame, sent, use: Callable, schema) -> DataFrame:
     small_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
@@ -186,8 +194,8 @@ def leaks(docs: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFrame:
 
     Words are runs without ASCII white space, A-Z lower-cased; edits counts words put in, left out or replaced, and is
     at most TOLERANCE of the item's words. One row per document row and item, for its nearest passage. Items of up to
-    four words allow no edit. Null or empty texts and items match nothing; empty tables give an empty result. Items are
-    sent to the tasks in blocks of `block`, documents are not shuffled.
+    four words allow no edit. Null or empty texts and items match nothing; empty tables give an empty result; other
+    columns are ignored. Items are sent to the tasks in blocks of `block`, one at a time, documents are not shuffled.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, item_id long, edits long, start_word long, end_word long"
@@ -198,25 +206,28 @@ def leaks(docs: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFrame:
         names = ["doc_id", "item_id", "edits", "start_word", "end_word"]
         return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 5)], names=names)
 
-    result = None
-    for index in _blocks(items, block):
-        part = _over(own, index, rows, schema)
-        result = part if result is None else result.unionByName(part)
-    return result
+    return reduce(DataFrame.unionByName, _each_block(own, items, block, lambda d, sent: _over(d, sent, rows, schema)))
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The rows of docs that hold no item; columns as they are."""
+    """The rows of docs that hold no item; columns as they are, whatever their names. Each block of items sees what the
+    ones before left; rows with null or empty texts stay."""
 
     def keep(b: pa.RecordBatch, found: list[dict]) -> pa.RecordBatch:
         return b.filter(pa.array([not f for f in found], pa.bool_()))
 
-    for index in _blocks(items, block):
-        docs = _over(docs, index, keep, docs.schema)
-    return docs
+    left = [docs]
+
+    def pass_(_: DataFrame, sent) -> DataFrame:
+        return _over(left[-1], sent, keep, docs.schema)
+
+    for result in _each_block(docs, items, block, pass_):
+        left.append(result)
+    return left[-1]
 
 
 def op3_decontamination(spark, sf_dir):
+    """doc_id, item_id, edits, start_word and end_word for every row of `documents` and item of `benchmark` that it holds."""
     from .common import spread, table
 
     return leaks(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "benchmark"))
