@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -14,9 +15,12 @@ from pyspark.sql import functions as F
 
 from .common import bucket_of, pieces, small_batches, spread, table
 
-WORD = re.compile(r"[^\W\d_]+")
-#: About so many training documents of each language, runs of words taken from each, words of a run.
-PER_LANGUAGE, RUNS, RUN = 400, 4, 24
+#: Characters that are word characters though no letters, such as fractions, raised and Roman numbers.
+NUMERIC = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+#: Runs of letters.
+WORD = re.compile(rf"[^\W\d_{NUMERIC}]+")
+#: About so many training documents of each language, all words of each, in runs of so many words.
+PER_LANGUAGE, RUN = 150, 24
 #: Most features kept, least runs that a feature must occur in, words of each language's lexicon.
 FEATURES, LEAST, LEXICON = 60_000, 3, 1500
 STEPS, RATE, DECAY = 60, 0.15, 1e-5
@@ -39,16 +43,13 @@ def features_of(word: str, lexicons: dict[str, str]) -> list[str]:
 
 
 def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A few runs of words from anywhere in each text, the same at every run of the job."""
+    """All words of each text, cut into runs."""
     for b in pieces(batches):
         langs, runs = [], []
         for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             words = words_of(text)
-            draw = random.Random(f"{len(words)} {words[:8]}")
-            for _ in range(min(RUNS, -(-len(words) // RUN))):
-                at = draw.randrange(max(1, len(words) - RUN + 1))
-                langs.append(lang)
-                runs.append(words[at : at + RUN])
+            runs += [words[i : i + RUN] for i in range(0, len(words), RUN)]
+            langs += [lang] * -(-len(words) // RUN)
         yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(runs, pa.list_(pa.string()))], names=["lang", "words"])
 
 
@@ -163,17 +164,17 @@ def fit(runs: list[tuple[str, list[str]]], steps: int = STEPS) -> Crf:
 def train(docs: DataFrame, usable=None, per_language: int = PER_LANGUAGE) -> Crf | None:
     """Fit on text and lang of docs that meet `usable`, a condition on doc_id, and have a lang.
 
-    Of each language about `per_language` documents are taken by a hash of doc_id and up to RUNS runs of RUN words from
-    anywhere in each; nothing else is a sample. None where there is nothing to learn from.
+    Of each language about `per_language` documents are taken by a hash of doc_id, with all their words; that is the
+    only sample. The languages that the corpus has are collected, and must be few. Rows without doc_id, lang or words
+    teach nothing; None where nothing else is there.
     """
     usable = F.lit(True) if usable is None else usable
     known = docs.where(usable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
-    limit = F.lit(0)
-    for lang, n in counts.items():
-        limit = F.when(F.col("lang") == lang, int(1_000_003 * min(1.0, per_language / n)) + 1).otherwise(limit)
+    limits = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(1_000_003 * min(1.0, per_language / n)) + 1)])
+    limit = limits[F.col("lang")]
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < limit).select("lang", "text")
     rows = chosen.mapInArrow(_runs, "lang string, words array<string>").toArrow()
     runs = list(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True))
@@ -245,10 +246,13 @@ def predict(docs: DataFrame, model: Crf | None) -> DataFrame:
 
 
 def held_out(key: str = "doc_id"):
-    return bucket_of(key, 3) == 1
+    """A doc_id that is null is in no fold that is held out."""
+    return F.coalesce(bucket_of(key, 3) == 1, F.lit(False))
 
 
 def op5_language_id(spark, sf_dir):
+    """doc_id, held_out, lang_pred and score per row of `documents`; a null doc_id is not held out, a text that is null
+    or has no letter is `und`, repeated rows are labelled each."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     model = train(docs, ~held_out())
     return predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

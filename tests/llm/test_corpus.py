@@ -123,6 +123,24 @@ def test_leaks_are_found_exact_and_edited_and_nothing_else(spark, odd):
     assert decontaminate.leaks(docs.limit(0), bench).count() == 0
 
 
+def test_leaks_with_words_put_in_left_out_and_replaced(spark):
+    draw = random.Random(11)
+    items = [(i, " ".join(f"v{draw.randrange(3000)}" for _ in range(draw.randint(15, 60)))) for i in range(40)]
+    texts, near = [], 0
+    for k in range(160):
+        own = items[k % 40][1].split()
+        for _ in range(int(0.18 * len(own))):
+            at, how = draw.randrange(len(own)), (k // 40) % 4
+            own[at : at + 1] = ([], [own[at], "put"], ["new"], draw.choice(([], [own[at], "put"], ["new"])))[how]
+        text = " ".join([f"u{draw.randrange(3000)}" for _ in range(60)] + own + ["end"] * 20)
+        near += decontaminate.best_match(decontaminate.hash_words(items[k % 40][1].encode()), decontaminate.hash_words(text.encode()))[0] <= int(0.2 * len(items[k % 40][1].split()))
+        texts.append((k, text))
+    docs, bench = table(spark, texts), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs.withColumn("item_id", F.lit("x")), bench).collect()}
+    assert near >= 120 and len(got) >= 0.95 * near and all(d % 40 == i for d, i in got)
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench, block=15).collect()} == got
+
+
 # 4: fingerprints
 
 
@@ -201,6 +219,9 @@ def test_held_out_languages_and_code_switching(spark, small, odd):
     labels = [model.labels[i] for i in p.argmax(axis=1)]
     half = len(language.words_of(de))
     assert labels[:half].count("de") >= 0.9 * half and labels[half:].count("fr") >= 0.9 * (lengths[0] - half)
+    digits = table(spark, [(1, "½ ² Ⅷ ① 12"), (2, "_ 3"), (3, "½x")])
+    assert {r.doc_id: (r.lang_pred == "und", r.score == 0) for r in language.predict(digits, model).collect()} == {1: (True, True), 2: (True, True), 3: (False, False)}
+    assert odd.where(language.held_out().isNull()).count() == 0
     odds = {r.doc_id: r.lang_pred for r in language.predict(odd, model).collect()}
     assert odds[1] == odds[2] == odds[3] == "und" and odds[4] != "und"
     assert language.train(docs.limit(0)) is None and language.predict(odd, None).where("lang_pred <> 'und'").count() == 0
@@ -317,9 +338,12 @@ def test_url_rules_against_a_loop(spark):
         fit = [(len(h + p), h + p, v) for v, h, p in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
         best = max(fit, default=(0, None, "allow"))
         want[i] = (host, path, best[1], best[2])
-    for most in (url_filter.BROADCAST_BYTES, 0):
+    assert url_filter.shards(4, 1000) == 1 and url_filter.shards(10**9, 10**10) > 1
+    for most in (url_filter.BROADCAST_BYTES, 2):  # the second splits each list into several cascades
         got = url_filter.judge(pages, rules, most_bytes=most).collect()
         assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got} == want and len(got) == len(urls)
+    long = spark.createDataFrame([(1, "http://" + "a." * 200_000 + "net/" + "x" * 200_000), (2, "http://" + "." * 300_000), (2, None)], "page_id long, url string")
+    assert sorted((r.page_id, r.rule) for r in url_filter.judge(long.withColumn("host", F.lit(1)), rules).collect() if r.rule) == [(1, "net/")]
     assert url_filter.judge(pages.limit(0), rules).count() == 0
     assert url_filter.judge(pages, rules.limit(0)).where("rule is not null").count() == 0
 
