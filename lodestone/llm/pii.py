@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import cut_lineage, pieces, small_batches
 
-KINDS = ("email", "ip", "card", "phone", "name")
+KINDS = ("email", "ip", "card", "phone", "name", "secret")
 #: A candidate that no base pattern found is added from this probability on.
 THRESHOLD = 0.8
 
@@ -27,11 +28,17 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 AT = re.compile(r"(?<![\w.%+-])([A-Za-z0-9._%+-]{1,64}) ?(?:\[at\]|\(at\)| at ) ?([A-Za-z0-9-]{1,63}(?:(?:\.| dot |\[dot\]|\(dot\))[A-Za-z0-9-]{1,63}){1,6})(?!\w)")
 V6 = re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){3,7}:?[0-9A-Fa-f]{1,4}(?![\w:])")
 LOOSE_PHONE = re.compile(r"(?<![\w+.-])\(?0?[0-9]{2,5}\)?[\x20./-][0-9]{2,5}(?:[\x20./-][0-9]{2,5}){1,3}(?![\w.-])")
+SECRET = re.compile(r"(?<![\w+/=.-])[A-Za-z0-9+/_=-]{20,}+(?!\w)")
 NAME = re.compile(r"(?<!\w)([A-Z][a-z]{2,14}) ([A-Z][a-z]{2,20})(?!\w)")
 
-#: Gazetteers: common top-level domains, given names, card issuer prefixes, calling codes.
-TLDS = frozenset("com org net edu gov info io de fr es uk eu us ca ch at it nl be pl se no dk fi pt ie ru jp cn in br au".split())
-GIVEN = frozenset("Anna Maria Peter Paul John James Mary Robert Michael William David Richard Joseph Thomas Charles Linda Susan Jessica Sarah Karen Nancy Lisa Daniel Matthew Anthony Mark Andrew Hans Klaus Jürgen Stefan Wolfgang Ursula Monika Petra Sabine Jean Pierre Michel Philippe Marie Nathalie Isabelle Sophie José Antonio Manuel Carmen Josefa Dolores Pilar Juan Carlos Luis".split())
+#: Gazetteers: common top-level domains, given names, card issuer prefixes, calling codes, beginnings of issued keys.
+TLDS = frozenset(
+    "com org net edu gov mil int info biz io ai app dev xyz online site shop club eu uk us ca mx ar br cl co pe ve de at ch li fr be lu nl es pt it gr mt ie is no se dk fi ee lv lt pl cz sk hu si hr rs ba me mk al bg ro md ua by ru ge am az kz uz tr il ae sa qa kw ir iq in pk bd lk np cn hk tw jp kr th vn my sg id ph au nz za ng ke gh eg ma tn dz".split()
+)
+GIVEN = frozenset(
+    "Anna Maria Peter Paul John James Mary Robert Michael William David Richard Joseph Thomas Charles Linda Susan Jessica Sarah Karen Nancy Lisa Daniel Matthew Anthony Mark Andrew Steven Kevin Brian George Edward Ronald Jason Jennifer Elizabeth Barbara Patricia Margaret Sandra Ashley Emily Laura Emma Olivia Sophia Hannah Jacob Ethan Noah Liam Lucas Henry Oliver Jack Harry Alice Grace Hans Klaus Jürgen Stefan Wolfgang Ursula Monika Petra Sabine Heike Birgit Katrin Julia Lena Leon Felix Jonas Lukas Jan Tim Uwe Dieter Helmut Jean Pierre Michel Philippe Marie Nathalie Isabelle Sophie Camille Julien Nicolas Antoine Chantal Hélène Claire Élodie Luc Louis Hugo José Antonio Manuel Carmen Josefa Dolores Pilar Juan Carlos Luis Javier Miguel Rafael Sofía Lucía Elena Pablo Diego Fernando Marta Ana Teresa Alberto Sergio Jorge Raquel".split()
+)
+KEY_STARTS = ("AKIA", "ASIA", "AIza", "ghp_", "gho_", "ghs_", "glpat-", "sk-", "sk_live_", "pk_live_", "xoxb-", "xoxp-", "eyJ", "ssh-")
 ISSUERS = ("4", "51", "52", "53", "54", "55", "34", "37", "6011", "65", "35", "36", "22", "23", "24", "25", "26", "27")
 CALLING = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 52 54 55 61 81 86 90 91".split())
 #: Words before a span that speak for its kind, and such as speak against any.
@@ -40,9 +47,14 @@ FOR = {
     "ip": re.compile(r"(?i)\bip\b|host|server|address|adresse|client|remote"),
     "card": re.compile(r"(?i)card|visa|master|karte|tarjeta|carte|cc\b"),
     "phone": re.compile(r"(?i)tel|phone|call|fax|mobil|anruf|appel|llam"),
+    "secret": re.compile(r"(?i)(token|secret|passw|pwd|api.?key|bearer|auth|credential|private|access|clave|schlüssel|jeton)\w*\W{0,6}$"),
     "name": re.compile(r"(?i)\bmr|mrs|ms\b|\bdr\b|herr|frau|señor|monsieur|madame|name|dear"),
 }
 AGAINST = re.compile(r"(?i)token|hash|version|isbn|order|invoice|sku|serial|sha|id\s*[=:]|[=#/_]\s*$")
+#: Words right before a long string by which it is no secret.
+PUBLIC = re.compile(r"(?i)(sha-?\d*|md5|hash|checksum|digest|commit|revision|uuid|version|etag|href|src|url)\W{0,6}$")
+#: Buckets of the word before a span, which the classifier sees by a hash.
+WORDS = 32
 #: What each place of a vote string stands for.
 LABELERS = ("base pattern", "format", "gazetteer", "context for", "context against", "edges")
 SPAN = "struct<kind:int,start:int,end:int,votes:string,shape:string>"
@@ -101,6 +113,7 @@ def wide_spans(text: str) -> list[tuple[int, int, int]]:
             out.append((2, *m.span()))
     out += [(3, *m.span()) for m in LOOSE_PHONE.finditer(text)]
     out += [(4, *m.span()) for m in NAME.finditer(text) if m[1] in GIVEN]
+    out += [(5, *m.span()) for m in SECRET.finditer(text) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
     return out
 
 
@@ -121,19 +134,26 @@ def votes(text: str, kind: int, start: int, end: int, base: bool) -> str:
     elif name == "phone":
         form = "+" if 8 <= len(digits) <= 15 else "-"
         listed = "+" if base and any(digits.startswith(c) for c in CALLING) or not base and digits.startswith("0") else "0" if base else "-"
+    elif name == "secret":
+        classes = sum(bool(re.search(c, span)) for c in ("[a-z]", "[A-Z]", "[0-9]"))
+        form = "+" if re.fullmatch("(?i)[0-9a-f]{32,}", span) or classes == 3 and not re.search("[/_-]{1}[a-z]+[/_-]", span) else "-"
+        listed = "+" if span.startswith(KEY_STARTS) else "0"
     else:
         form, listed = "0", "+"
     near = "+" if FOR[name].search(before) else "0" if base else "-"
-    bad = "-" if AGAINST.search(before[-16:]) else "0"
+    bad = "-" if (PUBLIC.search(before) if name == "secret" else AGAINST.search(before[-16:])) else "0"
     inside = (start > 0 and (text[start - 1].isalnum() or text[start - 1] == "_")) or (end < len(text) and (text[end].isalnum() or text[end] == "_"))
     return "".join(("+" if base else "0", form, listed, near, bad, "-" if inside else "+"))
 
 
 def shape(text: str, start: int, end: int) -> str:
-    """A coarse surface of the span for the classifier: digits, separators and length, each in a few steps."""
+    """What the classifier sees of the span and its context besides the votes: digits, separators and length in a few
+    steps, the kinds of letters, and the bucket of the word before."""
     span = text[start:end]
     seps = (" " in span) + 2 * ("-" in span or "." in span or "/" in span)
-    return f"{min(5, sum(c.isdigit() for c in span) // 4)}{seps}{min(5, (end - start) // 6)}"
+    letters = any(c.islower() for c in span) + 2 * any(c.isupper() for c in span)
+    word = re.findall(r"[^\W\d_]+", text[max(0, start - 24) : start].lower())[-1:]
+    return f"{min(5, sum(c.isdigit() for c in span) // 4)}{seps}{min(5, (end - start) // 6)}{letters}{chr(65 + zlib.crc32(word[0].encode()) % WORDS) if word else '-'}"
 
 
 def candidates(text: str) -> tuple[list[tuple], list[tuple]]:
@@ -234,10 +254,12 @@ def find_spans(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, base, added) per row of docs: arrays of spans (kind, start, end), code points, end exclusive.
 
     Base spans are those of the fixed patterns and always stay. Wider patterns give further candidates; labelers vote
-    on all of them, the votes are counted over the whole table, EM weighs the labelers on those counts (at most a few
-    thousand patterns, whatever the table's size), and a classifier trained on that adds candidates of at least
+    on all of them, the votes are counted over the whole table, EM weighs the labelers on those counts (a bounded
+    number of patterns, whatever the table's size), and a classifier trained on that, which also sees the span's shape
+    and the word before it, adds candidates of at least
     `threshold`; of overlapping ones the likelier, then the earlier. Null and empty texts have no spans. Repeated rows
-    are searched each. One pass over the texts, no shuffle of them.
+    are searched each, an empty table gives an empty result, and other columns are ignored. One pass over the texts,
+    no shuffle of them.
     """
     small_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -292,14 +314,14 @@ def _digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for base, added in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
             own = [(x["kind"], x["start"], x["end"]) for x in base]
             more = [(x["kind"], x["start"], x["end"]) for x in added]
-            rows.append((*(sum(k == i for k, _, _ in own) for i in range(4)), hashlib.sha256(listed(own).encode()).hexdigest(), listed(own + more)))
-        kinds = [pa.int64()] * 4 + [pa.string()] * 2
-        yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+            rows.append((*(sum(k == i for k, _, _ in own) for i in range(4)), hashlib.sha256(listed(own).encode()).hexdigest(), listed(own + more), len(more), len(own) + len(more)))
+        kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()] * 2
+        yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added", "n_spans"])
 
 
 def op10_pii(spark, sf_dir):
-    """Base spans by count and digest, and all spans."""
+    """Base spans by count and digest, all spans, and how many were added and are there in all, per row of `documents`."""
     from .common import spread, table
 
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long"
     return find_spans(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).mapInArrow(_digest, schema)

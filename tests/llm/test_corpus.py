@@ -447,6 +447,24 @@ def test_voting_adds_spans_and_keeps_base_ones(spark, odd):
     assert pii.redact("a b@c.de f", [(0, 2, 8)]) == "a <email> f"
 
 
+def test_personal_data_query_by_brute_force_and_secrets(spark, small):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    kinds = pii.KINDS
+    caught, planted = 0, 0
+    for r in pii.op10_pii(spark, small).collect():
+        own = naive(texts[r.doc_id])
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == i for k, _, _ in own) for i in range(4))
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{kinds[k]}:{s}:{e}" for k, s, e in own).encode()).hexdigest()
+        spans = [(kinds.index(k), int(s), int(e)) for k, s, e in (x.split(":") for x in r.spans.split(",") if x)]
+        assert spans == sorted(spans) and set(own) <= set(spans) and len(spans) == r.n_spans == r.n_added + len(own)
+        planted += 'token = "' in texts[r.doc_id]
+        caught += 'token = "' in texts[r.doc_id] and any(k == 5 for k, _, _ in spans)
+    assert caught == planted
+    docs = table(spark, [(i, f'api key = "{hashlib.sha1(str(i).encode()).hexdigest()}" was used') for i in range(80)] + [(100 + i, f"commit {hashlib.sha1(str(i).encode()).hexdigest()} and a_long_name_of_a_function_{i}") for i in range(80)])
+    found = {r.doc_id: [x.kind for x in r.added] for r in pii.find_spans(docs.withColumns({"base": F.lit(1), "kind": F.lit("k")})).collect()}
+    assert all(found[i] == [5] for i in range(80)) and not any(found[100 + i] for i in range(80))
+
+
 def test_em_learns_which_labelers_to_trust():
     patterns = [(0, "++", 500), (0, "--", 500), (0, "+-", 40), (0, "-+", 4)]
     q = pii.estimate(patterns)
