@@ -98,3 +98,46 @@ def as_list(c: Column | str) -> Column:
     c = strip(c)
     parts = F.coalesce(F.when(c.startswith("["), F.from_json(c, "array<string>")), F.split(c, ","))
     return F.filter(F.transform(parts, strip), lambda x: x != "")
+
+
+def sentence_list(c: Column | str) -> Column:
+    """Parts that end with . ! or ?, stripped, without blank ones; such a mark that begins a part doesn't end it."""
+    parts = F.regexp_extract_all(col(c), F.lit(r"(?s)(.[^.!?]*[.!?]|.+\z)"), F.lit(1))
+    return F.filter(F.transform(parts, strip), lambda x: x != "")
+
+
+def uuids(values: Column | str) -> Column:
+    """The elements of an array of strings that are UUIDs, lower-cased, in order."""
+    low = F.transform(col(values), lambda x: F.lower(F.trim(x)))
+    return F.filter(low, lambda x: F.coalesce(x.rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"), F.lit(False)))
+
+
+def iso_time(c: Column | str) -> Column:
+    """A timestamp as YYYY-MM-DDTHH:MM:SS."""
+    return F.date_format(col(c), "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def parse_time(c: Column | str) -> Column:
+    """The timestamp without zone that an ISO text says, null for any other text."""
+    return F.try_to_timestamp(F.regexp_replace(col(c), "T", " ")).cast("timestamp_ntz")
+
+
+def asks_for_question(c: Column | str) -> Column:
+    """Whether a text asks to show, display, give or list a numbered question."""
+    return F.coalesce(col(c).rlike(r"(?i)\b(show|display|give|list)\b.*\bquestion\s+\d+\b"), F.lit(False))
+
+
+def missed_tokens(read: Column, hit: Column, created: Column | None = None) -> Column:
+    """Input tokens that no cache held, at least 0; null where the input is unknown."""
+    used = F.coalesce(hit, F.lit(0)) + (F.lit(0) if created is None else F.coalesce(created, F.lit(0)))
+    return F.when(read.isNotNull(), F.greatest(read - used, F.lit(0)))
+
+
+def provider(model: Column | str) -> Column:
+    """Who offers a model, by the beginning of its name."""
+    m = col(model)
+    return F.when(m.startswith("gpt-") | m.startswith("text-embedding-"), "openai").when(m.startswith("claude-"), "anthropic").when(m.startswith("voyage-"), "voyage").otherwise("ollama")
+
+
+def clamp(c: Column | str, low: float, high: float) -> Column:
+    return F.greatest(F.lit(low), F.least(F.lit(high), col(c)))

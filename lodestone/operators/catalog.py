@@ -85,3 +85,68 @@ def read_export(spark: SparkSession, folder: str, schemas: dict[str, str]) -> di
 def newest(rows: DataFrame, n: int, by: Column) -> DataFrame:
     """The n newest rows."""
     return rows.orderBy(by.desc()).limit(n)
+
+
+def replace_samples(old: DataFrame, new: DataFrame, replaced: DataFrame, column: str = "collection") -> DataFrame:
+    """old and new samples, without the old ones of the collections in `replaced`."""
+    return delete(old, replaced, [column]).unionByName(new, allowMissingColumns=True)
+
+
+def oldest(rows: DataFrame, by: list[Column], n: int | None = None) -> DataFrame:
+    """rows in order, the first n if a number is given."""
+    out = rows.orderBy(*by)
+    return out if n is None else out.limit(n)
+
+
+def latest(rows: DataFrame, by: Column, key: list[str]) -> DataFrame:
+    """The newest row of each key: the one in force of settings or prompts that are only ever added to."""
+    best = rows.groupBy(*key).agg(F.max(F.struct(by.alias("by"), F.struct(*rows.columns).alias("row"))).alias("best"))
+    return best.select("best.row.*")
+
+
+def cascade(collections: DataFrame, docs: DataFrame, marked: DataFrame, restore: bool = False, statuses: tuple[str, ...] = ("status", "embeddings_status", "bm25_status")) -> tuple[DataFrame, DataFrame]:
+    """(collections, docs) after the marked collections were deleted softly with their documents, or restored; what is
+    restored must be indexed anew, so its statuses become pending."""
+    mark = marked.select("collection").distinct().withColumn("__marked", F.lit(True))
+
+    def turned(df: DataFrame) -> DataFrame:
+        own = df.join(mark, "collection", "left")
+        hit = F.coalesce("__marked", F.lit(False))
+        own = own.withColumn("is_deleted", F.when(hit, not restore).otherwise(F.col("is_deleted")))
+        if restore:
+            own = own.withColumns({c: F.when(hit, "pending").otherwise(F.col(c)) for c in statuses if c in df.columns})
+        return own.drop("__marked")
+
+    return turned(collections), turned(docs)
+
+
+def purge(rows: DataFrame, collections: DataFrame) -> DataFrame:
+    """rows without those of collections that are deleted."""
+    return rows.join(collections.where("is_deleted").select("collection"), "collection", "left_anti")
+
+
+def backfill(rows: DataFrame, column: str, values: dict[str, str], default: str) -> DataFrame:
+    """rows with the values of a column renamed; null ones get the default, others stay."""
+    c = F.col(column)
+    new = F.when(c.isNull(), default)
+    for old, other in values.items():
+        new = new.when(c == old, other)
+    return rows.withColumn(column, new.otherwise(c))
+
+
+def missing(rows: DataFrame, wanted: DataFrame, key: list[str]) -> DataFrame:
+    """rows and those wanted whose key isn't there."""
+    return rows.unionByName(wanted.join(rows.select(*key), key, "left_anti"), allowMissingColumns=True)
+
+
+def valid_tokens(tokens: DataFrame, now: Column) -> DataFrame:
+    """Tokens that aren't revoked, used up or expired; one that expires now is."""
+    gone = F.col("revoked_at").isNotNull() | F.coalesce(F.col("expires_at") <= now, F.lit(False)) | F.coalesce(F.col("used"), F.lit(False))
+    return tokens.where(~gone)
+
+
+def matching(rows: DataFrame, title: str, key: str, text: str, label: str = "untitled chat") -> DataFrame:
+    """rows whose title (the label if blank) or key holds the text, in any case; a blank text fits all."""
+    low = text.strip().lower()
+    shown = F.coalesce(F.nullif(F.trim(title), F.lit("")), F.lit(label))
+    return rows.where(F.lower(shown).contains(low) | F.lower(F.col(key).cast("string")).contains(low)) if low else rows

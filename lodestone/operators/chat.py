@@ -55,10 +55,13 @@ def promote(gold: DataFrame, rated: DataFrame, messages: DataFrame) -> DataFrame
     """Gold samples (source_id, question, answer) after ratings (conv_id, turn, rating) came in.
 
     An assistant message rated 1 with a question before it replaces or adds its sample; any other rating takes it away.
-    source_id is `conv_id:turn`; samples without one stay.
+    source_id is `conv_id:turn`; samples without one stay. Of several ratings of a message the latest by the column
+    `rated_at` counts, without one the highest.
     """
     key = F.concat_ws(":", "conv_id", "turn").alias("source_id")
-    judged = rated.select(key, "rating").dropDuplicates(["source_id"])
+    when = F.col("rated_at") if "rated_at" in rated.columns else F.lit(0)
+    last = F.max(F.struct(when.alias("at"), "rating")).alias("last")
+    judged = rated.groupBy(key).agg(last).select("source_id", F.col("last.rating").alias("rating"))
     found = pairs(messages).where("question is not null").select(key, "question", "answer")
     new = found.join(judged.where("rating = 1"), "source_id").select("source_id", "question", "answer")
     return gold.join(judged.select("source_id"), "source_id", "left_anti").unionByName(new)
@@ -75,3 +78,33 @@ def without_message(messages: DataFrame, gone: DataFrame, with_partner: bool = T
         near = roles.where(step.isNotNull()).select("conv_id", (F.col("turn") + step).alias("turn"), other.alias("role")).where("turn > 0")
         keys = keys.unionByName(messages.join(near, ["conv_id", "turn", "role"], "left_semi").select("conv_id", "turn")).distinct()
     return messages.join(keys, ["conv_id", "turn"], "left_anti")
+
+
+def feedback(messages: DataFrame, conversations: DataFrame, gold: DataFrame, rating: int | None = None, most: int = 500) -> DataFrame:
+    """The newest rated answers (conv_id, turn, rating, collection, gold_id), at most 500: with one rating, or any but 0.
+
+    messages (conv_id, turn, role, rating, created_at), conversations (conv_id, collection), gold (source_id, gold_id)."""
+    wanted = F.coalesce(F.col("rating"), F.lit(0)) != 0 if rating is None else F.col("rating") == rating
+    own = messages.where((F.col("role") == "assistant") & wanted).join(conversations.select("conv_id", "collection"), "conv_id")
+    own = own.orderBy(F.desc("created_at"), "conv_id", "turn").limit(max(1, min(most, 500)))
+    own = own.withColumn("source_id", F.concat_ws(":", "conv_id", "turn"))
+    return own.join(gold.select("source_id", "gold_id"), "source_id", "left").select("conv_id", "turn", "rating", "collection", "gold_id")
+
+
+def source_list(sources: Column | str, most: int = 100, length: int = 200) -> Column:
+    """An array of (name, chunk_index, score, text) as lines, the first `most`, with the beginning of each text."""
+    sources = F.col(sources) if isinstance(sources, str) else sources
+
+    def line(s: Column) -> Column:
+        flat = F.replace(F.trim(F.coalesce(s["text"], F.lit(""))), F.lit("\n"), F.lit(" "))
+        cut = F.when(F.length(flat) > length, F.concat(F.substring(flat, 1, length), F.lit("…"))).otherwise(flat)
+        part = lambda c, none: F.coalesce(s[c].cast("string"), F.lit(none))
+        return F.concat(F.lit("- "), part("name", "unknown"), F.lit(" (chunk "), part("chunk_index", "?"), F.lit(", score "), part("score", "?"), F.lit("): "), cut)
+
+    return F.array_join(F.transform(F.slice(sources, 1, most), line), "\n")
+
+
+def confidence(scores: Column | str) -> Column:
+    """The mean of an array of scores, 0 for none."""
+    scores = F.col(scores) if isinstance(scores, str) else scores
+    return F.when(F.coalesce(F.size(scores), F.lit(0)) <= 0, 0.0).otherwise(F.aggregate(scores, F.lit(0.0), lambda a, x: a + x) / F.size(scores))

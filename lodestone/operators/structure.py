@@ -61,7 +61,8 @@ def reading_order(blocks: DataFrame) -> DataFrame:
     band = F.sum(F.col("spans").cast("int")).over(page.orderBy("y0", F.col("spans").desc()).rowsBetween(Window.unboundedPreceding, 0))
     own = own.withColumn("band", band - F.col("spans").cast("int"))
     side = F.when(F.col("spans"), 2).when(F.col("gutter").isNull(), 0).when((F.col("x0") + F.col("x1")) / 2 < F.col("gutter"), 0).otherwise(1)
-    place = F.row_number().over(page.orderBy("band", side, "y0", "x0"))
+    ends = [c for c in ("x1", "y1", "text") if c in own.columns]  # blocks that begin at one place come in one order
+    place = F.row_number().over(page.orderBy("band", side, "y0", "x0", *ends))
     return own.withColumn("place", place).drop("band", "spans")
 
 
@@ -99,3 +100,31 @@ def distinct_headings(heads: DataFrame, least: int = 4) -> DataFrame:
     by = Window.partitionBy("doc_id", "text")
     own = heads.withColumns({"n": F.count("*").over(by), "nth": F.row_number().over(by.orderBy("pos"))})
     return own.where((F.col("n") < least) | (F.col("nth") == 1)).drop("n", "nth")
+
+
+def footer_numbers(blocks: DataFrame, share: float = 0.05) -> DataFrame:
+    """(doc_id, page, number): the last line of one to four digits in the lowest part of a page; pages without one are
+    left out. blocks has (doc_id, page, page_height, y0, x0, text)."""
+    foot = blocks.where(F.col("y0") >= (1 - share) * F.col("page_height"))
+    lines = foot.select("doc_id", "page", "y0", "x0", F.posexplode(F.split("text", "\n", -1)).alias("line", "text")).withColumn("text", F.trim("text"))
+    last = F.max(F.struct("y0", "x0", "line", F.col("text").alias("number")))
+    return lines.where(F.col("text").rlike("^[0-9]{1,4}$")).groupBy("doc_id", "page").agg(last.alias("last")).select("doc_id", "page", F.col("last.number").cast("int").alias("number"))
+
+
+def block_headings(blocks: DataFrame, ratio: float = 1.15, bold: float = 0.85, least: int = 5, most: int = 120) -> DataFrame:
+    """(doc_id, page, y0, x0, level, text) of blocks (doc_id, page, y0, x0, size, bold_share, text) that are headings.
+
+    A block whose largest font exceeds the page's median by `ratio` is one, of level 1 from twice the median on, 2 from
+    one and a half, else 3, unless it has 200 characters or digits only. Else a first line of which `bold` is bold and
+    that has `least` to `most` - 1 characters is one of level 2.
+    """
+    median = blocks.groupBy("doc_id", "page").agg(F.percentile("size", F.lit(0.5)).alias("median"))
+    own = blocks.join(median, ["doc_id", "page"])
+    part = F.col("size") / F.col("median")
+    large = (F.col("median") > 0) & (F.col("size") > F.col("median") * ratio)
+    one = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    line = F.trim(F.get(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), F.lit(0)))
+    thick = ~large & (F.col("bold_share") >= bold) & (F.length(line) >= least) & (F.length(line) < most)
+    level = F.when(large & (part >= 2), 1).when(large & (part >= 1.5), 2).when(large, 3).when(thick, 2)
+    found = own.select("doc_id", "page", "y0", "x0", level.alias("level"), F.when(large, one(F.col("text"))).otherwise(one(line)).alias("text"), large.alias("large"))
+    return found.where("level is not null and text <> '' and not text rlike '^[0-9]+$' and (not large or length(text) < 200)").drop("large")

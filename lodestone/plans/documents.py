@@ -146,16 +146,6 @@ def qa_summary(spark, d):
     return m.select("n", *[F.round(c, 6).alias(c) for c in m.columns[1:]])
 
 
-def retrieval_recall(spark, d):
-    docs = _docs(spark, d)
-    sources = F.array(F.struct(F.col("doc_id").cast("string").alias("document_id"), F.lit(0).alias("chunk_index")), F.struct(F.lit("1").alias("document_id"), F.lit(2).alias("chunk_index")))
-    k = F.col("doc_id") % 4
-    doc = F.when(k.isin(0, 1), F.col("doc_id").cast("string")).when(k == 2, F.lit("1"))
-    index = F.when(k == 0, F.lit(0)).when(k == 1, F.lit(5))
-    rows = docs.select("doc_id", sources.alias("s"), doc.alias("doc"), index.alias("index"))
-    return rows.select("doc_id", evaluate.recall("s", "doc", "index").alias("recall"))
-
-
 def feedback_promotion(spark, d):
     talk = _talk(spark, d)
     rated = talk.select("conv_id", "turn", F.when((F.col("conv_id") + F.col("turn")) % 3 == 0, 1).when((F.col("conv_id") + F.col("turn")) % 3 == 1, -1).alias("rating")).where("rating is not null")
@@ -267,7 +257,6 @@ QUERIES = {
     "web_pages": web_pages,
     "qa_metrics": qa_metrics,
     "qa_summary": qa_summary,
-    "retrieval_recall": retrieval_recall,
     "chat_pairs": _chat(chat.pairs),
     "chat_history_tail": _chat(lambda t: chat.tail(t, 3).select("conv_id", "turn", "role", "place")),
     "chat_next_index": _chat(chat.next_turn),
@@ -320,7 +309,7 @@ o as (select *, coalesce(sum(length(line) + 1) over (partition by doc_id order b
 _BLOCKS = f"""l as (select doc_id, {_LINES} from documents),
 b as (select doc_id, (i // 40)::int as page, i % 40 as k, (i % 40) * 20.0 as y0, (i % 40) * 20.0 + 15 as y1,
   case when (i % 40) % 2 = 1 and (i % 40) % 13 <> 0 then 320.0 else 50.0 end as x0,
-  case when (i % 40) % 13 = 0 then 550.0 when (i % 40) % 2 = 1 then 550.0 else 280.0 end as x1, substr(line, 1, 60) as text from l),
+  case when (i % 40) % 13 = 0 then 550.0 when (i % 40) % 2 = 1 then 550.0 else 280.0 end as x1, line as text from l),
 g0 as (select *, (x0 + x1) / 2 as c, row_number() over w as rn, lag((x0 + x1) / 2) over w as before from b window w as (partition by doc_id, page order by (x0 + x1) / 2)),
 g1 as (select doc_id, page, count(*) as n, arg_max(struct_pack(gap := c - before, l := rn - 1, x := (c + before) / 2), (c - before, -rn)) filter (before is not null) as m from g0 group by 1, 2),
 g as (select doc_id, page, case when n >= 6 and m.gap >= 90 and m.l >= 3 and n - m.l >= 3 then m.x end as gutter from g1)"""
@@ -369,7 +358,6 @@ r as (select page_id, split_part(a, '?', 1) || case when qa = '' then '' else '?
 select page_id, url, tagged, case when host = 'other.test' then 'https://other.test/x' else url end as foreign, host from r""",
     "qa_metrics": f"with {_METRICS} select conv_id, turn, em, round(f1, 6) as f1, round(concise_f1, 6) as concise_f1, no_answer from m",
     "qa_summary": f"with {_METRICS} select count(*) as n, round(avg(em), 6) as mean_em, round(avg(f1), 6) as mean_f1, round(avg(concise_f1), 6) as mean_concise_f1, round(avg(no_answer), 6) as mean_no_answer from m",
-    "retrieval_recall": "select doc_id, case doc_id % 4 when 0 then 1.0 when 1 then 0.0 when 2 then 1.0 end::double as recall from documents",
     "chat_pairs": _PAIRS,
     "chat_history_tail": "with r as (select *, row_number() over (partition by conv_id order by turn desc) as nth from conversations) select conv_id, turn, role, row_number() over (partition by conv_id order by turn) as place from r where nth <= 3",
     "chat_next_index": "select conv_id, max(turn) as last, max(turn) + 1 as next_user, max(turn) + 2 as next_assistant from conversations group by 1",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import documents, retrieval
+from . import documents, library, retrieval
 
-QUERIES = retrieval.QUERIES | documents.QUERIES
-SQL: dict[str, str] = retrieval.SQL | documents.SQL
+QUERIES = retrieval.QUERIES | documents.QUERIES | library.QUERIES
+SQL: dict[str, str] = retrieval.SQL | documents.SQL | library.SQL

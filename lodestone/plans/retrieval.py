@@ -178,13 +178,13 @@ SQL = {
     "bm25_or": _bm25_sql(0),
     "bm25_and": _bm25_sql(100),
     "bm25_min_match": _bm25_sql(50),
-    "bm25_phrase": rf"""with q as (select item_id as qid, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')[1:3] as ts from benchmark),
+    "bm25_phrase": rf"""with q as (select item_id as qid, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') as ts from benchmark),
 a as (select qid, len(ts) as n_terms, unnest(ts) as term, unnest(range(len(ts))) as off from q),
 p as (select id, unnest(ts) as term, unnest(range(len(ts))) as pos from (select doc_id as id, {TERMS.format("text")} as ts from documents)),
 m as (select qid, id, pos - off as start, n_terms, count(*) as n from p join a using (term) group by all)
 select qid, id, count(*) as n from m where n = n_terms group by 1, 2""",
     "hybrid_fusion": rf"""with {DENSE.format(where="")},
-questions as (select vec_id as qid, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')[1:3] as ts from embeddings join documents on doc_id = vec_id where vec_id % 50 = 0),
+questions as (select vec_id as qid, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') as ts from embeddings join documents on doc_id = vec_id where vec_id % 50 = 0),
 {BM25.replace("SHARE", "0")},
 l as (select qid, id, score / case when max(score) over (partition by qid) = 0 then 1 else max(score) over (partition by qid) end as norm from best where rank <= 20),
 dn as (select qid, id, score / case when max(score) over (partition by qid) = 0 then 1 else max(score) over (partition by qid) end as norm from r where rank <= 20),

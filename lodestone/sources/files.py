@@ -28,8 +28,17 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _utf8(content: Column) -> Column:
-    decode = lambda c: c.map(lambda b: None if b is None else bytes(b).decode("utf-8", "replace"))
-    return F.pandas_udf(decode, "string", F.PandasUDFType.SCALAR)(content)
+    return F.make_valid_utf8(content.cast("string"))
+
+
+def decode(content: Column, fallback: str = "ISO-8859-1") -> Column:
+    """Bytes as text: UTF-8 if they are that, else by the fallback charset."""
+    return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.decode(content, fallback))
+
+
+def from_base64(c: Column | str) -> Column:
+    """The bytes of a strict base64 text, null for any other."""
+    return F.try_to_binary(c, F.lit("base64"))
 
 
 def markdown_facts(text: Column) -> tuple[Column, Column]:

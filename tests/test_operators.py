@@ -244,3 +244,53 @@ def test_bm25_phrase_clause_and_stop_words(spark):
     assert [plain[i][0] for i in (1, 2)] == [1, 2] and [more[i][0] for i in (1, 2)] == [2, 1]
     assert more[2][1] == pytest.approx(2 * plain[2][1]) and more[1] == (2, plain[1][1])
     assert {(r.id, r.matched) for r in lexical.bm25(docs, q, 10, "all", stop=["red", "the"]).collect()} == {(1, 1), (2, 1)}
+
+
+def test_sentences_times_and_ids_of_odd_texts(spark):
+    from lodestone.functions import text as T
+
+    def plain(text):
+        out, pending = [], ""
+        for c in text:
+            pending += c
+            if c in ".!?" and len(pending) > 1:
+                out.append(pending.strip())
+                pending = ""
+        return [x for x in [*out, pending.strip()] if x]
+
+    texts = ["", ".", "...", "a. b! c", "?!x.", "one\ntwo. \n\n", "..a..b", " .", "é…!?"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.sentence_list("t").alias("s")).collect()
+    assert {r.t: r.s for r in got} == {t: plain(t) for t in texts}
+    row = spark.createDataFrame([(None, "x", 5, None)], "a string, b string, n int, u array<string>")
+    assert tuple(row.select(T.sentence_list("a"), T.parse_time("b"), T.missed_tokens(F.col("n"), F.lit(9)), T.uuids("u"), T.asks_for_question("a")).first()) == (None, None, 0, None, False)
+
+
+def test_payloads_take_headings_and_pages(spark):
+    from lodestone.operators import ingest
+
+    docs = spark.createDataFrame([(1, "# A\nsome text\n## B\nmore text", "kb", "a.md", "md", [(0, 1, None), (15, 2, 7)], None), (2, "", "kb", "b.txt", "txt", [], None), (3, "x", "kb", "c", "txt", None, "processing")], "doc_id long, text string, collection string, name string, file_type string, pages array<struct<off:int,physical:int,logical:int>>, status string")
+    rows, statuses = ingest.process(docs, 10, 0)
+    found = [(r.start_char, r.section_path, r.section_level, r.page_number) for r in rows.orderBy("start_char").collect()]
+    assert found == [(0, "A", 1, 1), (10, "A", 1, 1), (20, "A > B", 2, 7)]
+    assert {r.doc_id: (r.status, r.chunk_count, r.error) for r in statuses.collect()} == {1: ("completed", 3, None), 2: ("failed", 0, "no text")}
+    assert ingest.lexical_documents(rows).where("key = '1:2'").count() == 1
+    again, _ = ingest.reprocess(rows, docs.where("doc_id = 1"), size=100, overlap=0)
+    assert again.count() == 1
+
+
+def test_the_latest_rating_counts_and_bytes_are_decoded(spark):
+    from lodestone.operators import chat, evaluate
+    from lodestone.sources import files
+
+    talk = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "a")], "conv_id long, turn long, role string, text string")
+    gold = spark.createDataFrame([], "source_id string, question string, answer string")
+    for last, n in ((1, 1), (-1, 0)):
+        rated = spark.createDataFrame([(1, 1, -last, 1), (1, 1, last, 2)], "conv_id long, turn long, rating int, rated_at int")
+        assert chat.promote(gold, rated, talk).count() == n
+    raw = spark.createDataFrame([(bytearray("é".encode()),), (bytearray(b"\xe9"),)], "b binary")
+    assert [r[0] for r in raw.select(files.decode(F.col("b"))).collect()] == ["é", "é"]
+    pairs = [("a b a", "a a c", 2 / 3), ("", "x", 0.0), ("a", "a", 1.0), ("a a a", "a", 0.5)]
+    got = spark.createDataFrame(pairs, "p string, g string, want double").withColumn("f1", evaluate.token_f1("p", "g")).collect()
+    assert all(abs(r.f1 - r.want) < 1e-9 for r in got)
+    one = spark.createDataFrame([([("1", 0)],)], "s array<struct<document_id:string,chunk_index:int>>")
+    assert one.select(evaluate.recall("s", F.lit(""), F.lit(None).cast("int"))).first()[0] is None
