@@ -34,15 +34,27 @@ def query_terms(queries: DataFrame, stop: Sequence[str] = ()) -> DataFrame:
     return queries.select("qid", F.explode(t).alias("term"), F.size(t).alias("n_terms"))
 
 
+def percent_of(mode: str, share: int | None) -> int:
+    return share if share else {"any": 0, "all": 100, "balanced": 50}[mode]
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int, mode: str = "any", share: int | None = None, use_phrase: bool = False, stop: Sequence[str] = ()) -> DataFrame:
     """(qid, id, score, matched, rank): the k best of docs (id, text) for each of queries (qid, text).
 
     mode `any` needs one term, `all` every term, `balanced` half of them; `share` (percent, rounded down, one at
     least) takes precedence. idf is ln(1 + (N - df + 0.5) / (df + 0.5)); statistics cover all docs. Only terms of a
-    query leave the documents, counted before they are shuffled; ties go to the smaller id. Terms in `stop` (lower
+    query count; ties go to the smaller id. Documents are scored where they lie (bm25_long). Terms in `stop` (lower
     case) don't count in queries, documents or their lengths. With `use_phrase` a document that holds the whole query as
     a phrase, stop words included, gets the phrase's score added: the idf of all its terms, with the phrase's count as tf.
     """
+    if use_phrase:
+        return bm25_joined(docs, queries, k, mode, share, True, stop)
+    return bm25_long(docs, queries, k, percent=percent_of(mode, share), stop=stop)
+
+
+def bm25_joined(docs: DataFrame, queries: DataFrame, k: int, mode: str = "any", share: int | None = None, use_phrase: bool = False, stop: Sequence[str] = ()) -> DataFrame:
+    """bm25() by joins on terms, for the phrase clause, which needs every hit's score: a row per hit of a query's term.
+    Only terms of a query leave the documents, counted before they are shuffled."""
     own, wanted = corpus_terms(docs, stop), query_terms(queries, stop)
     stats = own.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     asked = wanted.select("term").distinct()
@@ -51,8 +63,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, mode: str = "any", share:
     idf = df.crossJoin(F.broadcast(stats)).select("term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     part = lambda tf: F.col("idf") * F.col(tf) * (K1 + 1) / (F.col(tf) + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     hits = wanted.join(idf, "term").join(tf, "term").groupBy("qid", "id", "n_terms").agg(F.sum(part("tf")).alias("score"), F.count("*").alias("matched"))
-    percent = share if share else {"any": 0, "all": 100, "balanced": 50}[mode]
-    hits = hits.where(F.col("matched") >= F.greatest(F.lit(1), F.floor(F.col("n_terms") * percent / 100)))
+    hits = hits.where(F.col("matched") >= F.greatest(F.lit(1), F.floor(F.col("n_terms") * percent_of(mode, share) / 100)))
     if use_phrase:
         whole = queries.select("qid", F.explode(kept(stop)).alias("term")).join(idf, "term").groupBy("qid", "avgdl").agg(F.sum("idf").alias("idf"))
         found = phrase(docs, queries).join(whole, "qid").join(own.select("id", "dl"), "id").select("qid", "id", part("n").alias("more"))
@@ -60,17 +71,17 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, mode: str = "any", share:
     return top_by(hits.select("qid", "id", "score", "matched"), k, ["qid"], [F.desc(F.round("score", 9)), F.asc("id")])
 
 
-def bm25_long(docs: DataFrame, queries: DataFrame, k: int, block: int = BLOCK, pairs: int = PAIRS) -> DataFrame:
-    """(qid, id, score, rank) as bm25() in mode `any`, for queries of any length, such as whole documents.
+def bm25_long(docs: DataFrame, queries: DataFrame, k: int, block: int = BLOCK, pairs: int = PAIRS, percent: int = 0, stop: Sequence[str] = ()) -> DataFrame:
+    """(qid, id, score, matched, rank) as bm25() has it, for queries of any length, such as whole documents.
 
-    Such queries share terms with nearly every document, so joining them term by term makes rows by the thousand for
+    Queries share terms with nearly every document, so joining them term by term makes rows by the thousand for
     a document. Here queries go out in blocks of a bounded number of terms, with their idf; each task scores its
     documents where they lie against a whole block and keeps k rows a query, so only those are shuffled.
     """
-    own, wanted = corpus_terms(docs), query_terms(queries).select("qid", "term")
+    own, wanted = corpus_terms(docs, stop), query_terms(queries, stop)
     n, avgdl = own.agg(F.count("*"), F.avg("dl")).first()
     df = own.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    idf = wanted.join(df, "term").select("qid", "term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    idf = wanted.join(df, "term").select("qid", "term", "n_terms", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     sizes = wanted.agg(F.count("*").alias("pairs"), F.count_distinct("qid").alias("queries")).first()
     parts = max(sizes.pairs // pairs, sizes.queries // block) + 1
     kinds = {"qid": queries.schema["qid"].dataType.simpleString(), "id": docs.schema["id"].dataType.simpleString()}
@@ -84,11 +95,13 @@ def bm25_long(docs: DataFrame, queries: DataFrame, k: int, block: int = BLOCK, p
         order = np.argsort(t, kind="stable")
         bounds, weight = np.searchsorted(t[order], np.arange(len(words) + 1)), np.zeros(len(words))
         weight[t] = rows["idf"].to_numpy()
-        sent = docs.sparkSession.sparkContext.broadcast((qids, pa.array(words, pa.string()), q[order], bounds, weight))
+        need = np.ones(len(qids), np.int64)
+        need[q] = np.maximum(1, rows["n_terms"].to_numpy() * percent // 100)
+        sent = docs.sparkSession.sparkContext.broadcast((qids, pa.array(words, pa.string()), q[order], bounds, weight, need))
 
         def nearest(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            qids, words, askers, bounds, weight = sent.value
-            ids, best, kind = None, None, None
+            qids, words, askers, bounds, weight, need = sent.value
+            ids, best, fits, kind = None, None, None, None
             for whole in batches:
                 for at in range(0, whole.num_rows, STEP):
                     b = whole.slice(at, STEP)
@@ -98,23 +111,27 @@ def bm25_long(docs: DataFrame, queries: DataFrame, k: int, block: int = BLOCK, p
                     cell, tf = np.unique(term[term >= 0].astype(np.int64) * STEP + doc, return_counts=True)
                     term, doc = cell // STEP, cell % STEP
                     part = weight[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[doc] / avgdl))
-                    scores = np.zeros((b.num_rows, len(qids)))
+                    scores, matched = np.zeros((b.num_rows, len(qids))), np.zeros((b.num_rows, len(qids)), np.int64)
                     starts = np.flatnonzero(np.diff(term, prepend=-1))
-                    for lo, hi in zip(starts, [*starts[1:], len(term)], strict=True):
-                        scores[np.ix_(doc[lo:hi], askers[bounds[term[lo]] : bounds[term[lo] + 1]])] += part[lo:hi, None]
+                    for lo, hi in zip(starts, [*starts[1:], len(term)][: len(starts)], strict=True):  # a batch may have no term of a query
+                        cells = np.ix_(doc[lo:hi], askers[bounds[term[lo]] : bounds[term[lo] + 1]])
+                        scores[cells] += part[lo:hi, None]
+                        matched[cells] += 1
+                    scores[matched < need] = 0
                     new = np.broadcast_to(b.column(0).to_numpy(zero_copy_only=False), (len(qids), b.num_rows))
                     ids = new if ids is None else np.concatenate([ids, new], axis=1)
                     best = scores.T if best is None else np.concatenate([best, scores.T], axis=1)
+                    fits = matched.T if fits is None else np.concatenate([fits, matched.T], axis=1)
                     keep = np.lexsort((ids, -np.round(best, 9)), axis=1)[:, :k]
-                    ids, best = np.take_along_axis(ids, keep, 1), np.take_along_axis(best, keep, 1)
+                    ids, best, fits = (np.take_along_axis(x, keep, 1) for x in (ids, best, fits))
             if best is not None:
                 row, col = np.nonzero(best > 0)
-                yield pa.RecordBatch.from_arrays([pa.array(qids[row]), pa.array(ids[row, col], kind), pa.array(best[row, col])], names=["qid", "id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(qids[row]), pa.array(ids[row, col], kind), pa.array(best[row, col]), pa.array(fits[row, col])], names=["qid", "id", "score", "matched"])
 
-        found = own.select("id", "terms", "dl").mapInArrow(nearest, f"qid {kinds['qid']}, id {kinds['id']}, score double")
+        found = own.select("id", "terms", "dl").mapInArrow(nearest, f"qid {kinds['qid']}, id {kinds['id']}, score double, matched long")
         result = found if result is None else result.unionByName(found)
     if result is None:
-        result = docs.select(F.lit(None).cast(kinds["qid"]).alias("qid"), "id", F.lit(0.0).alias("score")).limit(0)
+        result = docs.select(F.lit(None).cast(kinds["qid"]).alias("qid"), "id", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("matched")).limit(0)
     return top_by(result, k, ["qid"], [F.desc(F.round("score", 9)), F.asc("id")])
 
 

@@ -9,11 +9,11 @@ from ..functions import urls
 from ..operators import catalog, chat, chunk, evaluate, structure
 from ..sources import files
 from ..streaming import events as ev
-from .retrieval import TIDY, read
+from .retrieval import TIDY, read, spread
 
 
 def _docs(spark, d):
-    return read(spark, d, "documents")
+    return spread(read(spark, d, "documents"))
 
 
 def _talk(spark, d):

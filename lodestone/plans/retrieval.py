@@ -12,13 +12,19 @@ def read(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df):
+    """df, dealt out evenly if it comes in fewer pieces than there are cores, as one small file does."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _vectors(spark, d):
     e = read(spark, d, "embeddings")
     return e.select(F.col("vec_id").alias("id"), "embedding", "label"), e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "embedding")
 
 
 def _texts(spark, d):
-    return read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), read(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    return spread(read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")), read(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
 
 
 def dense_topk(spark, d):

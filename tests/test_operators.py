@@ -203,7 +203,7 @@ def test_bm25_of_long_queries_equals_the_join(spark):
     words = "red fox hen jumps over lazy dog again and blue".split()
     docs = spark.createDataFrame([(i, " ".join(words[(i * j) % 10] for j in range(i % 13))) for i in range(60)] + [(60, None), (61, "zebra")], "id long, text string")
     q = docs.where("id % 7 = 0").selectExpr("cast(id as int) as qid", "text")
-    want = {(r.qid, r.id, r["rank"], round(r.score, 9)) for r in lexical.bm25(docs, q, 5).collect()}
+    want = {(r.qid, r.id, r["rank"], round(r.score, 9)) for r in lexical.bm25_joined(docs, q, 5).collect()}
     for pairs in (5, 10**6):
         assert {(r.qid, r.id, r["rank"], round(r.score, 9)) for r in lexical.bm25_long(docs, q, 5, pairs=pairs).collect()} == want
     assert lexical.bm25_long(docs, q.limit(0), 5).count() == 0
