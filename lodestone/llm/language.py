@@ -23,7 +23,8 @@ WORD = re.compile(rf"[^\W\d_{NUMERIC}]+")
 PER_LANGUAGE, RUN = 150, 24
 #: Most features kept, least runs that a feature must occur in, words of each language's lexicon.
 FEATURES, LEAST, LEXICON = 60_000, 3, 1500
-STEPS, RATE, DECAY = 60, 0.15, 1e-5
+#: Least steps, first rate and weight decay of the descent; words that a step sees and least passes over all words.
+STEPS, RATE, DECAY, BATCH, PASSES = 60, 0.15, 1e-5, 20_000, 3
 UNKNOWN = "und"
 #: Distinct words whose weights a worker keeps.
 CACHE = 400_000
@@ -103,7 +104,10 @@ class Crf:
 
 def fit(runs: list[tuple[str, list[str]]], steps: int = STEPS) -> Crf:
     """Learn from runs of words of one language each. Neighbouring runs of a fixed shuffle are joined to chains of one
-    to three runs, whose languages often differ, so that transitions learn where and how seldom a text switches."""
+    to three runs, whose languages often differ, so that transitions learn where and how seldom a text switches.
+
+    Each step descends on the next chains of about BATCH words, in turn, with a rate that falls to a twentieth; all
+    words are passed over PASSES times or more, so that time grows with the words, not with words times steps."""
     labels = sorted({lang for lang, words in runs if words})
     runs = sorted((lang, tuple(words)) for lang, words in runs if words)
     random.Random(7).shuffle(runs)
@@ -116,14 +120,15 @@ def fit(runs: list[tuple[str, list[str]]], steps: int = STEPS) -> Crf:
         for w, n in sorted(counts[lang].items(), key=lambda x: (-x[1], x[0]))[:LEXICON]:
             if n >= LEAST and 2 * n > sum(c[w] for c in counts.values()):
                 lexicons[w] = lang
+    vocabulary = sorted({w for _, words in runs for w in words})
+    place = {w: i for i, w in enumerate(vocabulary)}
+    features = {w: features_of(w, lexicons) for w in vocabulary}
     seen: Counter = Counter()
     for _, words in runs:
-        seen.update({f for w in set(words) for f in features_of(w, lexicons)})
+        seen.update({f for w in set(words) for f in features[w]})
     kept = sorted((f for f, n in seen.items() if n >= LEAST), key=lambda f: (-seen[f], f))[:FEATURES]
     index = {f: i for i, f in enumerate(kept)}
-    vocabulary = sorted({w for _, words in runs for w in words})
-    place = {w: i for i, w in enumerate(vocabulary)}
-    found = [[index[f] for f in features_of(w, lexicons) if f in index] or [len(index)] for w in vocabulary]
+    found = [[index[f] for f in features[w] if f in index] or [len(index)] for w in vocabulary]
     sizes = np.array([len(x) for x in found], np.int64)
     flat, cuts = np.concatenate([np.array(x, np.int64) for x in found]), np.cumsum(sizes) - sizes
     owner = np.repeat(np.arange(len(vocabulary)), sizes)
@@ -137,27 +142,33 @@ def fit(runs: list[tuple[str, list[str]]], steps: int = STEPS) -> Crf:
             gold += [number[lang]] * len(words)
         lengths.append(sum(len(words) for _, words in chain))
     word, gold, lengths = np.array(word), np.array(gold), np.array(lengths)
-    starts = np.cumsum(lengths) - lengths
-    k, inner = len(labels), np.ones(len(word), bool)
-    inner[starts] = False
-    seen_pairs = np.zeros((k, k))
-    np.add.at(seen_pairs, (gold[np.flatnonzero(inner) - 1], gold[inner]), 1)
-    seen_first = np.bincount(gold[starts], minlength=k)
+    k, ends = len(labels), np.cumsum(lengths)
+    parts = []
+    for chains in np.array_split(np.arange(len(lengths)), min(len(lengths), -(-len(word) // BATCH))):
+        lo, hi, own = ends[chains[0]] - lengths[chains[0]], ends[chains[-1]], lengths[chains]
+        w, y, starts, inner = word[lo:hi], gold[lo:hi], np.cumsum(own) - own, np.ones(hi - lo, bool)
+        inner[starts] = False
+        seen_pairs = np.zeros((k, k))
+        np.add.at(seen_pairs, (y[np.flatnonzero(inner) - 1], y[inner]), 1)
+        parts.append((w, y, starts, own, np.bincount(y[starts], minlength=k), seen_pairs))
+    steps = max(steps, PASSES * len(parts))
     weights, first, move = np.zeros((len(index) + 1, k)), np.zeros(k), np.zeros((k, k))
     parameters = [weights, first, move]
     mean, square = [np.zeros_like(p) for p in parameters], [np.zeros_like(p) for p in parameters]
     for step in range(1, steps + 1):
-        emit = np.add.reduceat(weights[flat], cuts, axis=0)[word]
-        p, _, pairs = marginals(emit, starts, lengths, first, move)
+        w, y, starts, own, seen_first, seen_pairs = parts[step % len(parts)]
+        emit = np.add.reduceat(weights[flat], cuts, axis=0)[w]
+        p, _, pairs = marginals(emit, starts, own, first, move)
         first_p = p[starts].sum(axis=0)
-        p[np.arange(len(word)), gold] -= 1
-        by_word = np.stack([np.bincount(word, p[:, j], len(vocabulary)) for j in range(k)], axis=1)
+        p[np.arange(len(w)), y] -= 1
+        by_word = np.stack([np.bincount(w, p[:, j], len(vocabulary)) for j in range(k)], axis=1)
         g = np.stack([np.bincount(flat, by_word[owner, j], len(index) + 1) for j in range(k)], axis=1)
-        grads = [g / len(word) + DECAY * weights, (first_p - seen_first) / len(lengths), (pairs - seen_pairs) / len(word) + DECAY * move]
+        grads = [g / len(w) + DECAY * weights, (first_p - seen_first) / len(own), (pairs - seen_pairs) / len(w) + DECAY * move]
+        rate = RATE * (1 - 0.95 * (step - 1) / max(1, steps - 1))
         for i, (x, d) in enumerate(zip(parameters, grads, strict=True)):
             mean[i] = 0.9 * mean[i] + 0.1 * d
             square[i] = 0.99 * square[i] + 0.01 * d * d
-            x -= RATE * (mean[i] / (1 - 0.9**step)) / (np.sqrt(square[i] / (1 - 0.99**step)) + 1e-9)
+            x -= rate * (mean[i] / (1 - 0.9**step)) / (np.sqrt(square[i] / (1 - 0.99**step)) + 1e-9)
     return Crf(labels, index, weights, first, move, lexicons)
 
 
