@@ -3,22 +3,19 @@
 from __future__ import annotations
 
 import random
-import re
-import sys
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bucket_of, pieces, small_batches, spread, table
 
-#: Characters that are word characters though no letters, such as fractions, raised and Roman numbers.
-NUMERIC = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-#: Runs of letters.
-WORD = re.compile(rf"[^\W\d_{NUMERIC}]+")
+#: Runs of letters. As a class of `re`, the thousand numerals that are word characters would be tried one by one.
+WORD = regex.compile(r"\p{L}+")
 #: About so many training documents of each language, all words of each, in runs of so many words.
 PER_LANGUAGE, RUN = 150, 24
 #: Most features kept, least runs that a feature must occur in, words of each language's lexicon.
