@@ -38,14 +38,15 @@ def with_floor(dense: Column, lexical: Column, floor: Column) -> tuple[Column, C
     return F.when(raised > lexical, 1 - raised).otherwise(dense), raised
 
 
-def fuse(dense: DataFrame, lexical: DataFrame, k: int, dense_weight: float = 0.6, lexical_weight: float = 0.4, threshold: float | None = None) -> DataFrame:
+def fuse(dense: DataFrame, lexical: DataFrame, k: int, dense_weight: float = 0.6, lexical_weight: float = 0.4, threshold: float | None = None, weights: DataFrame | None = None) -> DataFrame:
     """(qid, id, dense_score, lexical_score, dense_norm, lexical_norm, score, source, rank) from hits (qid, id, score).
 
     Weights are scaled to sum to 1 if that is positive. Each list is divided by its query's largest score, where 0
     counts as 1; a missing side adds 0. The threshold applies to the fused score. Ties go to the smaller id.
+    `weights` (qid, dense_weight, lexical_weight; a row per query) takes the place of the two for all queries.
     """
-    total = dense_weight + lexical_weight
-    wd, wl = (dense_weight / total, lexical_weight / total) if total > 0 else (dense_weight, lexical_weight)
+    wd, wl = (F.lit(float(dense_weight)), F.lit(float(lexical_weight))) if weights is None else (F.col("dense_weight"), F.col("lexical_weight"))
+    total = F.when(wd + wl > 0, wd + wl).otherwise(1.0)
 
     def scaled(hits: DataFrame, name: str) -> DataFrame:
         most = F.max("score").over(Window.partitionBy("qid"))
@@ -54,7 +55,9 @@ def fuse(dense: DataFrame, lexical: DataFrame, k: int, dense_weight: float = 0.6
     both = scaled(dense, "dense").join(scaled(lexical, "lexical"), ["qid", "id"], "full_outer")
     source = F.when(F.col("dense_score").isNull(), "lexical").when(F.col("lexical_score").isNull(), "dense").otherwise("hybrid")
     norms = {c: F.coalesce(c, F.lit(0.0)) for c in ("dense_norm", "lexical_norm")}
-    out = both.withColumns(norms | {"source": source}).withColumn("score", wd * F.col("dense_norm") + wl * F.col("lexical_norm"))
+    both = both if weights is None else both.join(weights.select("qid", "dense_weight", "lexical_weight"), "qid")
+    score = wd / total * F.col("dense_norm") + wl / total * F.col("lexical_norm")
+    out = both.withColumns(norms | {"source": source}).withColumn("score", score).drop("dense_weight", "lexical_weight")
     if threshold is not None:
         out = out.where(F.col("score") >= threshold)
     return top_by(out, k, ["qid"], [F.desc(F.round("score", 9)), F.asc("id")])

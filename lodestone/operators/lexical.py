@@ -38,7 +38,7 @@ def percent_of(mode: str, share: int | None) -> int:
     return share if share else {"any": 0, "all": 100, "balanced": 50}[mode]
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int, mode: str = "any", share: int | None = None, use_phrase: bool = False, stop: Sequence[str] = ()) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, k: int, mode: str = "any", share: int | None = None, use_phrase: bool = False, stop: Sequence[str] = (), among: Column | None = None) -> DataFrame:
     """(qid, id, score, matched, rank): the k best of docs (id, text) for each of queries (qid, text).
 
     mode `any` needs one term, `all` every term, `balanced` half of them; `share` (percent, rounded down, one at
@@ -46,13 +46,14 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, mode: str = "any", share:
     query count; ties go to the smaller id. Documents are scored where they lie (bm25_long). Terms in `stop` (lower
     case) don't count in queries, documents or their lengths. With `use_phrase` a document that holds the whole query as
     a phrase, stop words included, gets the phrase's score added: the idf of all its terms, with the phrase's count as tf.
+    `among`, a condition on docs, filters what may be found; statistics still cover all docs.
     """
     if use_phrase:
-        return bm25_joined(docs, queries, k, mode, share, True, stop)
-    return bm25_long(docs, queries, k, percent=percent_of(mode, share), stop=stop)
+        return bm25_joined(docs, queries, k, mode, share, True, stop, among)
+    return bm25_long(docs, queries, k, percent=percent_of(mode, share), stop=stop, among=among)
 
 
-def bm25_joined(docs: DataFrame, queries: DataFrame, k: int, mode: str = "any", share: int | None = None, use_phrase: bool = False, stop: Sequence[str] = ()) -> DataFrame:
+def bm25_joined(docs: DataFrame, queries: DataFrame, k: int, mode: str = "any", share: int | None = None, use_phrase: bool = False, stop: Sequence[str] = (), among: Column | None = None) -> DataFrame:
     """bm25() by joins on terms, for the phrase clause, which needs every hit's score: a row per hit of a query's term.
     Only terms of a query leave the documents, counted before they are shuffled."""
     own, wanted = corpus_terms(docs, stop), query_terms(queries, stop)
@@ -68,10 +69,12 @@ def bm25_joined(docs: DataFrame, queries: DataFrame, k: int, mode: str = "any",
         whole = queries.select("qid", F.explode(kept(stop)).alias("term")).join(idf, "term").groupBy("qid", "avgdl").agg(F.sum("idf").alias("idf"))
         found = phrase(docs, queries).join(whole, "qid").join(own.select("id", "dl"), "id").select("qid", "id", part("n").alias("more"))
         hits = hits.join(found, ["qid", "id"], "left").withColumn("score", F.col("score") + F.coalesce("more", F.lit(0.0)))
+    if among is not None:
+        hits = hits.join(docs.where(among).select("id"), "id", "left_semi")
     return top_by(hits.select("qid", "id", "score", "matched"), k, ["qid"], [F.desc(F.round("score", 9)), F.asc("id")])
 
 
-def bm25_long(docs: DataFrame, queries: DataFrame, k: int, block: int = BLOCK, pairs: int = PAIRS, percent: int = 0, stop: Sequence[str] = ()) -> DataFrame:
+def bm25_long(docs: DataFrame, queries: DataFrame, k: int, block: int = BLOCK, pairs: int = PAIRS, percent: int = 0, stop: Sequence[str] = (), among: Column | None = None) -> DataFrame:
     """(qid, id, score, matched, rank) as bm25() has it, for queries of any length, such as whole documents.
 
     Queries share terms with nearly every document, so joining them term by term makes rows by the thousand for
@@ -128,7 +131,7 @@ def bm25_long(docs: DataFrame, queries: DataFrame, k: int, block: int = BLOCK, p
                 row, col = np.nonzero(best > 0)
                 yield pa.RecordBatch.from_arrays([pa.array(qids[row]), pa.array(ids[row, col], kind), pa.array(best[row, col]), pa.array(fits[row, col])], names=["qid", "id", "score", "matched"])
 
-        found = own.select("id", "terms", "dl").mapInArrow(nearest, f"qid {kinds['qid']}, id {kinds['id']}, score double, matched long")
+        found = (own if among is None else corpus_terms(docs.where(among), stop)).select("id", "terms", "dl").mapInArrow(nearest, f"qid {kinds['qid']}, id {kinds['id']}, score double, matched long")
         result = found if result is None else result.unionByName(found)
     if result is None:
         result = docs.select(F.lit(None).cast(kinds["qid"]).alias("qid"), "id", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("matched")).limit(0)

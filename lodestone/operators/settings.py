@@ -18,35 +18,53 @@ FIELDS = {
     "score_threshold": ("double", 0.0),
     "use_mmr": ("boolean", False),
     "mmr_diversity": ("double", 0.5),
+    "context_expansion": ("array<string>", None),
     "context_window": ("int", None),
     "rerank_enabled": ("boolean", False),
+    "rerank_provider": ("string", "auto"),
+    "rerank_model": ("string", "rerank-2.5-lite"),
     "rerank_candidate_pool": ("int", 20),
+    "rerank_top_n": ("int", None),
     "rerank_min_score": ("double", None),
     "bm25_match_mode": ("string", "balanced"),
     "bm25_min_should_match": ("int", 50),
     "bm25_use_phrase": ("boolean", True),
+    "bm25_analyzer": ("string", "mixed"),
 }
 #: From the farthest scope to the nearest, after the defaults.
-SCOPES = ("app", "collection", "conversation", "request")
+SCOPES = ("app", "collection_columns", "collection", "conversation", "request")
+#: Fields that the app's settings don't have.
+NOT_IN_APP = ("use_mmr", "mmr_diversity", "context_expansion", "context_window")
 SCHEMA = ", ".join(f"{name} {kind}" for name, (kind, _) in FIELDS.items())
 
 
 def resolve(rows: DataFrame) -> DataFrame:
     """rows (id and a JSON string column per scope) as one row with each field's value and, as <field>_from, its scope.
 
-    A null never overrides; JSON that can't be read counts as absent.
+    A null never overrides; JSON that can't be read counts as absent, as does a scope without a column. The app has no
+    fields in NOT_IN_APP, a collection's own columns have the BM25 fields only.
     """
-    own = rows.select("id", *[F.from_json(s, SCHEMA).alias(s) for s in SCOPES])
+    scopes = [s for s in reversed(SCOPES) if s in rows.columns]
+    own = rows.select("id", *[F.from_json(s, SCHEMA).alias(s) for s in scopes])
     out = []
     for name, (kind, default) in FIELDS.items():
-        near = [F.col(f"{s}.{name}") for s in reversed(SCOPES)]
+        having = [s for s in scopes if not (s == "app" and name in NOT_IN_APP or s == "collection_columns" and not name.startswith("bm25_"))]
+        near = [F.col(f"{s}.{name}") for s in having]
         source = F.when(F.lit(False), F.lit(""))
-        for s, c in zip(reversed(SCOPES), near, strict=True):
+        for s, c in zip(having, near, strict=True):
             source = source.when(c.isNotNull(), s)
         out += [F.coalesce(*near, F.lit(default).cast(kind)).alias(name), source.otherwise("default").alias(f"{name}_from")]
     return own.select("id", *out)
 
 
+def scoped(key: Column | str, request: Column, *others: Column, fallback: Column | None = None) -> Column:
+    """The value of a key in maps of scopes from the nearest to the farthest: the request's if it has the key, null or
+    not; else the first that isn't null; else the fallback. A scope that is null has no key."""
+    name = F.lit(key) if isinstance(key, str) else key
+    rest = [F.try_element_at(m, name) for m in others] + ([] if fallback is None else [fallback])
+    return F.when(F.map_contains_key(request, name), F.try_element_at(request, name)).otherwise(F.coalesce(*rest) if rest else F.lit(None))
+
+
 def range_errors() -> Column:
     """An array with the names of fields of a resolved row that are out of range."""
     tests = {

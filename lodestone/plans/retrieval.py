@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import chunk, context, dense, fuse, lexical, settings
+from ..operators import chunk, context, dense, fuse, lexical, retrieve, settings
 from ..operators.dense import top_by
 
 
@@ -124,6 +124,33 @@ def settings_resolution(spark, d):
     return settings.resolve(rows).select("id", "top_k", "top_k_from", "use_mmr", "use_mmr_from", "mmr_diversity", "hybrid_lexical_weight", "bm25_match_mode", "bm25_match_mode_from", "lexical_top_k_from")
 
 
+#: Settings of the end-to-end query.
+WANTED = {"retrieval_mode": "hybrid", "top_k": 8, "lexical_top_k": 20, "bm25_use_phrase": False, "rerank_enabled": True, "rerank_candidate_pool": 6, "rerank_top_n": 3, "context_expansion": ["window"], "context_window": 1, "max_context_chars": 6000}
+
+
+def _retrieved(spark, d):
+    """Five neighbouring documents are the chunks of one; every fiftieth of them asks with its whole text and vector."""
+    docs, e = spread(read(spark, d, "documents").select("doc_id", "text", "source")), read(spark, d, "embeddings").select("vec_id", "embedding")
+    rows = docs.join(e, docs.doc_id == e.vec_id).select(F.col("doc_id").alias("id"), F.expr("doc_id div 5").alias("document_id"), (F.col("doc_id") % 5).cast("int").alias("chunk_index"), F.col("source").alias("name"), "text", "embedding")
+    return retrieve.retrieve(rows, rows.where("id % 50 = 0").select(F.col("id").alias("qid"), "text", "embedding"), WANTED)
+
+
+def retrieve_end_to_end(spark, d):
+    return _retrieved(spark, d).select("qid", "document_id", "chunk_index", F.round("score", 6).alias("score"), "source", "rank")
+
+
+def retrieve_end_to_end_context(spark, d):
+    return retrieve.contexts(_retrieved(spark, d), WANTED)
+
+
+def scoped_value(spark, d):
+    """Scopes made from the customers: a request's null counts, other scopes' nulls don't."""
+    k = F.col("c_custkey")
+    has = lambda when, value: F.when(when, F.create_map(F.lit("x"), value))
+    value = settings.scoped("x", has(k % 3 == 0, F.when(k % 2 == 0, F.lit("request"))), has(k % 5 == 0, F.lit("conversation")), has(k % 7 < 3, F.when(k % 7 == 0, F.lit("collection"))), fallback=F.lit("fallback"))
+    return read(spark, d, "customer").select(k.alias("id"), value.alias("value"))
+
+
 QUERIES = {
     "dense_topk": dense_topk,
     "dense_topk_filtered_threshold": dense_topk_filtered_threshold,
@@ -139,6 +166,9 @@ QUERIES = {
     "context_pack": _context(None),
     "retrieve_context": _context(4000),
     "settings_resolution": settings_resolution,
+    "retrieve_end_to_end": retrieve_end_to_end,
+    "retrieve_end_to_end_context": retrieve_end_to_end_context,
+    "scoped_value": scoped_value,
 }
 
 TERMS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
@@ -176,8 +206,29 @@ select qid, coalesce(string_agg(block, chr(10) order by rank) filter ({keep}), '
 from u group by qid"""
 
 
+_PATTERNS = (r"\bquestion\s+\d+", r"\b(?:page|p\.)\s*\d+", r"\b(?:sub)?section\s+\d+(?:\.\d+)*", r"\b(?:activity|exercise|unit|chapter|tma|ema|task)\s*\d+", r"\b(?:table|figure|fig\.?|equation|eq\.?)\s*\d+", r"§\s*\d+(?:\.\d+)*")
 _IDENT = " ".join(f"when regexp_matches(query, '(?i){p}') then regexp_extract(query, '(?i){p}', 0)" for p in (r"\bquestion\s+\d+", r"\b(?:page|p\.)\s*\d+", r"\b(?:sub)?section\s+\d+(?:\.\d+)*", r"\b(?:table|figure)\s*\d+", r"§\s*\d+(?:\.\d+)*"))
 
+_END_TO_END = rf"""with base as (select doc_id, text, source, embedding from documents join embeddings on vec_id = doc_id),
+e as (select doc_id as id, embedding::double[] as v from base),
+s as (select q.id as qid, e.id, list_cosine_similarity(q.v, e.v) as score from e q join e on q.id % 50 = 0),
+r as (select *, row_number() over (partition by qid order by score desc, id) as rank from s where score >= 0),
+questions as (select doc_id as qid, text, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') as ts from base where doc_id % 50 = 0 and trim(text) <> ''),
+{BM25.replace("SHARE", "50").replace("from documents)", "from base)")},
+l as (select qid, id, score / max(score) over (partition by qid) as norm from best where rank <= 20),
+dn as (select qid, id, score / case when max(score) over (partition by qid) = 0 then 1 else max(score) over (partition by qid) end as norm from r where rank <= 10 and qid in (select qid from questions)),
+w as (select qid, case when {" or ".join(f"regexp_matches(text, '(?i){p}')" for p in _PATTERNS)} then 0.7 else 0.4 end as wl from questions),
+f as (select qid, id, (1 - wl) * coalesce(dn.norm, 0) + wl * coalesce(l.norm, 0) as score from dn full join l using (qid, id) join w using (qid)),
+g as (select *, row_number() over (partition by qid order by round(score, 9) desc, id) as rank from f where score >= 0),
+h as (select g.qid, g.id, g.score as before, len(list_intersect(list_distinct(q.ts), d.ts)) / len(list_distinct(q.ts))::double as score
+  from g join questions q on q.qid = g.qid join docs d on d.id = g.id where g.rank <= 6),
+k as (select *, row_number() over (partition by qid order by round(score, 9) desc, round(before, 9) desc, id) as rank from h),
+top as (select * from k where rank <= 3),
+n as (select qid, id // 5 as document_id, i as chunk_index, min(rank) as first from (select qid, id, rank, unnest(range(greatest(0, id % 5 - 1), id % 5 + 2)) as i from top) group by 1, 2, 3),
+x as (select n.qid, n.document_id, n.chunk_index::int as chunk_index, round(coalesce(t.score, 0), 6) as score, case when t.score is null then 'window' else 'hit' end as source,
+    row_number() over (partition by n.qid order by n.first, n.chunk_index) as rank, b.text, b.source as name
+  from n join base b on b.doc_id // 5 = n.document_id and b.doc_id % 5 = n.chunk_index left join top t on t.qid = n.qid and t.id = b.doc_id)"""
+
 SQL = {
     "dense_topk": f"with {DENSE.format(where='')} select qid, id, round(score, 6) as score, rank from r where rank <= 10",
     "dense_topk_filtered_threshold": f"with {DENSE.format(where='and e.label in (1, 2, 3) and e.id >= 10 and list_cosine_similarity(q.v, e.v) >= 0.05')} select qid, id, round(score, 6) as score, rank from r where rank <= 5",
@@ -227,4 +278,12 @@ select id, top_k, top_k_from, id % 3 = 0 as use_mmr, case when id % 3 = 0 then '
   case when id % 5 = 0 then 0.25 else 0.5 end::double as mmr_diversity, case when id % 7 = 0 then 0.9 else 0.4 end::double as hybrid_lexical_weight,
   case when id % 2 = 0 then 'strict' else 'balanced' end as bm25_match_mode, case when id % 2 = 0 then 'app' else 'default' end as bm25_match_mode_from,
   'default' as lexical_top_k_from from v""",
+    "retrieve_end_to_end": f"{_END_TO_END} select qid, document_id, chunk_index, score, source, rank from x",
+    "retrieve_end_to_end_context": f"""{_END_TO_END},
+u as (select qid, rank, '[Source ' || rank || ': ' || coalesce(name, 'unknown') || ', chunk ' || chunk_index || ']' || chr(10) || coalesce(text, '') || chr(10) as block from x),
+y as (select *, sum(length(block)) over (partition by qid order by rank) as used from u)
+select qid, coalesce(string_agg(block, chr(10) order by rank) filter (used <= 6000), '') as context, count(*) filter (used <= 6000) as n_sources,
+  length(coalesce(string_agg(block, chr(10) order by rank) filter (used <= 6000), '')) as n_chars from y group by qid""",
+    "scoped_value": """select c_custkey as id, case when c_custkey % 3 = 0 then case when c_custkey % 2 = 0 then 'request' end
+  when c_custkey % 5 = 0 then 'conversation' when c_custkey % 7 = 0 then 'collection' else 'fallback' end as value from customer""",
 }
