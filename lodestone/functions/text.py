@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .stemming import stemmed
+
 #: The phrases that count as declining to answer, and the mark of a question without an answer.
 NO_ANSWER_PHRASES = ("i don't know", "i do not know", "not provided in the context", "not in the context", "not mentioned in the context", "the context does not provide", "cannot be answered", "no information")
 NO_ANSWER_SENTINEL = "__NO_ANSWER__"
@@ -54,6 +56,18 @@ def terms(c: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(col(c)), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
+#: Analyzers by name, and the languages whose stop words and endings they take off, in order.
+ANALYZERS = {"plain": (), "en": ("en",), "ru": ("ru",), "mixed": ("ru", "en")}
+
+
+def analyzed(c: Column | str, analyzer: str = "plain") -> Column:
+    """The terms that an analyzer makes of a text: `plain` keeps all as they are, the others drop stop words and stem.
+    Terms that are left stand one after another, whatever was dropped between them."""
+    if analyzer not in ANALYZERS:
+        raise ValueError(f"unknown analyzer {analyzer!r}")
+    return stemmed(terms(c), ANALYZERS[analyzer])
+
+
 def eval_tokens(c: Column | str) -> Column:
     """Lower-cased ASCII letters and digits in runs, for answer metrics; an empty array for null."""
     return F.coalesce(F.regexp_extract_all(F.lower(col(c)), F.lit("([a-z0-9]+)"), F.lit(1)), F.array().cast("array<string>"))

@@ -17,10 +17,10 @@ def expand(hits: DataFrame, chunks: DataFrame, window: int) -> DataFrame:
     if window <= 0:
         return hits.select(*key, "score", F.lit("hit").alias("source"), F.col("rank").alias("place"))
     near = F.sequence(F.greatest(F.lit(0), F.col("chunk_index") - window), F.col("chunk_index") + window)
-    wide = hits.select("qid", "document_id", "rank", F.explode(near).alias("chunk_index"))
-    first = wide.groupBy(*key).agg(F.min("rank").alias("rank"))
-    known = first.join(chunks.select("document_id", "chunk_index"), ["document_id", "chunk_index"])
-    own = known.join(hits.select(*key, "score"), key, "left")
+    wide = hits.select("qid", "document_id", "rank", F.explode(near).alias("chunk_index"), F.col("chunk_index").alias("hit"), "score")
+    own_score = F.max(F.when(F.col("chunk_index") == F.col("hit"), F.col("score")))  # hits are read once, so their scores come along
+    first = wide.groupBy(*key).agg(F.min("rank").alias("rank"), own_score.alias("score"))
+    own = first.join(chunks.select("document_id", "chunk_index"), ["document_id", "chunk_index"])
     place = F.row_number().over(Window.partitionBy("qid").orderBy("rank", "chunk_index"))
     source = F.when(F.col("score").isNull(), "window").otherwise("hit")
     return own.select(*key, F.coalesce("score", F.lit(0.0)).alias("score"), source.alias("source"), place.alias("place"))

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import fresh_folder
 
 #: Query vectors that are sent to the tasks at once; more are searched for in blocks.
 BLOCK = 4096
@@ -37,14 +38,16 @@ def search(corpus: DataFrame, queries: DataFrame, k: int, threshold: float | Non
 
     Filters apply before ranking, the threshold (score >= t) too; ties go to the smaller id. Queries go out in blocks
     of a fixed number; each task multiplies its rows with a block and keeps k rows a query, so only those are
-    shuffled. Null vectors are left out; a vector without length has score 0 with everything.
+    shuffled. Of several blocks, each one's rows are written before the next begins, so that the driver and the tasks
+    hold one at a time. Null vectors are left out; a vector without length has score 0 with everything.
     """
     if filters:
         corpus = corpus.where(condition(filters))
     corpus = corpus.where("embedding is not null").select("id", "embedding")
     n = queries.count() // block + 1
     wanted = queries.where("embedding is not null")
-    result = None
+    result, ranking = None, [F.desc("score"), F.asc("id")]
+    folder = fresh_folder(corpus.sparkSession, "dense") if n > 1 else None
     for i in range(n):
         part = wanted if n == 1 else wanted.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == i)
         rows = part.select("qid", "embedding").toPandas()
@@ -68,10 +71,15 @@ def search(corpus: DataFrame, queries: DataFrame, k: int, threshold: float | Non
                 yield out if threshold is None else out[out["score"] >= threshold]
 
         found = corpus.mapInPandas(nearest, f"qid {dict(queries.dtypes)['qid']}, id {dict(corpus.dtypes)['id']}, score double")
+        if n > 1:
+            best = top_by(found, k, ["qid"], ranking).drop("rank")
+            best.write.parquet(f"{folder}/{i}")
+            sent.unpersist()
+            found = corpus.sparkSession.read.schema(best.schema).parquet(f"{folder}/{i}")
         result = found if result is None else result.unionByName(found)
     if result is None:
         result = corpus.select(F.lit(None).cast(dict(queries.dtypes)["qid"]).alias("qid"), "id", F.lit(0.0).alias("score")).limit(0)
-    return top_by(result, k, ["qid"], [F.desc("score"), F.asc("id")])
+    return top_by(result, k, ["qid"], ranking)
 
 
 def diverse(corpus: DataFrame, queries: DataFrame, k: int, diversity: float = 0.5, pool: int | None = None) -> DataFrame:

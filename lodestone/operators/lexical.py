@@ -10,27 +10,29 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import terms
+from ..functions.text import analyzed
 from .dense import top_by
+from .store import fresh_folder
 
 K1, B = 1.2, 0.75
 #: Queries and (query, term) pairs that are sent to the tasks at once, and documents that a task scores at once.
 BLOCK, PAIRS, STEP = 4096, 500_000, 1024
 
 
-def kept(stop: Sequence[str]) -> Column:
-    """The terms of `text` that are no stop words."""
-    return F.filter(terms("text"), lambda x: ~x.isin(list(stop))) if stop else terms("text")
+def kept(stop: Sequence[str], analyzer: str = "plain") -> Column:
+    """The terms that the analyzer makes of `text`, without stop words."""
+    own = analyzed("text", analyzer)
+    return F.filter(own, lambda x: ~x.isin(list(stop))) if stop else own
 
 
-def corpus_terms(docs: DataFrame, stop: Sequence[str] = ()) -> DataFrame:
+def corpus_terms(docs: DataFrame, stop: Sequence[str] = (), analyzer: str = "plain") -> DataFrame:
     """(id, terms, dl) of docs (id, text); null texts have no terms."""
-    return docs.select("id", F.coalesce(kept(stop), F.array().cast("array<string>")).alias("terms")).withColumn("dl", F.size("terms"))
+    return docs.select("id", F.coalesce(kept(stop, analyzer), F.array().cast("array<string>")).alias("terms")).withColumn("dl", F.size("terms"))
 
 
-def query_terms(queries: DataFrame, stop: Sequence[str] = ()) -> DataFrame:
+def query_terms(queries: DataFrame, stop: Sequence[str] = (), analyzer: str = "plain") -> DataFrame:
     """(qid, term, n_terms): the distinct terms of queries (qid, text)."""
-    t = F.array_distinct(kept(stop))
+    t = F.array_distinct(kept(stop, analyzer))
     return queries.select("qid", F.explode(t).alias("term"), F.size(t).alias("n_terms"))
 
 
@@ -38,7 +40,7 @@ def percent_of(mode: str, share: int | None) -> int:
     return share if share else {"any": 0, "all": 100, "balanced": 50}[mode]
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int, mode: str = "any", share: int | None = None, use_phrase: bool = False, stop: Sequence[str] = (), among: Column | None = None) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, k: int, mode: str = "any", share: int | None = None, use_phrase: bool = False, stop: Sequence[str] = (), among: Column | None = None, analyzer: str = "plain") -> DataFrame:
     """(qid, id, score, matched, rank): the k best of docs (id, text) for each of queries (qid, text).
 
     mode `any` needs one term, `all` every term, `balanced` half of them; `share` (percent, rounded down, one at
@@ -46,17 +48,18 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, mode: str = "any", share:
     query count; ties go to the smaller id. Documents are scored where they lie (bm25_long). Terms in `stop` (lower
     case) don't count in queries, documents or their lengths. With `use_phrase` a document that holds the whole query as
     a phrase, stop words included, gets the phrase's score added: the idf of all its terms, with the phrase's count as tf.
-    `among`, a condition on docs, filters what may be found; statistics still cover all docs.
+    `among`, a condition on docs, filters what may be found; statistics still cover all docs. `analyzer` is the name of
+    one in functions.text. A table that is searched again and again is better kept as a lexical_index.LexicalIndex.
     """
     if use_phrase:
-        return bm25_joined(docs, queries, k, mode, share, True, stop, among)
-    return bm25_long(docs, queries, k, percent=percent_of(mode, share), stop=stop, among=among)
+        return bm25_joined(docs, queries, k, mode, share, True, stop, among, analyzer)
+    return bm25_long(docs, queries, k, percent=percent_of(mode, share), stop=stop, among=among, analyzer=analyzer)
 
 
-def bm25_joined(docs: DataFrame, queries: DataFrame, k: int, mode: str = "any", share: int | None = None, use_phrase: bool = False, stop: Sequence[str] = (), among: Column | None = None) -> DataFrame:
+def bm25_joined(docs: DataFrame, queries: DataFrame, k: int, mode: str = "any", share: int | None = None, use_phrase: bool = False, stop: Sequence[str] = (), among: Column | None = None, analyzer: str = "plain") -> DataFrame:
     """bm25() by joins on terms, for the phrase clause, which needs every hit's score: a row per hit of a query's term.
     Only terms of a query leave the documents, counted before they are shuffled."""
-    own, wanted = corpus_terms(docs, stop), query_terms(queries, stop)
+    own, wanted = corpus_terms(docs, stop, analyzer), query_terms(queries, stop, analyzer)
     stats = own.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     asked = wanted.select("term").distinct()
     tf = own.select("id", "dl", F.explode("terms").alias("term")).join(asked, "term").groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
@@ -66,31 +69,37 @@ def bm25_joined(docs: DataFrame, queries: DataFrame, k: int, mode: str = "any",
     hits = wanted.join(idf, "term").join(tf, "term").groupBy("qid", "id", "n_terms").agg(F.sum(part("tf")).alias("score"), F.count("*").alias("matched"))
     hits = hits.where(F.col("matched") >= F.greatest(F.lit(1), F.floor(F.col("n_terms") * percent_of(mode, share) / 100)))
     if use_phrase:
-        whole = queries.select("qid", F.explode(kept(stop)).alias("term")).join(idf, "term").groupBy("qid", "avgdl").agg(F.sum("idf").alias("idf"))
-        found = phrase(docs, queries).join(whole, "qid").join(own.select("id", "dl"), "id").select("qid", "id", part("n").alias("more"))
+        whole = queries.select("qid", F.explode(kept(stop, analyzer)).alias("term")).join(idf, "term").groupBy("qid", "avgdl").agg(F.sum("idf").alias("idf"))
+        found = phrase(docs, queries, analyzer).join(whole, "qid").join(own.select("id", "dl"), "id").select("qid", "id", part("n").alias("more"))
         hits = hits.join(found, ["qid", "id"], "left").withColumn("score", F.col("score") + F.coalesce("more", F.lit(0.0)))
     if among is not None:
         hits = hits.join(docs.where(among).select("id"), "id", "left_semi")
     return top_by(hits.select("qid", "id", "score", "matched"), k, ["qid"], [F.desc(F.round("score", 9)), F.asc("id")])
 
 
-def bm25_long(docs: DataFrame, queries: DataFrame, k: int, block: int = BLOCK, pairs: int = PAIRS, percent: int = 0, stop: Sequence[str] = (), among: Column | None = None) -> DataFrame:
+def bm25_long(docs: DataFrame, queries: DataFrame, k: int, block: int = BLOCK, pairs: int = PAIRS, percent: int = 0, stop: Sequence[str] = (), among: Column | None = None, analyzer: str = "plain") -> DataFrame:
     """(qid, id, score, matched, rank) as bm25() has it, for queries of any length, such as whole documents.
 
     Queries share terms with nearly every document, so joining them term by term makes rows by the thousand for
     a document. Here queries go out in blocks of a bounded number of terms, with their idf; each task scores its
-    documents where they lie against a whole block and keeps k rows a query, so only those are shuffled.
+    documents where they lie against a whole block and keeps k rows a query, so only those are shuffled. What the
+    asked terms weigh is counted once, over these terms alone; with several blocks it is written, and so are the rows
+    of each block before the next begins, so that the driver and the tasks hold one block at a time.
     """
-    own, wanted = corpus_terms(docs, stop), query_terms(queries, stop)
+    own, wanted = corpus_terms(docs, stop, analyzer), query_terms(queries, stop, analyzer)
     n, avgdl = own.agg(F.count("*"), F.avg("dl")).first()
-    df = own.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    df = own.select(F.explode(F.array_distinct("terms")).alias("term")).join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     idf = wanted.join(df, "term").select("qid", "term", "n_terms", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     sizes = wanted.agg(F.count("*").alias("pairs"), F.count_distinct("qid").alias("queries")).first()
     parts = max(sizes.pairs // pairs, sizes.queries // block) + 1
     kinds = {"qid": queries.schema["qid"].dataType.simpleString(), "id": docs.schema["id"].dataType.simpleString()}
-    result = None
+    result, ranking = None, [F.desc(F.round("score", 9)), F.asc("id")]
+    if parts > 1:
+        folder = fresh_folder(docs.sparkSession, "bm25")
+        idf.withColumn("part", F.pmod(F.xxhash64("qid"), F.lit(parts))).write.partitionBy("part").parquet(f"{folder}/idf")
+        idf = docs.sparkSession.read.parquet(f"{folder}/idf")
     for i in range(parts):
-        rows = (idf if parts == 1 else idf.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == i)).toPandas()
+        rows = (idf if parts == 1 else idf.where(F.col("part") == i)).toPandas()
         if rows.empty:
             continue
         qids, q = np.unique(rows["qid"].to_numpy(), return_inverse=True)
@@ -131,26 +140,35 @@ def bm25_long(docs: DataFrame, queries: DataFrame, k: int, block: int = BLOCK, p
                 row, col = np.nonzero(best > 0)
                 yield pa.RecordBatch.from_arrays([pa.array(qids[row]), pa.array(ids[row, col], kind), pa.array(best[row, col]), pa.array(fits[row, col])], names=["qid", "id", "score", "matched"])
 
-        found = (own if among is None else corpus_terms(docs.where(among), stop)).select("id", "terms", "dl").mapInArrow(nearest, f"qid {kinds['qid']}, id {kinds['id']}, score double, matched long")
+        found = (own if among is None else corpus_terms(docs.where(among), stop, analyzer)).select("id", "terms", "dl").mapInArrow(nearest, f"qid {kinds['qid']}, id {kinds['id']}, score double, matched long")
+        if parts > 1:
+            best = top_by(found, k, ["qid"], ranking).drop("rank")
+            best.write.parquet(f"{folder}/found-{i}")
+            sent.unpersist()
+            found = docs.sparkSession.read.schema(best.schema).parquet(f"{folder}/found-{i}")
         result = found if result is None else result.unionByName(found)
     if result is None:
         result = docs.select(F.lit(None).cast(kinds["qid"]).alias("qid"), "id", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("matched")).limit(0)
-    return top_by(result, k, ["qid"], [F.desc(F.round("score", 9)), F.asc("id")])
+    return top_by(result, k, ["qid"], ranking)
 
 
-def phrase(docs: DataFrame, queries: DataFrame) -> DataFrame:
+#: Queries whose rarest terms are sent to all tasks at once; beyond that they are met by an ordinary join.
+SENT = 50_000
+
+
+def phrase(docs: DataFrame, queries: DataFrame, analyzer: str = "plain") -> DataFrame:
     """(qid, id, n): how often the terms of a query stand in a document in its order, one after another.
 
     Each query goes out under its rarest term in docs only; where a document has that term, the terms from the start
     that it implies are compared with the whole query. Queries without terms, or with one that no document has, match
     nothing.
     """
-    own = corpus_terms(docs).select("id", "terms")
-    asked = queries.select("qid", terms("text").alias("wanted")).where(F.size("wanted") > 0)
+    own = corpus_terms(docs, analyzer=analyzer).select("id", "terms")
+    asked = queries.select("qid", analyzed("text", analyzer).alias("wanted")).where(F.size("wanted") > 0)
     counts = own.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
     rare = asked.select("qid", F.posexplode("wanted").alias("offset", "term")).join(counts, "term")
     rare = rare.groupBy("qid").agg(F.min_by(F.struct("term", "offset"), F.struct("n", "offset")).alias("r")).select("qid", "r.*")
-    at = own.select("id", F.posexplode("terms").alias("pos", "term")).join(F.broadcast(rare), "term")
+    at = own.select("id", F.posexplode("terms").alias("pos", "term")).join(F.broadcast(rare) if queries.count() <= SENT else rare, "term")
     starts = at.select("qid", "id", (F.col("pos") - F.col("offset")).alias("start")).where("start >= 0")
     met = starts.join(asked.withColumn("n_terms", F.size("wanted")), "qid").join(own, "id")
     return met.where(F.slice("terms", F.col("start") + 1, F.col("n_terms")) == F.col("wanted")).groupBy("qid", "id").agg(F.count("*").alias("n"))

@@ -7,12 +7,18 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import ANALYZERS
 from . import context, dense, fuse, lexical, settings
 
 #: How bm25_match_mode names the modes of lexical.bm25.
 MODES = {"strict": "all", "balanced": "balanced"}
 
 
+def given(filters: dict | None) -> dict:
+    """Filters without those on empty lists, which ask for nothing."""
+    return {n: v for n, v in (filters or {}).items() if not (isinstance(v, (list, tuple, set)) and not v)}
+
+
 def lexical_filters(filters: dict | None) -> dict:
     """Of filters on chunks those that lexical search knows: document_id, and chunk_index as a range."""
     return {n: v for n, v in (filters or {}).items() if n == "document_id" and v or n == "chunk_index" and isinstance(v, dict)}
@@ -32,13 +38,14 @@ def retrieve(
     `wanted` are resolved settings (settings.FIELDS; null or absent means the default). Mode `hybrid` fuses dense and
     lexical hits, with the lexical floor for queries that name a numbered item; any other mode is dense. Then follow
     reranking of the first rerank_candidate_pool hits, and neighbours within context_window where context_expansion
-    lists `window`. Filters apply to both searches (lexical_filters), neighbours are taken from all chunks, and lexical
+    lists `window`. Filters apply to both searches (lexical_filters), an empty list is no filter, neighbours are taken from all chunks, and lexical
     statistics cover all chunks. Queries without text ask nothing.
     """
     s = {n: (wanted or {}).get(n) if (wanted or {}).get(n) is not None else default for n, (_, default) in settings.FIELDS.items()}
     asked = queries.where(F.trim("text") != "").select("qid", "text", "embedding")
     hybrid = s["retrieval_mode"] == "hybrid"
     first = max(s["top_k"], 10) if hybrid else s["top_k"]
+    filters = given(filters)
     own, least = chunks.where(dense.condition(filters)) if filters else chunks, s["score_threshold"]
     if s["use_mmr"]:
         near = dense.diverse(own, asked, first, s["mmr_diversity"])
@@ -49,7 +56,7 @@ def retrieve(
         mode = MODES.get(s["bm25_match_mode"].lower(), "any")
         share = None if mode == "all" else s["bm25_min_should_match"]
         among = lexical_filters(filters)
-        found = lexical.bm25(chunks, asked, s["lexical_top_k"] or first, mode, share, s["bm25_use_phrase"], stop, dense.condition(among) if among else None)
+        found = lexical.bm25(chunks, asked, s["lexical_top_k"] or first, mode, share, s["bm25_use_phrase"], stop, dense.condition(among) if among else None, s["bm25_analyzer"] if s["bm25_analyzer"] in ANALYZERS else "plain")
         floor = F.when(fuse.identifier("text").isNotNull(), fuse.FLOOR)
         by_query = fuse.with_floor(F.lit(s["hybrid_dense_weight"]), F.lit(s["hybrid_lexical_weight"]), floor)
         weights = asked.select("qid", by_query[0].alias("dense_weight"), by_query[1].alias("lexical_weight"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import documents, library, retrieval
+from . import documents, library, retrieval, stores
 
-QUERIES = retrieval.QUERIES | documents.QUERIES | library.QUERIES
-SQL: dict[str, str] = retrieval.SQL | documents.SQL | library.SQL
+QUERIES = retrieval.QUERIES | documents.QUERIES | library.QUERIES | stores.QUERIES
+SQL: dict[str, str] = retrieval.SQL | documents.SQL | library.SQL | stores.SQL

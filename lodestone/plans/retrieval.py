@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import chunk, context, dense, fuse, lexical, retrieve, settings
-from ..operators.dense import top_by
+from ..operators import chunk, context, dense, fuse, retrieve, settings
+from ..operators.lexical_index import LexicalIndex
+from ..operators.store import fresh_folder
 
 
 def read(spark, sf_dir, name):
@@ -41,22 +42,30 @@ def mmr_topk(spark, d):
     return dense.diverse(*_vectors(spark, d), 5, 0.5).select("qid", "id", F.round("score", 6).alias("score"), "rank")
 
 
+def _index(spark, d):
+    """An inverted index of the documents in the shared folder, and the benchmark's items as queries."""
+    docs, asked = _texts(spark, d)
+    return LexicalIndex.built(docs, fresh_folder(spark, "index")), asked
+
+
 def _bm25(mode):
     def run(spark, d):
-        return lexical.bm25(*_texts(spark, d), 10, mode).select("qid", "id", F.round("score", 6).alias("score"), "matched", "rank")
+        index, asked = _index(spark, d)
+        return index.search(asked, 10, mode).select("qid", "id", F.round("score", 6).alias("score"), "matched", "rank")
 
     return run
 
 
 def bm25_phrase(spark, d):
-    return lexical.phrase(*_texts(spark, d))
+    index, asked = _index(spark, d)
+    return index.phrase(asked)
 
 
 def _both(spark, d):
     c, q = _vectors(spark, d)
     docs, _ = _texts(spark, d)
     asked = q.join(docs.withColumnRenamed("id", "qid"), "qid").select("qid", "text")
-    return dense.search(c, q, 20), lexical.bm25_long(docs, asked, 20)
+    return dense.search(c, q, 20), LexicalIndex.built(docs, fresh_folder(spark, "index")).search(asked, 20)
 
 
 def hybrid_fusion(spark, d):
@@ -76,7 +85,7 @@ def identifier_classifier(spark, d):
 
 def rerank(spark, d):
     docs, q = _texts(spark, d)
-    hits = lexical.bm25(docs, q, 20).drop("rank").join(docs, "id").join(q.withColumnRenamed("text", "query"), "qid")
+    hits = _index(spark, d)[0].search(q, 20).drop("rank").join(docs, "id").join(q.withColumnRenamed("text", "query"), "qid")
     out = fuse.rerank(hits, 5)
     return out.select("qid", "id", F.round("score", 6).alias("score"), "rank")
 
@@ -125,7 +134,7 @@ def settings_resolution(spark, d):
 
 
 #: Settings of the end-to-end query.
-WANTED = {"retrieval_mode": "hybrid", "top_k": 8, "lexical_top_k": 20, "bm25_use_phrase": False, "rerank_enabled": True, "rerank_candidate_pool": 6, "rerank_top_n": 3, "context_expansion": ["window"], "context_window": 1, "max_context_chars": 6000}
+WANTED = {"retrieval_mode": "hybrid", "bm25_analyzer": "auto", "top_k": 8, "lexical_top_k": 20, "bm25_use_phrase": False, "rerank_enabled": True, "rerank_candidate_pool": 6, "rerank_top_n": 3, "context_expansion": ["window"], "context_window": 1, "max_context_chars": 6000}
 
 
 def _retrieved(spark, d):
