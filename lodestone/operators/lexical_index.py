@@ -29,7 +29,8 @@ PLACES = 9
 
 
 def invert(batches: Iterable[pa.RecordBatch], piece: int, kind: pa.DataType, base: int) -> Iterator[pa.RecordBatch]:
-    """Posting rows of documents (id, terms): one per term and block, and one per block with its documents."""
+    """Posting rows of documents (id, terms): one per term and block, and one per block with its documents' ids, lengths
+    and, as max_tf, the sum of these."""
     count = 0
     for whole in batches:
         sizes = pc.list_value_length(whole.column(1)).fill_null(0).to_numpy(zero_copy_only=False)
@@ -40,8 +41,44 @@ def invert(batches: Iterable[pa.RecordBatch], piece: int, kind: pa.DataType, bas
             at, count = upto, count + 1
 
 
-def _lists(values: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(values, kind))
+def pack(values: np.ndarray, counts: np.ndarray) -> pa.BinaryArray:
+    """Numbers of 0 and more, `counts` of them a row, as bytes of seven bits each; the eighth says that more follow."""
+    values = np.asarray(values, np.int64)
+    size = 1 + sum((values >= 1 << 7 * i).astype(np.int64) for i in range(1, 5))
+    ends = np.cumsum(size)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for i in range(int(size.max()) if len(size) else 0):
+        has = size > i
+        out[(ends - size)[has] + i] = (values[has] >> 7 * i & 0x7F) | np.where(size[has] > i + 1, 0x80, 0)
+    offsets = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))].astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(out)])
+
+
+def unpack(rows: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of pack(), and how many each row has; a null row has none."""
+    if not len(rows):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    cuts = np.frombuffer(rows.buffers()[1], np.int64 if pa.types.is_large_binary(rows.type) else np.int32)[rows.offset : rows.offset + len(rows) + 1].astype(np.int64)
+    data = np.frombuffer(rows.buffers()[2] or b"", np.uint8)[cuts[0] : cuts[-1]]
+    cuts = cuts - cuts[0]
+    last = data < 0x80
+    ends = np.flatnonzero(last)
+    starts = np.concatenate(([0], ends[:-1] + 1)) if len(ends) else ends
+    values = np.zeros(len(ends), np.int64)
+    for i in range(int((ends - starts).max()) + 1 if len(ends) else 0):
+        has = starts + i <= ends
+        values[has] |= (data[(starts + i)[has]].astype(np.int64) & 0x7F) << 7 * i
+    return values, np.diff(np.concatenate(([0], np.cumsum(last)))[cuts])
+
+
+def postings(rows: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(offsets of documents, term counts, documents a row) of posting rows: each has its offsets, as gaps, and then its counts."""
+    values, counts = unpack(rows)
+    n = counts // 2
+    first = np.concatenate(([0], np.cumsum(counts)[:-1])) if len(counts) else counts
+    within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    at = np.repeat(first, n) + within
+    return _positions(values[at], n[n > 0]), values[at + np.repeat(n, n)], n
 
 
 def _block(docs: pa.RecordBatch, number: int, kind: pa.DataType) -> pa.RecordBatch:
@@ -59,22 +96,25 @@ def _block(docs: pa.RecordBatch, number: int, kind: pa.DataType) -> pa.RecordBat
     gap[first] = place[first]
     term, off = cell[first] // len(sizes), cell[first] % len(sizes)
     starts = np.flatnonzero(np.diff(term, prepend=-1))
-    ends = np.append(starts[1:], len(term)) if len(starts) else starts
-    n = len(starts) + 1
-    texts = pa.array([None]).cast(pa.string()) if n == 1 else pa.concat_arrays([pa.nulls(1, pa.string()), words.dictionary.cast(pa.string()).take(pa.array(term[starts]))])
-    most = np.maximum.reduceat(tf, starts) if n > 1 else tf
-    least = np.minimum.reduceat(sizes[off], starts) if n > 1 else tf
+    ends = np.append(starts[1:], len(term)).astype(np.int64) if len(starts) else starts
+    n = ends - starts
+    step = np.diff(off, prepend=0)
+    step[starts] = off[starts]
+    at = np.arange(len(off)) - np.repeat(starts, n) + np.repeat(2 * starts, n)
+    stream = np.zeros(2 * len(off), np.int64)
+    stream[at], stream[at + np.repeat(n, n)] = step, tf
+    some = len(n) > 0
+    texts = words.dictionary.cast(pa.string()).take(pa.array(term[starts])) if some else pa.array([], pa.string())
+    own = docs.column(0).cast(kind)
     columns = {
-        "term": texts,
-        "block": pa.array(np.full(n, number), pa.int64()),
-        "n": pa.array(np.append(len(sizes), ends - starts), pa.int32()),
-        "max_tf": pa.array(np.append(0, most), pa.int32()),
-        "min_dl": pa.array(np.append(0, least), pa.int32()),
-        "offs": _lists(off, np.append(0, ends), pa.int16()),
-        "tfs": _lists(tf, np.append(0, ends), pa.int32()),
-        "places": _lists(gap, np.append(0, np.append(first, len(cell))[ends] if n > 1 else ends), pa.int32()),
-        "ids": pa.concat_arrays([pa.ListArray.from_arrays(pa.array([0, len(sizes)], pa.int32()), docs.column(0).cast(kind))] + ([pa.nulls(n - 1, pa.list_(kind))] if n > 1 else [])),
-        "dls": pa.concat_arrays([_lists(sizes, np.array([len(sizes)]), pa.int32())] + ([pa.nulls(n - 1, pa.list_(pa.int32()))] if n > 1 else [])),
+        "term": pa.concat_arrays([pa.nulls(1, pa.string()), texts]),
+        "block": pa.array(np.full(len(n) + 1, number), pa.int64()),
+        "n": pa.array(np.append(len(sizes), n), pa.int32()),
+        "max_tf": pa.array(np.append(sizes.sum(), np.maximum.reduceat(tf, starts) if some else n), pa.int32()),
+        "min_dl": pa.array(np.append(0, np.minimum.reduceat(sizes[off], starts) if some else n), pa.int32()),
+        "docs": pack(np.concatenate((sizes, stream)), np.append(len(sizes), 2 * n)),
+        "places": pack(gap, np.append(0, np.add.reduceat(tf, starts) if some else n)),
+        "ids": pa.concat_arrays([pa.ListArray.from_arrays(pa.array([0, len(sizes)], pa.int32()), own), *([pa.nulls(len(n), pa.list_(kind))] if some else [])]),
     }
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
@@ -133,8 +173,8 @@ class LexicalIndex:
     """An inverted index in a shared folder.
 
     Documents (id, text) are cut into terms once, when they are added. A task turns its documents into blocks of at
-    most 512 neighbours; a posting row holds a term's documents in a block (as offsets in it), their term counts and
-    positions (as gaps), the highest count and the shortest length. Rows lie in folders by a hash of their term, so
+    most 512 neighbours; a posting row holds a term's documents in a block (gaps of their offsets in it), their term counts
+    and positions (as gaps), packed into few bytes, the highest count and the shortest length. Rows lie in folders by a hash of their term, so
     that a query reads only the folders and columns of its terms, never a text. A very common term has a row per block,
     which are spread over as many files as its folder needs.
 
@@ -168,7 +208,7 @@ class LexicalIndex:
 
     def _schema(self) -> str:
         kind = self.settings()["id_type"]
-        return f"term string, block long, n int, max_tf int, min_dl int, offs array<smallint>, tfs array<int>, places array<int>, ids array<{kind}>, dls array<int>"
+        return f"term string, block long, n int, max_tf int, min_dl int, docs binary, places binary, ids array<{kind}>"
 
     def terms(self, text: str = "text") -> Column:
         return F.coalesce(analyzed(text, self.settings()["analyzer"]), F.array().cast("array<string>"))
@@ -190,7 +230,15 @@ class LexicalIndex:
 
     def documents(self) -> DataFrame:
         """(block, off, id, dl) of the documents in force."""
-        rows = self._table().where("slot = -1").select("block", F.posexplode(F.arrays_zip("ids", "dls")).alias("off", "x")).select("block", "off", F.col("x.ids").alias("id"), F.col("x.dls").alias("dl"))
+        kind = self.settings()["id_type"]
+
+        def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                lengths, n = unpack(b.column(2))
+                off = np.arange(len(lengths)) - np.repeat(np.cumsum(n) - n, n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), n)), pa.array(off, pa.int32()), b.column(1).flatten(), pa.array(lengths, pa.int32())], names=["block", "off", "id", "dl"])
+
+        rows = self._table().where("slot = -1").select("block", "ids", "docs").mapInArrow(each, f"block long, off int, id {kind}, dl int")
         dead = self._dead()
         return rows if dead is None else rows.join(dead, "block", "left").where(F.coalesce(~F.array_contains("dead", F.col("off").cast("smallint")), F.lit(True))).drop("dead")
 
@@ -199,17 +247,25 @@ class LexicalIndex:
         if self._dead() is not None:
             n, total = self.documents().agg(F.count("*"), F.sum("dl")).first()
         else:
-            sums = F.aggregate("dls", F.lit(0).cast("bigint"), lambda a, x: a + x)
-            n, total = self._table().where("slot = -1").agg(F.sum("n"), F.sum(sums)).first()
+            n, total = self._table().where("slot = -1").agg(F.sum("n"), F.sum("max_tf")).first()
         return n or 0, (total or 0) / n if n else 0.0
 
     def frequencies(self, terms: DataFrame | None = None) -> DataFrame:
         """(term, df) of all terms or of those in `terms` (term): from the counts of the posting rows."""
-        rows, dead = self._of(terms).select("term", "block", "n", "offs"), self._dead()
+        rows, dead = self._of(terms), self._dead()
         if dead is None:
             return rows.groupBy("term").agg(F.sum("n").alias("df"))
-        live = F.when(F.col("dead").isNull(), F.col("n")).otherwise(F.size(F.array_except("offs", "dead")))
-        return rows.join(dead, "block", "left").groupBy("term").agg(F.sum(live).alias("df")).where("df > 0")
+
+        def left(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                off, _, n = postings(b.column(1))
+                gone = [np.isin(x, d) for x, d in zip(np.split(off, np.cumsum(n)[:-1]), b.column(2).to_pylist(), strict=True)] if b.num_rows else []
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([int(len(g) - g.sum()) for g in gone], pa.int32())], names=["term", "n"])
+
+        # only rows of blocks with deleted documents are looked into
+        whole = rows.join(dead, "block", "left_anti").select("term", "n")
+        some = rows.join(dead, "block").select("term", "docs", "dead").mapInArrow(left, "term string, n int")
+        return whole.unionByName(some).groupBy("term").agg(F.sum("n").alias("df")).where("df > 0")
 
     def _of(self, terms: DataFrame | None) -> DataFrame:
         """Posting rows of terms, from their folders only; which folders is known from as many numbers as there are."""
@@ -222,14 +278,13 @@ class LexicalIndex:
 
     def scan(self) -> DataFrame:
         """(id, terms): the whole index read back, each document's terms in order."""
-        rows = self._table().where("slot >= 0").select("term", "block", "offs", "tfs", "places")
+        rows = self._table().where("slot >= 0").select("term", "block", "docs", "places")
 
         def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                tf = b.column(3).flatten().to_numpy()
-                off = np.repeat(b.column(2).flatten().to_numpy(), tf)
-                row = np.repeat(np.repeat(np.arange(b.num_rows), pc.list_value_length(b.column(2)).to_numpy()), tf)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(off, pa.int32()), pa.array(_positions(b.column(4).flatten().to_numpy(), tf), pa.int32())], names=["term", "block", "off", "at"])
+                off, tf, n = postings(b.column(2))
+                row = np.repeat(np.repeat(np.arange(b.num_rows), n), tf)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(np.repeat(off, tf), pa.int32()), pa.array(_positions(unpack(b.column(3))[0], tf), pa.int32())], names=["term", "block", "off", "at"])
 
         each = rows.mapInArrow(spread, "term string, block long, off int, at int")
         lists = each.groupBy("block", "off").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "term"))), lambda x: x["term"]).alias("terms"))
@@ -238,7 +293,7 @@ class LexicalIndex:
 
     # -- changes
 
-    def change(self, add: DataFrame | None = None, remove: DataFrame | None = None, batch: int | None = None) -> bool:
+    def change(self, add: DataFrame | None = None, remove: DataFrame | None = None, batch: int | str | None = None) -> bool:
         """One new version without the documents whose id is in `remove` (id) and with those of `add` (id, text).
 
         A batch number that the index has seen changes nothing, so a retried batch is harmless; the answer is whether
@@ -281,7 +336,7 @@ class LexicalIndex:
         number, pieces = self.versions.number(), self.versions.pieces()
         whole, piece = self.scan(), self.versions.next_piece()
         self._write(whole, piece)
-        seen = [{"piece": piece, "kind": "batch", "batch": b} for b in sorted({x["batch"] for x in pieces if x.get("batch") is not None})]
+        seen = [{"piece": piece, "kind": "batch", "batch": b} for b in sorted({x["batch"] for x in pieces if x.get("batch") is not None}, key=str)]
         self.versions.commit(number, [x for x in pieces if x["kind"] == "settings"] + [{"piece": piece, "kind": "rows", "batch": None}, *seen])
 
     # -- queries
@@ -426,7 +481,7 @@ class LexicalIndex:
                 row, col = np.nonzero(best > 0)
                 yield pa.RecordBatch.from_arrays([pa.array(asked.qids[row]), pa.array(ids[row, col], kind), pa.array(best[row, col]), pa.array(fits[row, col])], names=["qid", "id", "score", "matched"])
 
-        rows = self._rows(asked, ["n", "max_tf", "min_dl", "offs", "tfs", "ids", "dls"], blocks)
+        rows = self._rows(asked, ["n", "max_tf", "min_dl", "docs", "ids"], blocks)
         return rows.mapInArrow(run, f"qid {kinds['qid']}, id {kinds['id']}, score double, matched long")
 
     def phrase(self, queries: DataFrame, queries_most: int = QUERIES, pairs_most: int = PAIRS) -> DataFrame:
@@ -452,7 +507,7 @@ class LexicalIndex:
                         if got is not None:
                             yield got
 
-                yield self._rows(asked, ["n", "offs", "tfs", "places", "ids"]).mapInArrow(run, schema), folder
+                yield self._rows(asked, ["n", "docs", "places", "ids"]).mapInArrow(run, schema), folder
 
         return self._together(found(), schema)
 
@@ -463,7 +518,7 @@ def _ranks(ids: np.ndarray) -> np.ndarray:
 
 
 def _positions(gaps: np.ndarray, tf: np.ndarray) -> np.ndarray:
-    """Positions from gaps; `tf` says how many belong to each document."""
+    """Ascending numbers from gaps; `tf` says how many follow one another each time, at least one."""
     sums = np.cumsum(gaps, dtype=np.int64)
     first = np.cumsum(tf) - tf
     return sums - np.repeat(sums[first] - gaps[first], tf) if len(tf) else sums
@@ -492,13 +547,12 @@ def _scores(b: pa.RecordBatch, asked: Asked, avgdl: float, least: np.ndarray):
     if not open_.any():
         return None
     cols = dict(zip(b.schema.names, b.columns, strict=True))
-    ids, dl = cols["ids"].slice(0, 1).flatten(), cols["dls"].slice(0, 1).flatten().to_numpy()
+    ids, dl = cols["ids"].slice(0, 1).flatten(), unpack(cols["docs"].slice(0, 1))[0]
     column = np.cumsum(open_) - 1  # queries that are still open have a row each
     n, width = int(open_.sum()), len(dl)
     scores, matched = np.zeros(n * width), np.zeros(n * width, np.int64)
     t = cols["t"].to_numpy()[1:]
-    sizes = pc.list_value_length(cols["offs"]).to_numpy()[1:]
-    offs, tfs = cols["offs"].slice(1).flatten().to_numpy(), cols["tfs"].slice(1).flatten().to_numpy()
+    offs, tfs, sizes = postings(cols["docs"].slice(1))
     part = np.repeat(asked.idf[t], sizes) * impact(tfs, dl[offs], avgdl)
     for place, who in asked.cells(np.repeat(t, sizes)):
         place, who = place[open_[who]], who[open_[who]]
@@ -528,9 +582,8 @@ def _phrases(b: pa.RecordBatch, queries: list) -> pa.RecordBatch | None:
         """offset * 2**32 + position of a term in the block's documents."""
         if j not in made:
             i = row[j]
-            tf = cols["tfs"].slice(i, 1).flatten().to_numpy()
-            off = np.repeat(cols["offs"].slice(i, 1).flatten().to_numpy().astype(np.int64), tf)
-            made[j] = (off << 32) + _positions(cols["places"].slice(i, 1).flatten().to_numpy(), tf)
+            off, tf, _ = postings(cols["docs"].slice(i, 1))
+            made[j] = (np.repeat(off, tf) << 32) + _positions(unpack(cols["places"].slice(i, 1))[0], tf)
         return made[j]
 
     out = []
