@@ -120,11 +120,18 @@ def block_headings(blocks: DataFrame, ratio: float = 1.15, bold: float = 0.85, l
     """
     median = blocks.groupBy("doc_id", "page").agg(F.percentile("size", F.lit(0.5)).alias("median"))
     own = blocks.join(median, ["doc_id", "page"])
-    part = F.col("size") / F.col("median")
-    large = (F.col("median") > 0) & (F.col("size") > F.col("median") * ratio)
+    head = heading_of(F.col("size"), F.col("median"), F.col("bold_share"), F.col("text"), F.lit(ratio), bold, least, most)
+    return own.select("doc_id", "page", "y0", "x0", head.alias("head")).where("head is not null").select("doc_id", "page", "y0", "x0", "head.level", "head.text")
+
+
+def heading_of(size: Column, median: Column, bold_share: Column, text: Column, ratio: Column, bold: float = 0.85, least: int = 5, most: int = 120) -> Column:
+    """(level, text) of a block that is a heading as block_headings() has it, else null."""
+    part = size / median
+    large = F.coalesce((median > 0) & (size > median * ratio), F.lit(False))
     one = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
-    line = F.trim(F.get(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), F.lit(0)))
-    thick = ~large & (F.col("bold_share") >= bold) & (F.length(line) >= least) & (F.length(line) < most)
+    line = F.trim(F.get(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != ""), F.lit(0)))
+    thick = ~large & (bold_share >= bold) & (F.length(line) >= least) & (F.length(line) < most)
     level = F.when(large & (part >= 2), 1).when(large & (part >= 1.5), 2).when(large, 3).when(thick, 2)
-    found = own.select("doc_id", "page", "y0", "x0", level.alias("level"), F.when(large, one(F.col("text"))).otherwise(one(line)).alias("text"), large.alias("large"))
-    return found.where("level is not null and text <> '' and not text rlike '^[0-9]+$' and (not large or length(text) < 200)").drop("large")
+    own = F.when(large, one(text)).otherwise(one(line))
+    fits = level.isNotNull() & (own != "") & ~own.rlike("^[0-9]+$") & (~large | (F.length(own) < 200))
+    return F.when(fits, F.struct(level.alias("level"), own.alias("text")))

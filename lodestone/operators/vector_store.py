@@ -119,7 +119,7 @@ class VectorStore:
             rows = rows.join(dead.withColumnRenamed("id", "gone"), (F.col("id") == F.col("gone")) & (F.col("piece") < F.col("until")), "left_anti")
         return rows
 
-    def upsert(self, name: str, rows: DataFrame, batch: int | None = None) -> bool:
+    def upsert(self, name: str, rows: DataFrame, batch: int | str | None = None) -> bool:
         """rows (id, embedding and payload columns) added; those whose id is there already take its place.
 
         A row without id, a vector of another length, one with nulls, and an id that comes twice are errors, and then
@@ -169,7 +169,7 @@ class VectorStore:
         own.commit(number, pieces + mine)
         return True
 
-    def remove(self, name: str, ids: DataFrame, batch: int | None = None) -> bool:
+    def remove(self, name: str, ids: DataFrame, batch: int | str | None = None) -> bool:
         """The rows of ids (id) taken out; unknown ones are no error."""
         own, pieces, s = self._known(name)
         if batch is not None and any(x.get("batch") == batch for x in pieces):
@@ -190,7 +190,7 @@ class VectorStore:
     def compact(self, name: str) -> None:
         """One piece of all rows in force. Batch numbers stay known."""
         own, pieces, s = self._known(name)
-        seen = sorted({x["batch"] for x in pieces if x.get("batch") is not None})
+        seen = sorted({x["batch"] for x in pieces if x.get("batch") is not None}, key=str)
         self.upsert(name, self.rows(name).drop("piece", "cluster"))
         now = own.pieces()
         last = max(x["piece"] for x in now)

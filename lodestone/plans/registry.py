@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import documents, library, retrieval, stores
+from . import documents, layout, library, retrieval, runs, stores
 
-QUERIES = retrieval.QUERIES | documents.QUERIES | library.QUERIES | stores.QUERIES
-SQL: dict[str, str] = retrieval.SQL | documents.SQL | library.SQL | stores.SQL
+QUERIES = retrieval.QUERIES | documents.QUERIES | library.QUERIES | stores.QUERIES | layout.QUERIES | runs.QUERIES
+SQL: dict[str, str] = retrieval.SQL | documents.SQL | library.SQL | stores.SQL | layout.SQL | runs.SQL
