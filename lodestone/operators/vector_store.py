@@ -259,31 +259,31 @@ class VectorStore:
             first = np.argsort(-bound, axis=1)[:, :SEEDS]
             seeds = np.zeros(bound.shape, bool)
             np.put_along_axis(seeds, first, True, axis=1)
-            some = self._scored(name, qids, m, ids, seeds, k, threshold, filters, schema)
+            lowest = np.full(len(qids), -np.inf if threshold is None else threshold)
+            some = self._scored(name, qids, m, ids, seeds, k, lowest, filters, schema)
             least = top_by(some, k, ["qid"], order).where(F.col("rank") == k).select("qid", "score").toPandas()
-            floor = pd.Series(-np.inf, index=qids)
-            floor.loc[least["qid"].to_numpy()] = least["score"].to_numpy()
-            if threshold is not None:
-                floor = floor.clip(lower=threshold)
-            open_ = bound >= floor.to_numpy()[:, None] - SLACK
+            # what scores less than a query's k-th hit so far is no hit of it
+            floor = np.maximum(lowest, pd.Series(least["score"].to_numpy(), index=least["qid"].to_numpy()).reindex(qids, fill_value=-np.inf).to_numpy())
+            open_ = bound >= floor[:, None] - SLACK
             if report:
                 report({"read": int(open_.any(axis=0).sum()), "all": len(ids), "pairs": int(open_.sum()), "all_pairs": open_.size})
-            found = top_by(self._scored(name, qids, m, ids, open_, k, threshold, filters, schema), k, ["qid"], order)
+            found = top_by(self._scored(name, qids, m, ids, open_, k, np.maximum(lowest, floor - SLACK), filters, schema), k, ["qid"], order)
             if n > 1:
                 found.write.parquet(f"{folder}/{i}")
                 found = self.spark.read.schema(found.schema).parquet(f"{folder}/{i}")
             whole = found if whole is None else whole.unionByName(found)
         return top_by(empty(self.spark, schema), k, ["qid"], order) if whole is None else whole
 
-    def _scored(self, name: str, qids: np.ndarray, m: np.ndarray, ids: np.ndarray, open_: np.ndarray, k: int, threshold: float | None, filters: dict | None, schema: str) -> DataFrame:
-        """(qid, id, score): each batch's k nearest for the queries that a cluster is open to."""
+    def _scored(self, name: str, qids: np.ndarray, m: np.ndarray, ids: np.ndarray, open_: np.ndarray, k: int, floor: np.ndarray, filters: dict | None, schema: str) -> DataFrame:
+        """(qid, id, score): of each batch the k nearest that reach a query's floor, for the queries that a cluster is open
+        to. With the floors of a first search, that is about k rows a query over all tasks."""
         rows = self.rows(name, ids[open_.any(axis=0)])
         if filters:
             rows = rows.where(condition(filters))
-        sent = self.spark.sparkContext.broadcast((qids, m, {int(c): np.flatnonzero(open_[:, j]) for j, c in enumerate(ids)}))
+        sent = self.spark.sparkContext.broadcast((qids, m, floor, {int(c): np.flatnonzero(open_[:, j]) for j, c in enumerate(ids)}))
 
         def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            qids, m, open_ = sent.value
+            qids, m, floor, open_ = sent.value
             for b in batches:
                 for cluster, part in b.groupby("cluster"):
                     who = open_[int(cluster)]
@@ -293,7 +293,8 @@ class VectorStore:
                     scores = np.where(lengths > 0, m[who] @ x.T, 0.0)
                     own = part["id"].to_numpy()
                     order = np.lexsort((np.broadcast_to(own, scores.shape), -scores), axis=1)[:, :k]
-                    out = pd.DataFrame({"qid": np.repeat(qids[who], order.shape[1]), "id": own[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()})
-                    yield out if threshold is None else out[out["score"] >= threshold]
+                    best = np.take_along_axis(scores, order, 1)
+                    row, col = np.nonzero(best >= floor[who][:, None])
+                    yield pd.DataFrame({"qid": qids[who][row], "id": own[order[row, col]], "score": best[row, col]})
 
         return rows.select("id", "embedding", "cluster").mapInPandas(nearest, schema)
