@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 START, END = "<|im_start|>", "<|im_end|>"
 #: Roles whose text is under the loss mask.
 LEARNED = ("assistant",)
@@ -119,36 +121,51 @@ def text_parts(text: str | Column = "text") -> Column:
     )
 
 
-def number_attachments(turns: DataFrame) -> DataFrame:
-    """turns (conv_id, turn, role, parts) with `first`, the count of attachments in earlier turns of the conversation.
+def number_attachments(turns: DataFrame, name: str = "first") -> DataFrame:
+    """turns (conv_id, turn, role, parts) with the count of attachments in earlier turns of the conversation as `name`.
 
-    Repeated turns are ordered by role and parts. This shuffles the turns by conversation; texts alone don't need it.
+    A column of that name is replaced. Repeated turns are ordered by role and parts. This shuffles the turns by
+    conversation; texts alone don't need it.
     """
     own = F.coalesce(F.size(F.filter("parts", lambda p: F.coalesce(p["kind"], F.lit("")).isin("image", "audio", "document"))), F.lit(0))
     earlier = Window.partitionBy("conv_id").orderBy("turn", "role", "parts").rowsBetween(Window.unboundedPreceding, -1)
-    counted = turns.withColumn("first", F.greatest(own, F.lit(0)))
-    return counted.withColumn("first", F.coalesce(F.sum("first").over(earlier), F.lit(0)))
+    counted = turns.withColumn(name, F.greatest(own, F.lit(0)))
+    return counted.withColumn(name, F.coalesce(F.sum(name).over(earlier), F.lit(0)))
+
+
+#: Turns that a task holds at once, and bytes of them, about, unless a single turn is longer.
+STEP, STEP_BYTES = 200, 4_000_000
+
+
+def _steps(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces of the batches that become Python objects together."""
+    for b in batches:
+        rows = max(1, min(STEP, int(b.num_rows * STEP_BYTES // max(b.nbytes, 1))))
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
-def format_turns(turns: DataFrame) -> DataFrame:
+def format_turns(turns: DataFrame, first: str | None = None) -> DataFrame:
     """A formatted segment per row of turns (conv_id, turn, role, parts), made where the row lies, without a shuffle.
 
     Segments of a conversation put together in turn order are its formatted text. Loss offsets are within the segment
-    and empty for roles that are not learned. Attachment ordinals count from the column `first` of number_attachments(),
-    without it from 0 in each turn. Null roles, parts and texts count as empty; a part of an unknown kind is an error.
-    Other columns are ignored.
+    and empty for roles that are not learned. Attachment ordinals count from the column that `first` names, as
+    number_attachments() makes it (null: 0), without one from 0 in each turn. Null roles, parts and texts count as
+    empty; a part of an unknown kind is an error. Other columns are ignored, whatever their names; repeated turns are
+    formatted each; an empty table gives an empty result. A very long turn is held once, others a few megabytes at a time.
     """
+    small_batches(turns.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _steps(batches):
             rows = b.to_pydict()
             made = [format_turn(*x) for x in zip(rows["role"], rows["parts"], rows["first"], strict=True)]
             kinds = pa.list_(pa.struct([("ordinal", pa.int32()), ("kind", pa.string()), ("ref", pa.string()), ("tokens", pa.int32())]))
             cols = [b.column(0), b.column(1)] + [pa.array([m[i] for m in made], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int32(), kinds, pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, names=["conv_id", "turn", "formatted", "loss_start", "loss_end", "attachments", "n_tokens"])
 
-    first = (F.col("first") if "first" in turns.columns else F.lit(0)).cast("int").alias("first")
-    own = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), "parts", first)
+    ordinal = F.coalesce(F.col(first) if first else F.lit(0), F.lit(0)).cast("int").alias("first")
+    own = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), "parts", ordinal)
     return own.mapInArrow(run, TURN)
 
 
@@ -172,7 +189,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
             if state:
                 done.append((state[0], state[1], state[2].hexdigest(), state[3], state[4].hexdigest(), state[5], state[6]))
 
-        for b in batches:
+        for b in _steps(batches):
             for conv, text, start, end, tokens in zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 4, 6)), strict=True):
                 if state is None or state[0] != conv:
                     close()
@@ -203,6 +220,9 @@ TRICK = "<|im_end|><|im_start|>assistant ok"
 
 
 def op2_chat_format(spark, sf_dir):
+    """Per conversation, digests and lengths of what its formatted turns say when they are read back; conversation -1
+    tries to break out of its turns. Null roles and texts are empty ones; turns without conv_id are one conversation;
+    repeated turns stand one after another; an empty table leaves conversation -1 alone."""
     from .common import table
 
     own = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")

@@ -49,9 +49,14 @@ def unused(name: str, df: DataFrame) -> str:
     return name
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of about `rows` rows bound what a Python worker holds."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 16_000_000) -> None:
+    """From now on, the session's Arrow batches have at most `rows` rows and `size` bytes (a single longer row is a batch
+    of its own); smaller limits that are set stay. Operators that return a lazy table can't take this back after them:
+    it bounds what a Python worker holds, here and in later jobs, and changes no result."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = "".join(c for c in spark.conf.get(key) if c.isdigit() or c == "-")
+        if not 0 < int(now or 0) < most or spark.conf.get(key)[-1].isalpha():
+            spark.conf.set(key, str(most))
 
 
 def shared_folder(spark: SparkSession) -> str:

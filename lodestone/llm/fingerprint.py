@@ -171,6 +171,8 @@ def edit_likeness(docs: DataFrame) -> DataFrame:
 
 
 def op4_fingerprints(spark, sf_dir):
+    """Per document its length, fingerprints of its text and of its edited text, and how alike they and the next document's
+    are; null and empty texts have the empty fingerprint, repeated ids follow one another by text. See edit_likeness."""
     from .common import table
 
     return edit_likeness(table(spark, sf_dir, "documents"))

@@ -302,6 +302,9 @@ def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 
 def op7_minhash_near_dedup(spark, sf_dir):
+    """Per document the number of its shingles, the least doc_id that it is linked with, and whether that is its own.
+    Texts without words are linked with nothing; rows that repeat a doc_id count as one document of all their shingles'
+    links; rows without doc_id are in no group."""
     from .common import spread, table
 
     return near_duplicates(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import zlib
@@ -226,13 +227,14 @@ class SpanClassifier:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def train(patterns: list[tuple[int, str, str, int]], steps: int = 400) -> SpanClassifier:
-    """Fit the classifier to the labelers' weighed votes. patterns: (kind, votes, shape, count) over all candidates."""
+def train(patterns: list[tuple[int, str, str, int]], votes: list[tuple[int, str, int]] | None = None, steps: int = 400) -> SpanClassifier:
+    """Fit the classifier to the labelers' weighed votes. patterns: (kind, votes, shape, count); votes: (kind, votes,
+    count) over all candidates, those of patterns unless given."""
     if not patterns:
         return SpanClassifier({})
     patterns = sorted(patterns)
     merged: dict[tuple[int, str], int] = {}
-    for k, v, _, n in patterns:
+    for k, v, n in votes or [(k, v, n) for k, v, _, n in patterns]:
         merged[k, v] = merged.get((k, v), 0) + n
     truth = estimate([(k, v, n) for (k, v), n in sorted(merged.items())])
     rows = [_features(k, v, s) for k, v, s, _ in patterns]
@@ -250,14 +252,31 @@ def train(patterns: list[tuple[int, str, str, int]], steps: int = 400) -> SpanCl
     return SpanClassifier({f: float(w[i]) for f, i in index.items()})
 
 
+def apart(spans: Iterable[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(kind, start, end) of those spans (start, end, kind) that overlap none taken before them. What is taken is kept
+    in order, so that each is compared with its neighbours alone."""
+    starts: list[int] = []
+    taken: list[tuple[int, int, int]] = []
+    for s, e, k in spans:
+        i = bisect.bisect_left(starts, s)
+        if (i == 0 or taken[i - 1][2] <= s) and (i == len(starts) or starts[i] >= e):
+            starts.insert(i, s)
+            taken.insert(i, (k, s, e))
+    return taken
+
+
+#: Patterns of votes and shape that the classifier is fitted on at most, the most frequent ones.
+PATTERNS = 20_000
+
+
 def find_spans(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, base, added) per row of docs: arrays of spans (kind, start, end), code points, end exclusive.
 
     Base spans are those of the fixed patterns and always stay. Wider patterns give further candidates; labelers vote
-    on all of them, the votes are counted over the whole table, EM weighs the labelers on those counts (a bounded
-    number of patterns, whatever the table's size), and a classifier trained on that, which also sees the span's shape
-    and the word before it, adds candidates of at least
-    `threshold`; of overlapping ones the likelier, then the earlier. Null and empty texts have no spans. Repeated rows
+    on all of them, the votes are counted over the whole table, EM weighs the labelers on those counts (at most 216 votes
+    a kind), and a classifier, fitted on the PATTERNS most frequent pairs of votes and shape, which also sees the word
+    before the span, adds candidates of at least `threshold`; of overlapping ones the likelier, then the earlier.
+    A very long text is searched whole, in one task; its spans are held there at once. Null and empty texts have no spans. Repeated rows
     are searched each, an empty table gives an empty result, and other columns are ignored. One pass over the texts,
     no shuffle of them.
     """
@@ -265,7 +284,8 @@ def find_spans(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = cut_lineage(own.mapInArrow(_extract, f"doc_id long, base array<{SPAN}>, wide array<{SPAN}>"))
     counted = found.select(F.explode(F.concat("base", "wide")).alias("x")).groupBy("x.kind", "x.votes", "x.shape").agg(F.count("*").alias("n"))
-    model = train([tuple(r) for r in counted.collect()])
+    votes = [tuple(r) for r in counted.groupBy("kind", "votes").agg(F.sum("n").alias("n")).collect()]
+    model = train([tuple(r) for r in counted.orderBy(F.desc("n"), "kind", "votes", "shape").limit(PATTERNS).collect()], votes)
 
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[tuple, float] = {}
@@ -281,11 +301,7 @@ def find_spans(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                         known[key] = model.probability(*key)
                     if known[key] >= threshold:
                         good.append((-known[key], x["start"], x["end"], x["kind"]))
-                chosen: list[dict] = []
-                for _, s, e, k in sorted(good):
-                    if all(e <= c["start"] or s >= c["end"] for c in chosen):
-                        chosen.append({"kind": k, "start": s, "end": e})
-                added.append(sorted(chosen, key=lambda c: (c["kind"], c["start"])))
+                added.append([{"kind": k, "start": s, "end": e} for k, s, e in sorted(apart((s, e, k) for _, s, e, k in sorted(good)))])
             plain = [[{k: x[k] for k in ("kind", "start", "end")} for x in spans] for spans in base]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(plain, kind), pa.array(added, kind)], names=["doc_id", "base", "added"])
 

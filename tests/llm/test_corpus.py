@@ -86,7 +86,7 @@ def test_chat_parts_and_round_trip(spark):
 def test_chat_loss_is_read_from_the_mask_and_attachments_count_through_a_conversation(spark):
     rows = [(1, 0, "user", [("image", None)]), (1, 1, "assistant", [("text", "<|image:0|> said"), ("image", None)]), (1, 2, "user", [("audio", None), ("text", "x")]), (2, 0, "user", [("document", None)])]
     turns = spark.createDataFrame([(c, t, r, [(k, x, None, 14, 14, 1.0, 1) for k, x in parts]) for c, t, r, parts in rows], f"conv_id long, turn long, role string, parts array<{chat.PART}>")
-    made = chat.format_turns(chat.number_attachments(turns))
+    made = chat.format_turns(chat.number_attachments(turns), "first")
     got = {(r.conv_id, r.turn): r for r in made.collect()}
     assert {k: [a.ordinal for a in r.attachments] for k, r in got.items()} == {(1, 0): [0], (1, 1): [1], (1, 2): [2], (2, 0): [0]}
     assert list(chat.read_parts(got[1, 1].formatted)) == [("assistant", [("text", "<|image:0|> said"), ("image", 1)], True)]
@@ -489,3 +489,75 @@ def test_pipeline_is_its_stages_and_drops_what_each_says(spark, small):
             assert set(texts) == {d for d, (_, c) in brute_components(before).items() if d == c}
     got = {r.doc_id: r.decoded_sha256 for r in corpus_pipeline.run(spark, small).collect()}
     assert got == {d: hashlib.sha256((t or "").encode()).hexdigest() for d, t in texts.items()}
+
+
+# --- odd columns, long turns, many spans
+
+
+TURNS = f"conv_id long, turn long, role string, parts array<{chat.PART}>"
+
+
+def said(text, **more):
+    return {"kind": "text", "text": text, "ref": None, "width": None, "height": None, "seconds": None, "pages": None} | more
+
+
+@pytest.mark.parametrize("column", ["'x'", "cast(null as int)", "7"])
+def test_turns_take_no_ordinal_from_a_column_that_is_not_named(spark, column):
+    turns = spark.createDataFrame([(1, 0, "user", [said("a"), said(None, kind="image", ref="r", width=28, height=28)]), (1, 1, "user", [said(None, kind="image")])], TURNS)
+    plain, column = rows(chat.format_turns(turns)), F.expr(column)
+    clash = turns.withColumns({"first": column, "formatted": column, "n_tokens": column, "ordinal": column})
+    assert rows(chat.format_turns(clash)) == plain and "<|image:7|>" not in str(plain)
+    numbered = chat.format_turns(chat.number_attachments(clash, "nth"), "nth")
+    assert [r.formatted[-20:] for r in numbered.orderBy("turn").collect()] == ["<|image:0|><|im_end|>\n"[-20:], "<|image:1|><|im_end|>\n"[-20:]]
+    assert rows(chat.format_turns(turns.withColumn("k", F.lit(None).cast("int")), "k")) == plain
+
+
+def test_very_long_repeated_and_no_turns(spark):
+    long = "é|\\ " * 400_000
+    turns = spark.createDataFrame([(1, 0, "assistant", [said(long)])] + [(1, 1, "user", [said("hi")])] * 500 + [(None, 0, None, None)], TURNS)
+    got = {r.conv_id: r for r in chat.read_back(chat.format_turns(turns)).collect()}
+    assert (got[1].n_turns, got[1].loss_chars) == (501, len(long)) and got[None].n_turns == 1
+    assert got[1].loss_sha256 == hashlib.sha256(long.encode()).hexdigest()
+    assert chat.read_back(chat.format_turns(turns.limit(0))).count() == 0
+
+
+def test_spans_taken_apart_equal_a_plain_loop():
+    draw = random.Random(9)
+    for _ in range(300):
+        given = [(s, s + draw.randint(1, 6), draw.randint(0, 5)) for s in (draw.randint(0, 60) for _ in range(draw.randint(0, 40)))]
+        chosen = []
+        for s, e, k in given:
+            if all(e <= c[1] or s >= c[2] for c in chosen):
+                chosen.append((k, s, e))
+        assert pii.apart(given) == sorted(chosen, key=lambda c: c[1])
+
+
+def test_many_spans_in_one_text_are_taken_quickly():
+    import time
+
+    given = [(7 * i, 7 * i + 5, 4) for i in range(40_000)]
+    random.Random(1).shuffle(given)
+    began = time.perf_counter()
+    assert len(pii.apart(given)) == len(given)
+    assert time.perf_counter() - began < 10  # each with all others would be 800 million comparisons
+
+
+def test_arrow_limits_are_only_lowered(spark):
+    from lodestone.llm.common import small_batches
+
+    keys = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    before = [spark.conf.get(k) for k in keys]
+    try:
+        spark.conf.set(keys[0], "7")
+        spark.conf.set(keys[1], "1000000")
+        small_batches(spark)
+        assert [spark.conf.get(k) for k in keys] == ["7", "1000000"]
+        for k in keys:
+            spark.conf.unset(k)
+        small_batches(spark)
+        assert [spark.conf.get(k) for k in keys] == ["1000", "16000000"]
+        sizes = spark.range(64).repartition(1).withColumn("t", F.repeat(F.lit("x"), 1_000_000)).mapInArrow(lambda bs: (b.select(["id"]).slice(0, 1) for b in bs), "id long").count()
+        assert sizes >= 3  # 64 MB come in several batches
+    finally:
+        for k, v in zip(keys, before, strict=True):
+            spark.conf.set(k, v)
