@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def counters(docs: DataFrame, chunks: DataFrame, collection: str = "collection") -> DataFrame:
@@ -78,7 +79,7 @@ def write_export(tables: dict[str, DataFrame], folder: str, collections: DataFra
         own.write.mode("overwrite").json(f"{folder}/{name}")
 
 
-def read_export(spark: SparkSession, folder: str, schemas: dict[str, str]) -> dict[str, DataFrame]:
+def read_export(spark: SparkSession, folder: str, schemas: dict[str, str | StructType]) -> dict[str, DataFrame]:
     return {name: spark.read.schema(schema).json(f"{folder}/{name}") for name, schema in schemas.items()}
 
 
