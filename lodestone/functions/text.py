@@ -136,9 +136,13 @@ def parse_time(c: Column | str) -> Column:
     return F.try_to_timestamp(F.regexp_replace(col(c), "T", " ")).cast("timestamp_ntz")
 
 
+#: Fixed value: how a numbered question is asked for.
+QUESTION_PATTERN = r"(?i)\b(show|display|give|list)\b.*\bquestion\s+\d+\b"
+
+
 def asks_for_question(c: Column | str) -> Column:
     """Whether a text asks to show, display, give or list a numbered question."""
-    return F.coalesce(col(c).rlike(r"(?i)\b(show|display|give|list)\b.*\bquestion\s+\d+\b"), F.lit(False))
+    return F.coalesce(col(c).rlike(QUESTION_PATTERN), F.lit(False))
 
 
 def missed_tokens(read: Column, hit: Column, created: Column | None = None) -> Column:

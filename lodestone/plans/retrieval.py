@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..operators import chunk, context, dense, fuse, retrieve, settings
@@ -215,8 +217,9 @@ select qid, coalesce(string_agg(block, chr(10) order by rank) filter ({keep}), '
 from u group by qid"""
 
 
-_PATTERNS = (r"\bquestion\s+\d+", r"\b(?:page|p\.)\s*\d+", r"\b(?:sub)?section\s+\d+(?:\.\d+)*", r"\b(?:activity|exercise|unit|chapter|tma|ema|task)\s*\d+", r"\b(?:table|figure|fig\.?|equation|eq\.?)\s*\d+", r"§\s*\d+(?:\.\d+)*")
-_IDENT = " ".join(f"when regexp_matches(query, '(?i){p}') then regexp_extract(query, '(?i){p}', 0)" for p in (r"\bquestion\s+\d+", r"\b(?:page|p\.)\s*\d+", r"\b(?:sub)?section\s+\d+(?:\.\d+)*", r"\b(?:table|figure)\s*\d+", r"§\s*\d+(?:\.\d+)*"))
+#: The identifier forms as DuckDB reads them: its \b and \d know ASCII only, so that what begins with another letter is left out.
+_PATTERNS = [re.sub(r"\|[^|()]*[а-яё](?:[^|()]|\([^()]*\))*", "", p) for p in fuse.IDENTIFIER_PATTERNS if not re.match(r"\\b\(\?:[а-я]|\\b[а-я]", p)]
+_IDENT = " ".join(f"when regexp_matches(query, '(?i){p}') then regexp_extract(query, '(?i){p}', 0)" for p in _PATTERNS)
 
 _END_TO_END = rf"""with base as (select doc_id, text, source, embedding from documents join embeddings on vec_id = doc_id),
 e as (select doc_id as id, embedding::double[] as v from base),

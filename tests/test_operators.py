@@ -4,7 +4,6 @@ import zipfile
 
 import numpy as np
 import pytest
-from compare import connect, rows, sql_rows
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
@@ -209,12 +208,6 @@ def test_bm25_of_long_queries_equals_the_join(spark):
     assert lexical.bm25_long(docs, q.limit(0), 5).count() == 0
 
 
-def test_hybrid_fusion_asks_whole_texts(spark, small):
-    """The given SQL cuts the questions to three terms; without that cut it gives the rows for whole texts."""
-    sql = registry.SQL["hybrid_fusion"]
-    assert rows(registry.QUERIES["hybrid_fusion"](spark, small)) == sql_rows(connect(small), sql.replace("[1:3]", ""))
-
-
 def test_phrase_compares_every_term(spark):
     docs = spark.createDataFrame([(1, "a b c d a b c d"), (2, "a b c e"), (3, "b c d"), (4, "x a b c d"), (5, None)], "id long, text string")
     q = spark.createDataFrame([(0, "a b c d"), (1, "A b c zzz"), (2, "c"), (3, "?"), (4, "b c b c")], "qid long, text string")
@@ -223,7 +216,6 @@ def test_phrase_compares_every_term(spark):
 
 
 def test_bm25_phrase_asks_whole_items(spark, tmp_path):
-    """The given SQL cuts the items to three terms; without that cut it gives the rows for whole items."""
     spark.createDataFrame([(1, "so a b c d e"), (2, "a b c x e")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(7, "A b c d e")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert [tuple(r) for r in registry.QUERIES["bm25_phrase"](spark, str(tmp_path)).collect()] == [(7, 1, 1)]
