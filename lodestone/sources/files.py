@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import NO_ANSWER_SENTINEL, drop_controls, sanitize, strip, words
+from ..functions.text import NO_ANSWER_SENTINEL, drop_controls, extension, sanitize, strip, words
 
 PARSED = "path string, text string, title string, author string, headings array<struct<pos:int,level:int,text:string>>, error string"
 WORD_NS = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -167,7 +167,16 @@ def web_pages(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, title string, text string, canonical string, outcome string")
 
 
-PARSERS: dict[str, Callable[[bytes], dict]] = {"fb2": parse_fb2, "docx": parse_docx}
+def parse_plain(data: bytes) -> dict:
+    """Text as UTF-8, or as Latin-1 where it isn't that."""
+    try:
+        text = data.decode("utf-8")
+    except UnicodeDecodeError:
+        text = data.decode("latin-1")
+    return {"text": text, "title": None, "author": None, "headings": [], "error": None}
+
+
+PARSERS: dict[str, Callable[[bytes], dict]] = {"fb2": parse_fb2, "docx": parse_docx, "txt": parse_plain, "md": parse_plain}
 
 
 def register(kind: str, parser: Callable[[bytes], dict]) -> None:
@@ -177,20 +186,77 @@ def register(kind: str, parser: Callable[[bytes], dict]) -> None:
 
 def read_parsed(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """Files of a registered type as rows of PARSED; a file that can't be parsed has its error and no text."""
-    parser = PARSERS[kind]
+    rows = spark.read.format("binaryFile").load(path).select("path", F.lit(kind).alias("kind"), "content")
+    return _parsed(rows, {kind: PARSERS[kind]})
+
+
+def _parsed(rows: DataFrame, parsers: dict[str, Callable[[bytes], dict]]) -> DataFrame:
+    """Rows (path, kind, content) as PARSED, each by the parser of its kind."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for p, data in zip(b["path"], b["content"], strict=True):
+            made = []
+            for p, kind, data in zip(b["path"], b["kind"], b["content"], strict=True):
                 try:
-                    rows.append({"path": p, **parser(bytes(data))})
+                    if kind not in parsers:
+                        raise ValueError(f"no parser for files of type {kind!r}")
+                    made.append({"path": p, **parsers[kind](bytes(data))})
                 except Exception as e:  # one bad file must not end the job; its row says why
-                    rows.append({"path": p, "text": None, "title": None, "author": None, "headings": [], "error": f"{type(e).__name__}: {e}"})
-            yield pd.DataFrame(rows, columns=["path", "text", "title", "author", "headings", "error"])
-
-    parsed = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, PARSED)
-    return parsed.withColumn("text", drop_controls("text"))
+                    made.append({"path": p, "text": None, "title": None, "author": None, "headings": [], "error": f"{type(e).__name__}: {e}"})
+            yield pd.DataFrame(made, columns=["path", "text", "title", "author", "headings", "error"])
+
+    return rows.mapInPandas(run, PARSED).withColumn("text", drop_controls("text"))
+
+
+def read_any(spark: SparkSession, root: str) -> DataFrame:
+    """All files under a folder as rows of PARSED, each by the parser that its extension names; a file of another type,
+    or one that can't be parsed, has its error and no text."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return _parsed(rows.select("path", extension("path").alias("kind"), "content"), dict(PARSERS))
+
+
+def inside(path: Column | str) -> Column:
+    """A relative path without `.` and `..`; null if it is absolute, names nothing or would leave its root on the way."""
+    c = F.translate(F.col(path) if isinstance(path, str) else path, "\\", "/")
+    none = F.array().cast("array<string>")
+    start = F.struct(none.alias("parts"), F.lit(True).alias("ok"))
+
+    def step(acc: Column, x: Column) -> Column:
+        up, parts = x == "..", acc["parts"]
+        kept = F.when(up, F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))).when(x.isin("", "."), parts).otherwise(F.concat(parts, F.array(x)))
+        return F.struct(kept.alias("parts"), (acc["ok"] & ~(up & (F.size(parts) == 0))).alias("ok"))
+
+    done = F.aggregate(F.split(c, "/"), start, step)
+    return F.when(done["ok"] & (F.size(done["parts"]) > 0) & ~c.rlike("^(/|[A-Za-z]:)"), F.array_join(done["parts"], "/"))
+
+
+def received(rows: DataFrame, root: str) -> DataFrame:
+    """PARSED rows (path: the name) of documents that were handed in: rows (name, content_base64, path) with either the
+    content or the path of a file under `root`, whose name counts if none is given.
+
+    Both or neither, a path that leaves the root, a file that isn't there, content that isn't Base64 and a type without
+    a parser are errors of their row.
+    """
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    spark = rows.sparkSession
+    own = rows.select("name", "content_base64", "path", inside("path").alias("rel"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.col("path").alias("full"), "content")
+    base = spark._jvm.org.apache.hadoop.fs.Path(root)
+    base = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/")
+    files = files.withColumn("rel", F.substring("full", F.lit(len(base) + 2), F.length("full")))
+    found = own.join(files, "rel", "left")
+    given = from_base64("content_base64")
+    error = (
+        F.when(blank("content_base64") == blank("path"), "give either content or a path")
+        .when(~blank("path") & F.col("rel").isNull(), "the path must stay within its folder")
+        .when(~blank("path") & F.col("content").isNull(), F.concat(F.lit("there is no file "), "path"))
+        .when(~blank("content_base64") & given.isNull(), "the content is not Base64")
+    )
+    name = F.coalesce(F.when(~blank("name"), F.col("name")), F.element_at(F.split("rel", "/"), -1), F.lit(""))
+    found = found.select(name.alias("path"), extension(name).alias("kind"), F.coalesce("content", given).alias("content"), error.alias("why"))
+    bad = found.where("why is not null").select("path", F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("author"), F.col("why").alias("error"))
+    fine = _parsed(found.where("why is null").drop("why"), dict(PARSERS))
+    return fine.unionByName(bad.withColumn("headings", F.array().cast(fine.schema["headings"].dataType)))
 
 
 def gold_samples(rows: DataFrame) -> DataFrame:
