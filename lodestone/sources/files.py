@@ -61,12 +61,59 @@ def _with_headings(segments: list[tuple[str, int]]) -> tuple[str, list[dict]]:
     return "\n\n".join(t for t, _ in segments), heads
 
 
+class _Mender(HTMLParser):
+    """A tree of markup that isn't well formed. Names keep their case only where it is lower; an end tag closes what
+    is open within its element, one without a start is left out, and what is open at the end is closed there."""
+
+    def __init__(self):
+        super().__init__()
+        self.top = ElementTree.Element("")
+        self.open = [self.top]
+
+    def handle_starttag(self, tag, attrs):
+        self.open.append(ElementTree.SubElement(self.open[-1], tag.rsplit(":", 1)[-1], {k: v or "" for k, v in attrs}))
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        self.open.pop()
+
+    def handle_endtag(self, tag):
+        tag = tag.rsplit(":", 1)[-1]
+        names = [x.tag for x in self.open]
+        if tag in names[1:]:
+            del self.open[len(names) - 1 - names[::-1].index(tag) :]
+
+    def handle_data(self, data):
+        here = self.open[-1]
+        if len(here):
+            here[-1].tail = (here[-1].tail or "") + data
+        else:
+            here.text = (here.text or "") + data
+
+
+def mended(data: bytes) -> ElementTree.Element:
+    """The tree of broken XML, with all that can be made of it. The charset is the one that is declared, else UTF-8."""
+    named = re.search(rb"""^\s*<\?xml[^>]*encoding=["']([A-Za-z0-9._-]+)""", data)
+    try:
+        text = data.decode(named[1].decode() if named else "utf-8", "replace")
+    except LookupError:
+        text = data.decode("utf-8", "replace")
+    parser = _Mender()
+    parser.feed(text)
+    parser.close()
+    return parser.top
+
+
 def parse_fb2(data: bytes) -> dict:
-    """Body text in order; section titles are headings of their depth. What isn't XML stays as plain text."""
+    """Body text in order; section titles are headings of their depth. Broken XML is mended, which its error says; where
+    nothing of a book is left in it, the file is plain text."""
+    broken = None
     try:
         root = ElementTree.fromstring(data)
-    except ElementTree.ParseError as e:
-        return {"text": data.decode("utf-8", "replace"), "title": None, "author": None, "headings": [], "error": str(e)}
+    except (ElementTree.ParseError, LookupError, ValueError) as e:  # not well formed, or in a charset that isn't known
+        broken, root = str(e), mended(data)
+        if not any(_name(x) == "body" for x in root.iter()):
+            return {"text": data.decode("utf-8", "replace"), "title": None, "author": None, "headings": [], "error": broken}
     segments: list[tuple[str, int]] = []
 
     def walk(node: ElementTree.Element, depth: int) -> None:
@@ -87,7 +134,7 @@ def parse_fb2(data: bytes) -> dict:
     title = next((" ".join("".join(x.itertext()).split()) for x in root.iter() if _name(x) == "book-title"), None)
     authors = (" ".join(p.text.strip() for p in x if _name(p) in ("first-name", "middle-name", "last-name") and p.text and p.text.strip()) for x in root.iter() if _name(x) == "author")
     text, heads = _with_headings(segments)
-    return {"text": text, "title": title, "author": next((a for a in authors if a), None), "headings": heads, "error": None}
+    return {"text": text, "title": title, "author": next((a for a in authors if a), None), "headings": heads, "error": broken}
 
 
 def parse_docx(data: bytes) -> dict:

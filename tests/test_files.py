@@ -64,3 +64,35 @@ def test_diverse_hits_are_the_greedy_choice(spark, diversity):
             worth = {j: (1 - diversity) * score[j] - diversity * max((u[j] @ u[c] for c in chosen), default=0.0) for j in pool if j not in chosen}
             chosen.append(max(worth, key=lambda j: (worth[j], -pool.index(j))))
         assert got[i] == chosen
+
+
+HEAD = "<FictionBook><description><title-info><author><first-name>A</first-name></author><book-title>T &amp; U</book-title></title-info></description>"
+
+
+@pytest.mark.parametrize(
+    ("body", "text", "heads"),
+    [
+        ("<body><section><title><p>One</p></title><p>Text & more.</p></section></body></FictionBook>", "One\n\nText & more.", [(0, 1, "One")]),
+        ("<body><section><title><p>One</title><p>Text.<section><title><p>Two</p></title><p>End", "One\n\nText.\n\nTwo\n\nEnd", [(0, 1, "One"), (12, 2, "Two")]),
+        ("<body><section></b><title><p>One</p></title></i><p>a <emphasis>b</p><p>c</p></section></body>", "One\n\na b\n\nc", [(0, 1, "One")]),
+        ("<body><section><title><p>One</p></title><p>x &nbsp; y &bogus; z</p><empty-line/></section></body>", "One\n\nx y &bogus; z", [(0, 1, "One")]),
+    ],
+)
+def test_broken_books_keep_their_headings(body, text, heads):
+    got = files.parse_fb2((HEAD + body).encode())
+    if body.startswith("<body><section><title><p>One</title>"):
+        assert "Text." in got["text"] and [h["text"] for h in got["headings"]][:1] == ["One"] and got["text"].endswith("End")
+    else:
+        assert (got["text"], [(h["pos"], h["level"], h["text"]) for h in got["headings"]]) == (text, heads)
+    assert got["error"] and (got["title"], got["author"]) == ("T & U", "A")
+
+
+def test_whole_books_charsets_and_other_files():
+    whole = (HEAD + "<body><p>x</p></body></FictionBook>").encode()
+    assert files.parse_fb2(whole)["error"] is None and files.parse_fb2(whole)["text"] == "x"
+    other = ('<?xml version="1.0" encoding="windows-1251"?>' + HEAD + "<body><p>Глава</body>").encode("windows-1251")
+    assert files.parse_fb2(other)["text"] == "Глава"
+    assert files.parse_fb2(b'<?xml version="1.0" encoding="none-such"?><FictionBook><body><p>x</body>')["text"] == "x"
+    for odd in (b"not xml", b"", b"<a><b>", b"\xff\xfe"):
+        got = files.parse_fb2(odd)
+        assert got["headings"] == [] and got["error"]
