@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import col, extension
+from ..functions.text import as_list, col, extension, uuids
 
 #: Fields of a retrieval with their types and defaults.
 FIELDS = {
@@ -83,3 +83,42 @@ def file_error(name: Column | str, size: Column | str, kinds: tuple[str, ...] =
     n = col(name)
     bad_name = n.isNull() | (F.length(n) == 0) | (F.length(n) > 255) | n.contains("..") | n.rlike(r'[/\\<>:"|?*\x00-\x1f]')
     return F.when(bad_name, "name").when(~extension(n).isin(*kinds), "type").when(col(size) <= 0, "empty").when(col(size) > most, "size")
+
+
+#: Services that can rerank, in the order in which `auto` takes the first that has a key.
+RERANKERS = ("voyage", "cohere")
+
+
+def reranker(wanted: Column | str, keys: dict[str, Column]) -> Column:
+    """The service that reranks: the one that is wanted if it has a key, null if it has none; for `auto`, null, and any
+    other name the first of RERANKERS with a key. A key (by service) that is null or blank is none."""
+    name = F.lower(F.trim(F.coalesce(col(wanted), F.lit("auto"))))
+    has = {r: F.coalesce(F.trim(keys[r]) != "", F.lit(False)) if r in keys else F.lit(False) for r in RERANKERS}
+    best, own = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for r in reversed(RERANKERS):
+        best = F.when(has[r], r).otherwise(best)
+        own = F.when((name == r) & has[r], r).otherwise(own)
+    return F.when(name.isin(*RERANKERS), own).otherwise(best)
+
+
+def document_filter(request: Column | str, saved: Column | str, use_saved: Column | str) -> Column:
+    """The documents that a question is confined to (null: all): the request's list if it has one, even an empty one;
+    else the valid ids of the conversation's list, if that is switched on and any is left."""
+    own = uuids(saved)
+    return F.when(col(request).isNotNull(), col(request)).when(F.coalesce(col(use_saved), F.lit(False)) & (F.size(own) > 0), own)
+
+
+def enabled(tool: Column | str, listed: Column | str, default: tuple[str, ...]) -> Column:
+    """Whether a tool is in the list that is set (JSON or comma-separated), or in the default one where none is set."""
+    own = as_list(listed)
+    return F.when(F.coalesce(F.size(own), F.lit(0)) > 0, F.array_contains(own, col(tool))).otherwise(col(tool).isin(*default))
+
+
+def any_key(rows: DataFrame, keys: list[str], column: str = "key") -> bool:
+    """Whether rows have any of the keys; one row at most is looked for."""
+    return bool(rows.where(F.col(column).isin(keys)).limit(1).count())
+
+
+def untitled(rows: DataFrame, title: str = "title") -> DataFrame:
+    """The rows without a title; a blank one is a title."""
+    return rows.where(F.col(title).isNull())
