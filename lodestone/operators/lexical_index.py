@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import analyzed
-from .dense import top_by
+from .dense import ranks, top_by
 from .lexical import B, K1, percent_of
 from .store import Versions, batches_of, empty
 
@@ -473,7 +473,7 @@ class LexicalIndex:
                 ids = new if ids is None else np.concatenate([ids, new], axis=1)
                 best = scores if best is None else np.concatenate([best, scores], axis=1)
                 fits = matched if fits is None else np.concatenate([fits, matched], axis=1)
-                keep = np.lexsort((_ranks(ids), -np.round(best, PLACES)), axis=1)[:, :k]
+                keep = np.lexsort((ranks(ids), -np.round(best, PLACES)), axis=1)[:, :k]
                 ids, best, fits = (np.take_along_axis(x, keep, 1) for x in (ids, best, fits))
                 if best.shape[1] == k:
                     least = np.maximum(least, best[:, -1])
@@ -512,11 +512,6 @@ class LexicalIndex:
         return self._together(found(), schema)
 
 
-def _ranks(ids: np.ndarray) -> np.ndarray:
-    """Numbers in the order of ids, null first."""
-    return pd.factorize(ids.ravel(), sort=True)[0].reshape(ids.shape) if ids.dtype == object else ids
-
-
 def _positions(gaps: np.ndarray, tf: np.ndarray) -> np.ndarray:
     """Ascending numbers from gaps; `tf` says how many follow one another each time, at least one."""
     sums = np.cumsum(gaps, dtype=np.int64)

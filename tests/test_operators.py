@@ -1,8 +1,10 @@
 import io
 import json
+import tracemalloc
 import zipfile
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,6 +37,26 @@ def test_search_in_blocks_ties_zero_vectors_and_empty_tables(spark):
     assert dense.search(c.limit(0), q, 3).count() == 0
 
 
+def test_nearest_holds_a_tile_whatever_the_batch_and_ties_of_equal_vectors_go_to_the_smaller_id():
+    rng = np.random.default_rng(0)
+    x = np.repeat(rng.normal(size=(2000, 16)), 3, axis=0)
+    m = x[:3000] / np.linalg.norm(x[:3000], axis=1, keepdims=True)
+    ids = rng.permutation(len(x))
+    own = dense.Nearest(m, 5)
+    tracemalloc.start()
+    own.add(pa.array(ids), x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < len(m) * len(x) * 8 / 2  # all scores of the batch would be 144 MB, and their order as much again
+    scores = np.round((m @ x.T) / np.linalg.norm(x, axis=1), 9)
+    want = ids[np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :5]]
+    assert (own.ids == want).all()
+    split = dense.Nearest(m, 5)
+    for at in range(0, len(x), 700):
+        split.add(pa.array(ids[at : at + 700]), x[at : at + 700])
+    assert (split.ids == own.ids).all() and (split.best == own.best).all()
+
+
 def test_bm25_modes_and_phrase(spark):
     docs = spark.createDataFrame([(1, "red fox jumps"), (2, "red hen"), (3, "fox red"), (4, None), (5, "")], "id long, text string")
     q = spark.createDataFrame([(0, "red fox blue")], "qid long, text string")
