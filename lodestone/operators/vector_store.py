@@ -3,22 +3,21 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .dense import condition, top_by
+from .dense import SLACK, Nearest, condition, top_by, vectors
 from .store import Versions, batches_of, empty
 
 #: Clusters at most, vectors that their centres are learned from at most, and rounds of learning.
 CLUSTERS, LEARNED, ROUNDS = 256, 20_000, 8
 #: Queries that are sent to the tasks at once, and clusters nearest to each that are searched first.
 QUERIES, SEEDS = 4096, 4
-#: How far rounding may put a score or a bound off.
-SLACK = 1e-9
 #: The cluster of vectors without length.
 NOWHERE = -1
 #: Rows of a page at most.
@@ -275,26 +274,22 @@ class VectorStore:
         return top_by(empty(self.spark, schema), k, ["qid"], order) if whole is None else whole
 
     def _scored(self, name: str, qids: np.ndarray, m: np.ndarray, ids: np.ndarray, open_: np.ndarray, k: int, floor: np.ndarray, filters: dict | None, schema: str) -> DataFrame:
-        """(qid, id, score): of each batch the k nearest that reach a query's floor, for the queries that a cluster is open
+        """(qid, id, score): of each task the k nearest that reach a query's floor, for the queries that a cluster is open
         to. With the floors of a first search, that is about k rows a query over all tasks."""
         rows = self.rows(name, ids[open_.any(axis=0)])
         if filters:
             rows = rows.where(condition(filters))
         sent = self.spark.sparkContext.broadcast((qids, m, floor, {int(c): np.flatnonzero(open_[:, j]) for j, c in enumerate(ids)}))
 
-        def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def nearest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             qids, m, floor, open_ = sent.value
+            best = Nearest(m, k, floor)
             for b in batches:
-                for cluster, part in b.groupby("cluster"):
-                    who = open_[int(cluster)]
-                    if not len(who):
-                        continue
-                    x, lengths = unit(np.stack(part["embedding"].to_numpy()).astype(float))
-                    scores = np.where(lengths > 0, m[who] @ x.T, 0.0)
-                    own = part["id"].to_numpy()
-                    order = np.lexsort((np.broadcast_to(own, scores.shape), -scores), axis=1)[:, :k]
-                    best = np.take_along_axis(scores, order, 1)
-                    row, col = np.nonzero(best >= floor[who][:, None])
-                    yield pd.DataFrame({"qid": qids[who][row], "id": own[order[row, col]], "score": best[row, col]})
-
-        return rows.select("id", "embedding", "cluster").mapInPandas(nearest, schema)
+                cluster = b.column(2).to_numpy()
+                for c in np.unique(cluster):
+                    part = b.filter(pa.array(cluster == c))
+                    if len(open_[int(c)]):
+                        best.add(part.column(0), vectors(part.column(1)), open_[int(c)])
+            yield from best.rows(pa.array(qids))
+
+        return rows.select("id", "embedding", "cluster").mapInArrow(nearest, schema)
