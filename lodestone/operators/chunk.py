@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip, words
 
 CHUNK = "doc_id long, chunk_index int, start_char int, end_char int, content string"
+NAMES, TYPES = ["doc_id", "chunk_index", "start_char", "end_char", "content"], [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
+#: Characters of chunks that a task holds before it sends them on, and what a row counts besides its text.
+PIECE, ROW = 2_000_000, 200
 SIZE, OVERLAP = 1000, 200
 SENTENCE_END = re.compile(r"[.!?]\s")
 #: Numbers of the offline text vectors.
@@ -167,12 +170,30 @@ def chunk(docs: DataFrame, strategy: str = "simple", **options) -> DataFrame:
     if cut is not semantic:
         check(options.get("size", SIZE), options.get("overlap", OVERLAP))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(d, i, *c) for d, t in zip(b["doc_id"], b["text"], strict=True) if t for i, c in enumerate(cut(t, **options))]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "start_char", "end_char", "content"])
+            yield from _cut(b, cut, options)
 
-    return docs.select("doc_id", "text").mapInPandas(run, CHUNK)
+    return docs.select("doc_id", "text").mapInArrow(run, CHUNK)
+
+
+def _cut(docs: pa.RecordBatch, cut: Callable[..., Iterator[tuple[int, int, str]]], options: dict, most: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """The chunks of docs (doc_id, text), some megabytes at a time: texts are taken out of the batch one by one."""
+    rows, held = [], 0
+    for i in range(docs.num_rows):
+        d, t = docs.column(0)[i].as_py(), docs.column(1)[i].as_py()
+        for j, (start, end, content) in enumerate(cut(t, **options) if t else ()):
+            rows.append((d, j, start, end, content))
+            held += len(content) + ROW
+            if held >= most:
+                yield _batch(rows)
+                rows, held = [], 0
+    if rows:
+        yield _batch(rows)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), TYPES, strict=True)], names=NAMES)
 
 
 def chunk_plain(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:

@@ -57,6 +57,14 @@ def test_nearest_holds_a_tile_whatever_the_batch_and_ties_of_equal_vectors_go_to
     assert (split.ids == own.ids).all() and (split.best == own.best).all()
 
 
+def test_chunks_leave_a_batch_in_pieces():
+    docs = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4], pa.int64()), pa.array(["ab " * 40, None, "", "c d. " * 60])], names=["doc_id", "text"])
+    whole = [r for b in chunk._cut(docs, chunk.fixed, {"size": 50, "overlap": 10}) for r in b.to_pylist()]
+    parts = list(chunk._cut(docs, chunk.fixed, {"size": 50, "overlap": 10}, 500))
+    assert len(parts) > 3 and all(b.num_rows <= 3 for b in parts)
+    assert [r for b in parts for r in b.to_pylist()] == whole and {r["doc_id"] for r in whole} == {1, 4}
+
+
 def test_bm25_modes_and_phrase(spark):
     docs = spark.createDataFrame([(1, "red fox jumps"), (2, "red hen"), (3, "fox red"), (4, None), (5, "")], "id long, text string")
     q = spark.createDataFrame([(0, "red fox blue")], "qid long, text string")
