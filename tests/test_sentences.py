@@ -1,5 +1,7 @@
 import pytest
 
+from pyspark.sql import functions as F
+
 from lodestone.operators import sentences
 
 
@@ -45,3 +47,23 @@ def test_sentences_put_together_are_the_text(spark, known):
 def test_a_corpus_without_periods_or_words_teaches_nothing(spark):
     for texts in ([], [("no end here",)], [("... 1. 2.",), (None,)]):
         assert sentences.learn(spark.createDataFrame(texts, "text string")) == ([], [])
+
+
+def test_texts_are_cut_once_and_counts_teach_the_same(spark):
+    texts = ["Dr. Smith met Mr. Jones. The end.", "See Dr. Who etc. and so on. The rest.", None] * 20
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(t):
+        seen.add(1)
+        return t
+
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    watched = docs.select(F.udf(look, "string").asNondeterministic()("text").alias("text"))
+    got = sentences.learn(watched)
+    assert seen.value == len(texts)
+    found = sentences.tokens(docs)
+    plain = sentences.abbreviations(found)
+    shown = lambda df: sorted((r.word, round(r.score, 9)) for r in df.collect())
+    assert shown(sentences.abbreviations(sentences.counted(found))) == shown(plain)
+    assert shown(sentences.starters(sentences.counted(found), plain)) == shown(sentences.starters(found, plain))
+    assert "dr" in got[0]
