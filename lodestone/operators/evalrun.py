@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.text import NO_ANSWER_SENTINEL, declines, strip
 from . import evaluate
@@ -109,7 +110,8 @@ class EvaluationRun:
         if not n:
             raise ValueError("there are no gold samples")
         parts = -(-n // part)
-        rows.withColumn("part", F.pmod(F.xxhash64("sample_id"), F.lit(parts)).cast("int")).write.mode("overwrite").partitionBy("part").parquet(f"{own.path}/samples")
+        own_part = F.pmod(F.xxhash64("sample_id"), F.lit(parts)).cast("int")
+        rows.withColumn("part", own_part).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{own.path}/samples")
         own.versions.commit(0, [{"piece": 0, "kind": "run", "settings": json.dumps(settings, sort_keys=True), "samples": n, "parts": parts}])
         return own
 
@@ -132,13 +134,19 @@ class EvaluationRun:
         return self.spark.read.schema("sample_id string, question string, gold string, document_id string, chunk_index int, part int").parquet(f"{self.path}/samples")
 
     def go(self, service: Service, deadline: float = DEADLINE) -> None:
-        """Answer the parts that aren't done yet, one at a time; each part's answers are asked for once."""
-        for part in sorted(set(range(self._run()["parts"])) - set(self._done())):
-            own = self._samples().where(F.col("part") == part)
-            rows = scored(own.drop("part").join(answered(own, service, self.settings(), deadline), "sample_id"))
-            rows.write.mode("overwrite").parquet(f"{self.path}/results/part={part}")
-            number, pieces = self.versions.number(), self.versions.pieces()
-            self.versions.commit(number, [*pieces, {"piece": 0, "kind": "part", "part": part}])
+        """Answer the parts that aren't done yet, as many in one job as there are cores; each part's answers are asked for
+        once. A part counts as done when the version says so: what a run that was broken off left of others is written
+        over."""
+        left, wave = sorted(set(range(self._run()["parts"])) - set(self._done())), self.spark.sparkContext.defaultParallelism
+        for at in range(0, len(left), wave):
+            parts = left[at : at + wave]
+            own = self._samples().where(F.col("part").isin(parts))
+            rows = scored(own.join(answered(own, service, self.settings(), deadline), "sample_id"))
+            dealt = rows.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            dealt.partitionBy("part").parquet(f"{self.path}/results")
+            for part in parts:
+                number, pieces = self.versions.number(), self.versions.pieces()
+                self.versions.commit(number, [*pieces, {"piece": 0, "kind": "part", "part": part}])
 
     def results(self) -> DataFrame:
         """The rows of the parts that are done."""
@@ -146,4 +154,5 @@ class EvaluationRun:
         schema = scored(self._samples().drop("part").limit(0).withColumns({"pred": F.lit(None).cast("string"), "sources": F.lit(None).cast(SOURCES), "error": F.lit(None).cast("string")})).schema
         if not done:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[f"{self.path}/results/part={p}" for p in done])
+        rows = self.spark.read.schema(StructType([*schema.fields, StructField("part", IntegerType())])).parquet(f"{self.path}/results")
+        return rows.where(F.col("part").isin(done)).drop("part")

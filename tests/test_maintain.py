@@ -168,3 +168,17 @@ def test_runs_without_samples_and_summaries_of_nothing(spark):
     run.go(lambda q, s: 1 / 0)
     s = evalrun.summary(run.results()).first()
     assert (s.n, s.n_errors, s.mean_em, s.mean_recall, s.mean_no_answer) == (1, 1, 0.0, None, None) and run.results().first().sample_id == "a"
+
+
+def test_parts_of_a_run_are_answered_together(spark, monkeypatch):
+    from lodestone.operators import evalrun
+
+    samples = spark.createDataFrame([(f"s{i}", f"q{i}", f"q{i}", None, None) for i in range(40)], GOLD).repartition(3)
+    run = evalrun.EvaluationRun.create(samples, fresh_folder(spark, "run"), {}, part=7)
+    files = run._samples().select("part", F.input_file_name().alias("f")).distinct().groupBy("part").count().collect()
+    assert len(files) > 4 and all(r["count"] == 1 for r in files)
+    jobs, plain = [], evalrun.answered
+    monkeypatch.setattr(evalrun, "answered", lambda *a: jobs.append(1) or plain(*a))
+    run.go(lambda q, s: (q, []))
+    assert len(jobs) == -(-run._run()["parts"] // spark.sparkContext.defaultParallelism) < len(files)
+    assert sorted(r.pred for r in run.results().collect()) == sorted(f"q{i}" for i in range(40)) and run.status()["status"] == "completed"
