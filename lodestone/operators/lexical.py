@@ -11,12 +11,129 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import analyzed
-from .dense import top_by
+from .dense import ranks, top_by
 from .store import fresh_folder
 
 K1, B = 1.2, 0.75
-#: Queries and (query, term) pairs that are sent to the tasks at once, and documents that a task scores at once.
-BLOCK, PAIRS, STEP = 4096, 500_000, 1024
+#: Queries and (query, term) pairs that are sent to the tasks at once, documents that a task scores at once, and scores
+#: that it holds.
+BLOCK, PAIRS, STEP, TILE = 4096, 500_000, 1024, 1_000_000
+#: Scores are told apart to this many places.
+PLACES = 9
+#: Terms that at least this share of all pairs of a query and a document have in common are multiplied as a matrix.
+OFTEN = 0.005
+
+
+def impact(tf, dl, avgdl: float):
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+
+
+class Asked:
+    """One part of the queries as the tasks get it: terms by number, who asks for each, and its idf.
+
+    What a term adds to a score is rounded to a multiple of `step`, a power of two so small that a whole score has no more
+    than 52 bits. Sums are then exact in whatever order they are made, and equal documents have equal scores.
+    """
+
+    def __init__(self, rows, percent: int):
+        self.qids, q = np.unique(rows["qid"].to_numpy(), return_inverse=True)
+        self.words, t = np.unique(rows["term"].to_numpy().astype(object), return_inverse=True)
+        order = np.argsort(t, kind="stable")
+        self.askers, self.bounds = q[order], np.searchsorted(t[order], np.arange(len(self.words) + 1))
+        self.idf, self.need = np.zeros(len(self.words)), np.ones(len(self.qids), np.int64)
+        self.idf[t] = rows["idf"].to_numpy()
+        self.need[q] = np.maximum(1, rows["n_terms"].to_numpy() * percent // 100)
+        self.step = 2.0 ** (np.ceil(np.log2(np.bincount(q, rows["idf"].to_numpy() * (K1 + 1)).max())) - 52)
+        # the share of all documents that have a term is about exp(-idf)
+        share = np.diff(self.bounds) / len(self.qids) * np.exp(-self.idf)
+        often = np.argsort(-share, kind="stable")[: max(1, 4 * TILE // len(self.qids))]
+        self.often = often[share[often] >= OFTEN]
+        self.column = np.full(len(self.words), -1)
+        self.column[self.often] = np.arange(len(self.often))
+        self.asks: np.ndarray | None = None
+
+    def cells(self, terms: np.ndarray, most: int = TILE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(place, query): each place in `terms` with each query that asks for the term there, about a million at a time."""
+        counts = self.bounds[terms + 1] - self.bounds[terms]
+        ends = np.cumsum(counts)
+        at = 0
+        while at < len(terms):
+            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+            n = counts[at:upto]
+            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            yield np.repeat(np.arange(at, upto), n), self.askers[np.repeat(self.bounds[terms[at:upto]], n) + within]
+            at = upto
+
+    def part(self, terms: np.ndarray, tf: np.ndarray, dl: np.ndarray, avgdl: float) -> np.ndarray:
+        """What terms add to a document's score."""
+        return np.maximum(np.rint(self.idf[terms] * impact(tf, dl, avgdl) / self.step), 1) * self.step
+
+    def scores(self, terms: np.ndarray, docs: np.ndarray, parts: np.ndarray, width: int, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(scores, matched) of the queries `who` by `width` documents, of which `docs` have `terms`, each once; a score is
+        0 where too few terms of the query are met. Common terms are multiplied, the others are added one by one."""
+        scores, matched = np.zeros((len(who), width)), np.zeros((len(who), width), np.float32)
+        column = self.column[terms]
+        common, rest = np.flatnonzero(column >= 0), np.flatnonzero(column < 0)
+        if len(common):
+            if self.asks is None:
+                self.asks = np.zeros((len(self.qids), len(self.often)), np.float32)
+                for i, t in enumerate(self.often):
+                    self.asks[self.askers[self.bounds[t] : self.bounds[t + 1]], i] = 1
+            met, place = np.unique(column[common], return_inverse=True)
+            has, adds = np.zeros((len(met), width), np.float32), np.zeros((len(met), width))
+            has[place, docs[common]], adds[place, docs[common]] = 1, parts[common]
+            step = max(1, TILE // len(met))
+            for at in range(0, len(who), step):
+                asks = self.asks[np.ix_(who[at : at + step], met)]
+                matched[at : at + step], scores[at : at + step] = asks @ has, asks.astype(float) @ adds
+        row = np.full(len(self.qids), -1)
+        row[who] = np.arange(len(who))
+        for place, q in self.cells(terms[rest]):
+            open_ = row[q] >= 0
+            place, q = rest[place[open_]], row[q[open_]]
+            cell = q * width + docs[place]
+            scores += np.bincount(cell, parts[place], scores.size).reshape(scores.shape)
+            matched += np.bincount(cell, minlength=scores.size).reshape(scores.shape)
+        scores[matched < self.need[who][:, None]] = 0
+        return scores, matched
+
+
+class Kept:
+    """The k best documents of each of n queries, by score to PLACES and then by id, out of all that are added; what is
+    held doesn't grow with the documents. `least` is the score that a query's next document must reach, `floor` at first."""
+
+    def __init__(self, n: int, k: int, floor: np.ndarray | None = None):
+        self.k, self.least = k, np.zeros(n) if floor is None else floor.copy()
+        self.q = self.score = self.fits = self.ids = self.kind = None
+
+    def add(self, ids: pa.Array, scores: np.ndarray, matched: np.ndarray, who: np.ndarray) -> None:
+        """scores and matched of the queries `who` (a row each) by documents; 0 is no hit."""
+        slack = 2 * 10.0**-PLACES
+        may = (scores > 0) & (scores >= self.least[who][:, None] - slack)
+        many = np.flatnonzero(may.sum(axis=1) > self.k)
+        if len(many):
+            kth = np.partition(scores[many], -self.k, axis=1)[:, -self.k]
+            may[many] &= scores[many] >= kth[:, None] - slack
+        row, col = np.nonzero(may)
+        if not len(row):
+            return
+        self.kind = ids.type
+        # numbers with nulls would become floats
+        own = np.array(ids.to_pylist(), dtype=object) if ids.null_count else ids.to_numpy(zero_copy_only=False)
+        new = [who[row], scores[row, col], matched[row, col].astype(np.int64), own[col]]
+        if self.q is not None:
+            new = [np.concatenate([a, b]) for a, b in zip((self.q, self.score, self.fits, self.ids), new, strict=True)]
+        q, score, fits, ids = new
+        order = np.lexsort((ranks(ids), -np.round(score, PLACES), q))
+        order = order[np.arange(len(q)) - np.searchsorted(q[order], q[order]) < self.k]
+        self.q, self.score, self.fits, self.ids = q[order], score[order], fits[order], ids[order]
+        full = np.flatnonzero(np.arange(len(order)) - np.searchsorted(self.q, self.q) == self.k - 1)
+        self.least[self.q[full]] = np.maximum(self.least[self.q[full]], self.score[full])
+
+    def rows(self, qids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """(qid, id, score, matched) of what was kept."""
+        if self.q is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(qids[self.q]), pa.array(self.ids, self.kind), pa.array(self.score), pa.array(self.fits)], names=["qid", "id", "score", "matched"])
 
 
 def kept(stop: Sequence[str], analyzer: str = "plain") -> Column:
@@ -32,8 +149,14 @@ def corpus_terms(docs: DataFrame, stop: Sequence[str] = (), analyzer: str = "pla
 
 def query_terms(queries: DataFrame, stop: Sequence[str] = (), analyzer: str = "plain") -> DataFrame:
     """(qid, term, n_terms): the distinct terms of queries (qid, text)."""
-    t = F.array_distinct(kept(stop, analyzer))
-    return queries.select("qid", F.explode(t).alias("term"), F.size(t).alias("n_terms"))
+    return each_term(queries, kept(stop, analyzer))
+
+
+def each_term(queries: DataFrame, terms: Column) -> DataFrame:
+    """(qid, term, n_terms) of queries, by their `terms`. These are cut and counted before they become rows: beside
+    explode(), a count would cut the whole text again for each of its terms."""
+    whole = queries.select("qid", F.array_distinct(terms).alias("terms"))
+    return whole.select("qid", "terms", F.size("terms").alias("n_terms")).select("qid", F.explode("terms").alias("term"), "n_terms")
 
 
 def percent_of(mode: str, share: int | None) -> int:
@@ -102,43 +225,22 @@ def bm25_long(docs: DataFrame, queries: DataFrame, k: int, block: int = BLOCK, p
         rows = (idf if parts == 1 else idf.where(F.col("part") == i)).toPandas()
         if rows.empty:
             continue
-        qids, q = np.unique(rows["qid"].to_numpy(), return_inverse=True)
-        words, t = np.unique(rows["term"].to_numpy().astype(object), return_inverse=True)
-        order = np.argsort(t, kind="stable")
-        bounds, weight = np.searchsorted(t[order], np.arange(len(words) + 1)), np.zeros(len(words))
-        weight[t] = rows["idf"].to_numpy()
-        need = np.ones(len(qids), np.int64)
-        need[q] = np.maximum(1, rows["n_terms"].to_numpy() * percent // 100)
-        sent = docs.sparkSession.sparkContext.broadcast((qids, pa.array(words, pa.string()), q[order], bounds, weight, need))
+        sent = docs.sparkSession.sparkContext.broadcast((asked := Asked(rows, percent), pa.array(asked.words, pa.string())))
 
         def nearest(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            qids, words, askers, bounds, weight, need = sent.value
-            ids, best, fits, kind = None, None, None, None
+            asked, words = sent.value
+            best, everyone = Kept(len(asked.qids), k), np.arange(len(asked.qids))
+            step = max(1, min(STEP, TILE // len(everyone)))
             for whole in batches:
-                for at in range(0, whole.num_rows, STEP):
-                    b = whole.slice(at, STEP)
-                    dl, kind = b.column(2).to_numpy(zero_copy_only=False), b.schema.field(0).type
+                for at in range(0, whole.num_rows, step):
+                    b = whole.slice(at, step)
+                    dl = b.column(2).to_numpy(zero_copy_only=False)
                     term = pc.index_in(b.column(1).flatten(), value_set=words).fill_null(-1).to_numpy(zero_copy_only=False)
                     doc = np.repeat(np.arange(b.num_rows), dl)[term >= 0]
-                    cell, tf = np.unique(term[term >= 0].astype(np.int64) * STEP + doc, return_counts=True)
-                    term, doc = cell // STEP, cell % STEP
-                    part = weight[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[doc] / avgdl))
-                    scores, matched = np.zeros((b.num_rows, len(qids))), np.zeros((b.num_rows, len(qids)), np.int64)
-                    starts = np.flatnonzero(np.diff(term, prepend=-1))
-                    for lo, hi in zip(starts, [*starts[1:], len(term)][: len(starts)], strict=True):  # a batch may have no term of a query
-                        cells = np.ix_(doc[lo:hi], askers[bounds[term[lo]] : bounds[term[lo] + 1]])
-                        scores[cells] += part[lo:hi, None]
-                        matched[cells] += 1
-                    scores[matched < need] = 0
-                    new = np.broadcast_to(b.column(0).to_numpy(zero_copy_only=False), (len(qids), b.num_rows))
-                    ids = new if ids is None else np.concatenate([ids, new], axis=1)
-                    best = scores.T if best is None else np.concatenate([best, scores.T], axis=1)
-                    fits = matched.T if fits is None else np.concatenate([fits, matched.T], axis=1)
-                    keep = np.lexsort((ids, -np.round(best, 9)), axis=1)[:, :k]
-                    ids, best, fits = (np.take_along_axis(x, keep, 1) for x in (ids, best, fits))
-            if best is not None:
-                row, col = np.nonzero(best > 0)
-                yield pa.RecordBatch.from_arrays([pa.array(qids[row]), pa.array(ids[row, col], kind), pa.array(best[row, col]), pa.array(fits[row, col])], names=["qid", "id", "score", "matched"])
+                    cell, tf = np.unique(term[term >= 0].astype(np.int64) * step + doc, return_counts=True)
+                    term, doc = cell // step, cell % step
+                    best.add(b.column(0), *asked.scores(term, doc, asked.part(term, tf, dl[doc], avgdl), b.num_rows, everyone), everyone)
+            yield from best.rows(asked.qids)
 
         found = (own if among is None else corpus_terms(docs.where(among), stop, analyzer)).select("id", "terms", "dl").mapInArrow(nearest, f"qid {kinds['qid']}, id {kinds['id']}, score double, matched long")
         if parts > 1:

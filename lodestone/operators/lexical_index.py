@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
@@ -14,8 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import analyzed
-from .dense import ranks, top_by
-from .lexical import B, K1, percent_of
+from .dense import top_by
+from .lexical import PLACES, Asked, Kept, each_term, percent_of
 from .store import Versions, batches_of, empty
 
 #: Documents and terms of a block at most, and folders that terms are dealt out to unless an index says otherwise.
@@ -24,8 +25,6 @@ BLOCK, BLOCK_TERMS, SLOTS = 512, 1_000_000, 16
 QUERIES, PAIRS = 4096, 500_000
 #: Blocks of the highest bounds that are scored first for each query, to know what the others must reach.
 SEEDS = 4
-#: Scores are told apart to this many places.
-PLACES = 9
 
 
 def invert(batches: Iterable[pa.RecordBatch], piece: int, kind: pa.DataType, base: int) -> Iterator[pa.RecordBatch]:
@@ -119,35 +118,6 @@ def _block(docs: pa.RecordBatch, number: int, kind: pa.DataType) -> pa.RecordBat
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
-class Asked:
-    """One part of the queries as the tasks get it: terms by number, who asks for each, and its idf."""
-
-    def __init__(self, rows, percent: int):
-        self.qids, q = np.unique(rows["qid"].to_numpy(), return_inverse=True)
-        self.words, t = np.unique(rows["term"].to_numpy().astype(object), return_inverse=True)
-        order = np.argsort(t, kind="stable")
-        self.askers, self.bounds = q[order], np.searchsorted(t[order], np.arange(len(self.words) + 1))
-        self.idf, self.need = np.zeros(len(self.words)), np.ones(len(self.qids), np.int64)
-        self.idf[t] = rows["idf"].to_numpy()
-        self.need[q] = np.maximum(1, rows["n_terms"].to_numpy() * percent // 100)
-
-    def cells(self, terms: np.ndarray, most: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(place, query): each place in `terms` with each query that asks for the term there, some millions at a time."""
-        counts = self.bounds[terms + 1] - self.bounds[terms]
-        ends = np.cumsum(counts)
-        at = 0
-        while at < len(terms):
-            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
-            n = counts[at:upto]
-            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            yield np.repeat(np.arange(at, upto), n), self.askers[np.repeat(self.bounds[terms[at:upto]], n) + within]
-            at = upto
-
-
-def impact(tf, dl, avgdl: float):
-    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
-
-
 def _by_block(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (block, t), put together so that each batch is one whole block; t of the block's own row is -1."""
     held: list[pa.RecordBatch] = []
@@ -210,6 +180,10 @@ class LexicalIndex:
         kind = self.settings()["id_type"]
         return f"term string, block long, n int, max_tf int, min_dl int, docs binary, places binary, ids array<{kind}>"
 
+    def _arrow(self) -> pa.DataType:
+        kind = self.settings()["id_type"]
+        return pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
+
     def terms(self, text: str = "text") -> Column:
         return F.coalesce(analyzed(text, self.settings()["analyzer"]), F.array().cast("array<string>"))
 
@@ -316,9 +290,8 @@ class LexicalIndex:
     def _write(self, docs: DataFrame, piece: int) -> None:
         """The posting rows of docs (id, terms). Together, the folders are written as about as many files as there are
         shuffle partitions, so that their number, which a cluster sets by the size of its data, bounds the largest file."""
-        kind, slots = self.settings()["id_type"], self.settings()["slots"]
+        kind, slots, arrow = self.settings()["id_type"], self.settings()["slots"], self._arrow()
         own = docs.select(F.col("id").cast(kind).alias("id"), "terms")
-        arrow = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return invert(batches, piece, arrow, TaskContext.get().partitionId())
@@ -342,17 +315,19 @@ class LexicalIndex:
     # -- queries
 
     def _parts(self, queries: DataFrame, percent: int, queries_most: int, pairs_most: int) -> Iterator[tuple[Asked, str | None]]:
-        """The queries in parts of a bounded size, and a folder for each one's result if there are several; what all
-        terms weigh is counted once and written."""
-        t = F.array_distinct(self.terms())
-        wanted = queries.select("qid", F.explode(t).alias("term"), F.size(t).alias("n_terms"))
+        """The queries in parts of a bounded size, and a folder for each one's result if there are several; texts are cut
+        once, what all terms weigh is counted once, and both are written."""
+        folder = f"{self.path}/asked-{uuid.uuid4().hex}"
+        # texts that ask may all lie in one file
+        wanted = each_term(queries.select("qid", "text").repartition(self.spark.sparkContext.defaultParallelism), self.terms())
+        wanted.write.parquet(f"{folder}/wanted")
+        wanted = self.spark.read.schema(wanted.schema).parquet(f"{folder}/wanted")
         n = self.statistics()[0]
         idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
         sizes = wanted.agg(F.count("*").alias("pairs"), F.count_distinct("qid").alias("queries")).first()
         count = max(sizes.pairs // pairs_most, sizes.queries // queries_most) + 1
         part = F.pmod(F.xxhash64("qid"), F.lit(count)).alias("part")
         table = wanted.join(self.frequencies(wanted), "term").select("qid", "term", "n_terms", idf, part)
-        folder = f"{self.path}/asked-{uuid.uuid4().hex}"
         if count > 1:
             table.write.partitionBy("part").parquet(f"{folder}/terms")
             table = self.spark.read.parquet(f"{folder}/terms")
@@ -378,16 +353,27 @@ class LexicalIndex:
         numbers = self.spark.createDataFrame(pa.table({"term": pa.array(asked.words, pa.string()), "t": pa.array(range(len(asked.words)), pa.int32())}))
         own = self._folders(self._table().where("slot >= 0"), numbers).join(F.broadcast(numbers), "term").select("block", "t", *columns)
         docs = self._table().where("slot = -1").select("block", F.lit(-1).alias("t"), *columns)
-        dead = self._dead()
         rows = own.unionByName(docs)
         if blocks is not None:
             rows = rows.join(blocks, "block", "left_semi")
-        if dead is not None:
-            rows = rows.join(dead, "block", "left")
-        else:
-            rows = rows.withColumn("dead", F.lit(None).cast("array<smallint>"))
+        if "ids" in columns:
+            rows = rows.withColumn("ids", F.to_json("ids"))
+        return self._whole(rows, F.col("t") == -1, "ids" in columns).sortWithinPartitions("block", "t")
+
+    def _whole(self, rows: DataFrame, first: Column, deleted: bool = True) -> DataFrame:
+        """rows with each block whole in one task, and `dead`, the offsets of a block's deleted documents, in the row of
+        the block itself (`first`). Lists go to Python as JSON: a column of lists, most of them null, costs Spark time for
+        each row by the number of rows before it in the batch."""
+        if deleted:
+            dead = self._dead()
+            none = F.lit(None).cast("string").alias("dead")
+            if dead is None:
+                rows = rows.select("*", none)
+            else:
+                # the others needn't be joined
+                rows = rows.where(first).join(dead.select("block", F.to_json("dead").alias("dead")), "block", "left").unionByName(rows.where(~first).select("*", none))
         # by a hash of the block: a repartition by a join's own key would be left to the join, which may become a broadcast
-        return rows.repartition(F.xxhash64("block")).sortWithinPartitions("block", "t")
+        return rows.repartition(F.xxhash64("block"))
 
     def search(self, queries: DataFrame, k: int, mode: str = "any", share: int | None = None, skip: bool = False, queries_most: int = QUERIES, pairs_most: int = PAIRS, report: Callable[[dict], None] | None = None) -> DataFrame:
         """(qid, id, score, matched, rank): the k best documents for each of queries (qid, text), as lexical.bm25 has it.
@@ -459,27 +445,16 @@ class LexicalIndex:
 
     def _scored(self, asked: Asked, k: int, avgdl: float, kinds: dict, blocks: DataFrame | None, floor: np.ndarray | None) -> DataFrame:
         """(qid, id, score, matched): each task's k best documents for each query."""
-        sent = self.spark.sparkContext.broadcast((asked, avgdl, np.zeros(len(asked.qids)) if floor is None else floor))
+        sent, arrow = self.spark.sparkContext.broadcast((asked, avgdl, floor)), self._arrow()
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             asked, avgdl, floor = sent.value
-            ids = best = fits = None
-            least, kind = floor.copy(), None
+            best = Kept(len(asked.qids), k, floor)
             for b in _by_block(batches):
-                got = _scores(b, asked, avgdl, least)
-                if got is None:
-                    continue
-                new, scores, matched, kind = got
-                ids = new if ids is None else np.concatenate([ids, new], axis=1)
-                best = scores if best is None else np.concatenate([best, scores], axis=1)
-                fits = matched if fits is None else np.concatenate([fits, matched], axis=1)
-                keep = np.lexsort((ranks(ids), -np.round(best, PLACES)), axis=1)[:, :k]
-                ids, best, fits = (np.take_along_axis(x, keep, 1) for x in (ids, best, fits))
-                if best.shape[1] == k:
-                    least = np.maximum(least, best[:, -1])
-            if best is not None:
-                row, col = np.nonzero(best > 0)
-                yield pa.RecordBatch.from_arrays([pa.array(asked.qids[row]), pa.array(ids[row, col], kind), pa.array(best[row, col]), pa.array(fits[row, col])], names=["qid", "id", "score", "matched"])
+                got = _scores(b, asked, avgdl, best.least, arrow)
+                if got is not None:
+                    best.add(*got)
+            yield from best.rows(asked.qids)
 
         rows = self._rows(asked, ["n", "max_tf", "min_dl", "docs", "ids"], blocks)
         return rows.mapInArrow(run, f"qid {kinds['qid']}, id {kinds['id']}, score double, matched long")
@@ -492,7 +467,7 @@ class LexicalIndex:
         """
         kinds = {"qid": queries.schema["qid"].dataType.simpleString(), "id": self.settings()["id_type"]}
         own = queries.select("qid", self.terms().alias("wanted")).where(F.size("wanted") > 0)
-        schema = f"qid {kinds['qid']}, id {kinds['id']}, n long"
+        schema, arrow = f"qid {kinds['qid']}, id {kinds['id']}, n long", self._arrow()
 
         def found() -> Iterator[tuple[DataFrame, str | None]]:
             for asked, folder in self._parts(queries, 100, queries_most, pairs_most):
@@ -503,7 +478,7 @@ class LexicalIndex:
 
                 def run(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
                     for b in _by_block(batches):
-                        got = _phrases(b, sent.value)
+                        got = _phrases(b, sent.value, arrow)
                         if got is not None:
                             yield got
 
@@ -519,12 +494,17 @@ def _positions(gaps: np.ndarray, tf: np.ndarray) -> np.ndarray:
     return sums - np.repeat(sums[first] - gaps[first], tf) if len(tf) else sums
 
 
+def _listed(column: pa.StringArray, kind: pa.DataType) -> pa.Array:
+    """The list that a block's first row has as JSON; null is an empty one."""
+    return pa.array(json.loads(column[0].as_py() or "[]"), kind)
+
+
 def _bound(b: pa.RecordBatch, asked: Asked, avgdl: float) -> np.ndarray | None:
     """Per query, the most that a document of the block can score; 0 where the block has too few of its terms."""
     t, names = b.column(1).to_numpy(), b.schema.names
     if len(t) < 2:
         return None
-    part = asked.idf[t[1:]] * impact(b.column(names.index("max_tf")).to_numpy()[1:], b.column(names.index("min_dl")).to_numpy()[1:], avgdl)
+    part = asked.part(t[1:], b.column(names.index("max_tf")).to_numpy()[1:], b.column(names.index("min_dl")).to_numpy()[1:], avgdl)
     bound, met = np.zeros(len(asked.qids)), np.zeros(len(asked.qids), np.int64)
     for place, who in asked.cells(t[1:]):
         bound += np.bincount(who, part[place], len(bound))
@@ -533,45 +513,29 @@ def _bound(b: pa.RecordBatch, asked: Asked, avgdl: float) -> np.ndarray | None:
     return bound
 
 
-def _scores(b: pa.RecordBatch, asked: Asked, avgdl: float, least: np.ndarray):
-    """(ids, scores, matched, kind of ids) of a block's documents by query, or None if no query can gain by it."""
+def _scores(b: pa.RecordBatch, asked: Asked, avgdl: float, least: np.ndarray, arrow: pa.DataType):
+    """(ids, scores, matched, queries) of a block's documents by each query that can gain by it, or None if none can."""
     bound = _bound(b, asked, avgdl)
     if bound is None:
         return None
-    open_ = (bound > 0) & (bound >= least - 10.0**-PLACES)
-    if not open_.any():
+    who = np.flatnonzero((bound > 0) & (bound >= least - 10.0**-PLACES))
+    if not len(who):
         return None
     cols = dict(zip(b.schema.names, b.columns, strict=True))
-    ids, dl = cols["ids"].slice(0, 1).flatten(), unpack(cols["docs"].slice(0, 1))[0]
-    column = np.cumsum(open_) - 1  # queries that are still open have a row each
-    n, width = int(open_.sum()), len(dl)
-    scores, matched = np.zeros(n * width), np.zeros(n * width, np.int64)
-    t = cols["t"].to_numpy()[1:]
+    ids, dl = _listed(cols["ids"], arrow), unpack(cols["docs"].slice(0, 1))[0]
     offs, tfs, sizes = postings(cols["docs"].slice(1))
-    part = np.repeat(asked.idf[t], sizes) * impact(tfs, dl[offs], avgdl)
-    for place, who in asked.cells(np.repeat(t, sizes)):
-        place, who = place[open_[who]], who[open_[who]]
-        cell = column[who] * width + offs[place]
-        scores += np.bincount(cell, part[place], n * width)
-        matched += np.bincount(cell, minlength=n * width)
-    scores, matched = scores.reshape(n, width), matched.reshape(n, width)
-    scores[matched < asked.need[open_][:, None]] = 0
-    dead = cols["dead"][0].as_py()
-    if dead:
-        scores[:, np.array(dead, dtype=int)] = 0
-    whole, fits = np.zeros((len(open_), len(dl))), np.zeros((len(open_), len(dl)), np.int64)
-    whole[open_], fits[open_] = scores, matched
-    # numbers with nulls would become floats
-    values = np.array(ids.to_pylist(), dtype=object) if ids.null_count else ids.to_numpy(zero_copy_only=False)
-    return np.broadcast_to(values, whole.shape), whole, fits, ids.type
-
-
-def _phrases(b: pa.RecordBatch, queries: list) -> pa.RecordBatch | None:
+    t = np.repeat(cols["t"].to_numpy()[1:], sizes)
+    scores, matched = asked.scores(t, offs, asked.part(t, tfs, dl[offs], avgdl), len(dl), who)
+    scores[:, _listed(cols["dead"], pa.int64()).to_numpy()] = 0
+    return ids, scores, matched, who
+
+
+def _phrases(b: pa.RecordBatch, queries: list, arrow: pa.DataType) -> pa.RecordBatch | None:
     cols = dict(zip(b.schema.names, b.columns, strict=True))
     t = cols["t"].to_numpy()
     row = {int(j): i for i, j in enumerate(t)}
     n = cols["n"].to_numpy()
-    dead, made = set(cols["dead"][0].as_py() or []), {}
+    dead, made = set(_listed(cols["dead"], pa.int64()).to_pylist()), {}
 
     def starts(j: int) -> np.ndarray:
         """offset * 2**32 + position of a term in the block's documents."""
@@ -596,5 +560,5 @@ def _phrases(b: pa.RecordBatch, queries: list) -> pa.RecordBatch | None:
                 out.append((q, int(off), int(count)))
     if not out:
         return None
-    ids = cols["ids"].slice(0, 1).flatten()
+    ids = _listed(cols["ids"], arrow)
     return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out]), ids.take(pa.array([x[1] for x in out])), pa.array([x[2] for x in out], pa.int64())], names=["qid", "id", "n"])
