@@ -251,19 +251,16 @@ class LexicalIndex:
         return rows.where(F.col("slot").isin([r.slot for r in terms.select(slot).distinct().collect()]))
 
     def scan(self) -> DataFrame:
-        """(id, terms): the whole index read back, each document's terms in order."""
-        rows = self._table().where("slot >= 0").select("term", "block", "docs", "places")
+        """(id, terms): the whole index read back, each document's terms in order. Posting rows meet by block as they are
+        stored, so what is shuffled and held is the index and not a row for each place of a term."""
+        kind, arrow = self.settings()["id_type"], self._arrow()
 
-        def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                off, tf, n = postings(b.column(2))
-                row = np.repeat(np.repeat(np.arange(b.num_rows), n), tf)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(np.repeat(off, tf), pa.int32()), pa.array(_positions(unpack(b.column(3))[0], tf), pa.int32())], names=["term", "block", "off", "at"])
+        def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in _by_block(batches):
+                yield _texts(b, arrow)
 
-        each = rows.mapInArrow(spread, "term string, block long, off int, at int")
-        lists = each.groupBy("block", "off").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "term"))), lambda x: x["term"]).alias("terms"))
-        none = F.array().cast("array<string>")
-        return self.documents().select("block", "off", "id").join(lists, ["block", "off"], "left").select("id", F.coalesce("terms", none).alias("terms"))
+        rows = self._whole(self._table().select("block", "term", "docs", "places", F.to_json("ids").alias("ids")), F.col("term").isNull())
+        return rows.sortWithinPartitions("block", "term").mapInArrow(whole, f"id {kind}, terms array<string>")
 
     # -- changes
 
@@ -499,6 +496,20 @@ def _listed(column: pa.StringArray, kind: pa.DataType) -> pa.Array:
     return pa.array(json.loads(column[0].as_py() or "[]"), kind)
 
 
+def _texts(b: pa.RecordBatch, arrow: pa.DataType) -> pa.RecordBatch:
+    """(id, terms) of a block's documents, without deleted ones."""
+    cols = dict(zip(b.schema.names, b.columns, strict=True))
+    dl = unpack(cols["docs"].slice(0, 1))[0]
+    off, tf, n = postings(cols["docs"].slice(1))
+    at = np.repeat((np.cumsum(dl) - dl)[off], tf) + _positions(unpack(cols["places"].slice(1))[0], tf)
+    term = np.empty(len(at), np.int64)
+    term[at] = np.repeat(np.repeat(np.arange(1, b.num_rows), n), tf)
+    ends = pa.array(np.concatenate(([0], np.cumsum(dl))), pa.int32())
+    terms = pa.ListArray.from_arrays(ends, cols["term"].take(pa.array(term)))
+    left = pa.array(np.setdiff1d(np.arange(len(dl)), _listed(cols["dead"], pa.int64()).to_numpy()))
+    return pa.RecordBatch.from_arrays([_listed(cols["ids"], arrow).take(left), terms.take(left)], names=["id", "terms"])
+
+
 def _bound(b: pa.RecordBatch, asked: Asked, avgdl: float) -> np.ndarray | None:
     """Per query, the most that a document of the block can score; 0 where the block has too few of its terms."""
     t, names = b.column(1).to_numpy(), b.schema.names

@@ -55,3 +55,14 @@ def test_scores_of_common_and_rare_terms_are_exact_and_kept_in_bounded_memory():
         mine = found[found.qid == q]
         assert list(zip(mine.id, mine.matched, strict=True)) == [(i, m) for _, i, m in want]
         assert np.allclose(mine.score, [-s for s, _, _ in want], atol=1e-8)
+
+
+def test_the_index_is_read_back_without_a_row_for_each_place(spark):
+    docs = spark.createDataFrame([("a", "x y x"), ("b\"", "y"), (None, "z Ж y"), ("d", None), ("e", "gone"), ("f", "x " * 5)], "id string, text string").repartition(2)
+    index = LexicalIndex.built(docs, fresh_folder(spark, "index"))
+    index.change(remove=docs.where("id = 'e'").select("id"), batch=1)
+    assert "collect_list" not in plan(index.scan()).replace("collect_set", "")
+    left = docs.where("id <> 'e' or id is null")
+    assert rows(index.scan()) == rows(lexical.corpus_terms(left).select("id", "terms"))
+    q = spark.createDataFrame([(1, "y x")], "qid long, text string")
+    assert rows(index.search(q, 9).withColumn("score", F.round("score", 6))) == rows(lexical.bm25(left, q, 9).withColumn("score", F.round("score", 6)))
