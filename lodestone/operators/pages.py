@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import drop_controls
 from . import structure
+from .store import fresh_folder
 
 #: The share of a page in which running headers and footers lie, the share of pages that they are on and
 #: pages at least, points added around them, and how far the zones reach at most.
@@ -74,7 +75,8 @@ def assemble(blocks: DataFrame, tables: DataFrame | None = None, settings: DataF
     headings are (pos, level, text) by offset in the text, of a text that occurs four times or more the first alone;
     pages are (off, page, logical) with the printed number at the foot, if any. Pages without text are left out, as are
     documents without blocks. outcome is `ok`, or `too_short` for texts below min_doc_length, whose text is null.
-    Everything but the final text of a document is a row per block; only that text is put together in one task.
+    Everything but the final text of a document is a row per block; only that text is put together in one task. Blocks in
+    reading order are written to the shared folder, as headings, pages and texts are all made of them.
     """
     spark_tables = tables.where(F.size("rows") >= 2) if tables is not None else None
     page = ["doc_id", "page"]
@@ -88,6 +90,9 @@ def assemble(blocks: DataFrame, tables: DataFrame | None = None, settings: DataF
         made = spark_tables.join(size, page).select(*page, "page_width", "x0", "y0", "x1", structure.table_markdown("rows").alias("text"), F.lit(None).cast("struct<level:int,text:string>").alias("heading"))
         items = items.unionByName(made)
     placed = structure.reading_order(items).withColumn("text", drop_controls("text"))
+    folder = f"{fresh_folder(blocks.sparkSession, 'pages')}/placed"
+    placed.write.parquet(folder)
+    placed = blocks.sparkSession.read.schema(placed.schema).parquet(folder)
     run = Window.partitionBy(*page).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("off", F.coalesce(F.sum(F.length("text") + len(BETWEEN)).over(run), F.lit(0)))
     by_page = placed.groupBy(*page).agg(F.sum(F.length("text") + len(BETWEEN)).alias("n"), F.max(F.trim("text") != "").alias("some")).where("some")

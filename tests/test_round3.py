@@ -8,9 +8,10 @@ import pyarrow as pa
 from compare import rows
 from pyspark.sql import functions as F
 
-from lodestone.operators import lexical
+from lodestone.operators import lexical, pages
 from lodestone.operators.lexical_index import LexicalIndex
 from lodestone.operators.store import fresh_folder
+from lodestone.plans import layout
 
 DOC = "id long, text string"
 
@@ -66,3 +67,8 @@ def test_the_index_is_read_back_without_a_row_for_each_place(spark):
     assert rows(index.scan()) == rows(lexical.corpus_terms(left).select("id", "terms"))
     q = spark.createDataFrame([(1, "y x")], "qid long, text string")
     assert rows(index.search(q, 9).withColumn("score", F.round("score", 6))) == rows(lexical.bm25(left, q, 9).withColumn("score", F.round("score", 6)))
+
+
+def test_blocks_are_put_in_order_once(spark, small):
+    # the median size of a page belongs to the steps before that order
+    assert "percentile" not in plan(pages.assemble(*layout._page_blocks(spark, small)))
