@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import analyzed
 from .dense import ranks, top_by
-from .store import fresh_folder
+from .store import batches_of, dropped, empty, fresh_folder
 
 K1, B = 1.2, 0.75
 #: Queries and (query, term) pairs that are sent to the tasks at once, documents that a task scores at once, and scores
@@ -144,7 +144,12 @@ def kept(stop: Sequence[str], analyzer: str = "plain") -> Column:
 
 def corpus_terms(docs: DataFrame, stop: Sequence[str] = (), analyzer: str = "plain") -> DataFrame:
     """(id, terms, dl) of docs (id, text); null texts have no terms."""
-    return docs.select("id", F.coalesce(kept(stop, analyzer), F.array().cast("array<string>")).alias("terms")).withColumn("dl", F.size("terms"))
+    return docs.select("id", corpus_kept(stop, analyzer).alias("terms")).withColumn("dl", F.size("terms"))
+
+
+def corpus_kept(stop: Sequence[str] = (), analyzer: str = "plain") -> Column:
+    """kept(), where null texts have no terms."""
+    return F.coalesce(kept(stop, analyzer), F.array().cast("array<string>"))
 
 
 def query_terms(queries: DataFrame, stop: Sequence[str] = (), analyzer: str = "plain") -> DataFrame:
@@ -205,27 +210,34 @@ def bm25_long(docs: DataFrame, queries: DataFrame, k: int, block: int = BLOCK, p
 
     Queries share terms with nearly every document, so joining them term by term makes rows by the thousand for
     a document. Here queries go out in blocks of a bounded number of terms, with their idf; each task scores its
-    documents where they lie against a whole block and keeps k rows a query, so only those are shuffled. What the
-    asked terms weigh is counted once, over these terms alone; with several blocks it is written, and so are the rows
-    of each block before the next begins, so that the driver and the tasks hold one block at a time.
+    documents where they lie against a whole block and keeps k rows a query, so only those are shuffled. Texts are cut
+    into terms once and written, as every block reads them all; what the asked terms weigh is counted once, over these
+    terms alone. The rows of each block are written before the next begins, so that the driver and the tasks hold one
+    block at a time, and of the documents a few megabytes.
     """
-    own, wanted = corpus_terms(docs, stop, analyzer), query_terms(queries, stop, analyzer)
+    spark, folder = docs.sparkSession, fresh_folder(docs.sparkSession, "bm25")
+
+    def stored(table: DataFrame, name: str, *by: str) -> DataFrame:
+        table.write.partitionBy(*by).parquet(f"{folder}/{name}")
+        return spark.read.schema(table.schema).parquet(f"{folder}/{name}")
+
+    open_ = F.lit(True) if among is None else F.coalesce(among, F.lit(False))
+    own = stored(docs.select("id", corpus_kept(stop, analyzer).alias("terms"), open_.alias("open")).withColumn("dl", F.size("terms")), "documents")
+    wanted = stored(query_terms(queries, stop, analyzer), "wanted")
     n, avgdl = own.agg(F.count("*"), F.avg("dl")).first()
     df = own.select(F.explode(F.array_distinct("terms")).alias("term")).join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     idf = wanted.join(df, "term").select("qid", "term", "n_terms", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     sizes = wanted.agg(F.count("*").alias("pairs"), F.count_distinct("qid").alias("queries")).first()
     parts = max(sizes.pairs // pairs, sizes.queries // block) + 1
     kinds = {"qid": queries.schema["qid"].dataType.simpleString(), "id": docs.schema["id"].dataType.simpleString()}
-    result, ranking = None, [F.desc(F.round("score", 9)), F.asc("id")]
+    result = None
     if parts > 1:
-        folder = fresh_folder(docs.sparkSession, "bm25")
-        idf.withColumn("part", F.pmod(F.xxhash64("qid"), F.lit(parts))).write.partitionBy("part").parquet(f"{folder}/idf")
-        idf = docs.sparkSession.read.parquet(f"{folder}/idf")
+        idf = stored(idf.withColumn("part", F.pmod(F.xxhash64("qid"), F.lit(parts)).cast("int")), "idf", "part")
     for i in range(parts):
         rows = (idf if parts == 1 else idf.where(F.col("part") == i)).toPandas()
         if rows.empty:
             continue
-        sent = docs.sparkSession.sparkContext.broadcast((asked := Asked(rows, percent), pa.array(asked.words, pa.string())))
+        sent = spark.sparkContext.broadcast((asked := Asked(rows, percent), pa.array(asked.words, pa.string())))
 
         def nearest(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             asked, words = sent.value
@@ -242,16 +254,14 @@ def bm25_long(docs: DataFrame, queries: DataFrame, k: int, block: int = BLOCK, p
                     best.add(b.column(0), *asked.scores(term, doc, asked.part(term, tf, dl[doc], avgdl), b.num_rows, everyone), everyone)
             yield from best.rows(asked.qids)
 
-        found = (own if among is None else corpus_terms(docs.where(among), stop, analyzer)).select("id", "terms", "dl").mapInArrow(nearest, f"qid {kinds['qid']}, id {kinds['id']}, score double, matched long")
-        if parts > 1:
-            best = top_by(found, k, ["qid"], ranking).drop("rank")
-            best.write.parquet(f"{folder}/found-{i}")
-            sent.unpersist()
-            found = docs.sparkSession.read.schema(best.schema).parquet(f"{folder}/found-{i}")
+        found = own.where("open").select("id", "terms", "dl").mapInArrow(nearest, f"qid {kinds['qid']}, id {kinds['id']}, score double, matched long")
+        with batches_of(spark):
+            found = stored(top_by(found, k, ["qid"], [F.desc(F.round("score", PLACES)), F.asc("id")]), f"found-{i}")
+        sent.unpersist()
         result = found if result is None else result.unionByName(found)
-    if result is None:
-        result = docs.select(F.lit(None).cast(kinds["qid"]).alias("qid"), "id", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("matched")).limit(0)
-    return top_by(result, k, ["qid"], ranking)
+    for name in ("documents", "wanted", "idf"):
+        dropped(spark, f"{folder}/{name}")
+    return empty(spark, f"qid {kinds['qid']}, id {kinds['id']}, score double, matched long, rank int") if result is None else result
 
 
 #: Queries whose rarest terms are sent to all tasks at once; beyond that they are met by an ordinary join.

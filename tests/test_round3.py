@@ -72,3 +72,17 @@ def test_the_index_is_read_back_without_a_row_for_each_place(spark):
 def test_blocks_are_put_in_order_once(spark, small):
     # the median size of a page belongs to the steps before that order
     assert "percentile" not in plan(pages.assemble(*layout._page_blocks(spark, small)))
+
+
+def test_texts_are_cut_once_however_many_parts_the_queries_make(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def told(text):
+        read.add(1)
+        return text
+
+    plain = spark.createDataFrame([(i, " ".join(f"w{i * j % 11}" for j in range(i % 9))) for i in range(40)], DOC)
+    q = plain.where("id % 4 = 1").selectExpr("id as qid", "text")
+    docs = plain.withColumn("text", F.udf(told, "string")("text"))
+    assert rows(lexical.bm25_long(docs, q, 5, pairs=10, among=F.col("id") > 3)) == rows(lexical.bm25_long(plain, q, 5, among=F.col("id") > 3))
+    assert read.value == 40
