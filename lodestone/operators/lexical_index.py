@@ -25,6 +25,8 @@ BLOCK, BLOCK_TERMS, SLOTS = 512, 1_000_000, 16
 QUERIES, PAIRS = 4096, 500_000
 #: Blocks of the highest bounds that are scored first for each query, to know what the others must reach.
 SEEDS = 4
+#: Queries whose bounds in a block are one row.
+WIDTH = 256
 
 
 def invert(batches: Iterable[pa.RecordBatch], piece: int, kind: pa.DataType, base: int) -> Iterator[pa.RecordBatch]:
@@ -155,6 +157,7 @@ class LexicalIndex:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.versions = spark, Versions(spark, path)
         self.path = self.versions.path
+        self.counted: dict[int, tuple[int, float]] = {}  # a version never changes
 
     # -- what is stored
 
@@ -217,12 +220,15 @@ class LexicalIndex:
         return rows if dead is None else rows.join(dead, "block", "left").where(F.coalesce(~F.array_contains("dead", F.col("off").cast("smallint")), F.lit(True))).drop("dead")
 
     def statistics(self) -> tuple[int, float]:
-        """Documents and their mean length; without deletions, from one row a block."""
+        """Documents and their mean length; without deletions, from one row a block. Counted once for a version."""
+        if (number := self.versions.number()) in self.counted:
+            return self.counted[number]
         if self._dead() is not None:
             n, total = self.documents().agg(F.count("*"), F.sum("dl")).first()
         else:
             n, total = self._table().where("slot = -1").agg(F.sum("n"), F.sum("max_tf")).first()
-        return n or 0, (total or 0) / n if n else 0.0
+        self.counted[number] = n or 0, (total or 0) / n if n else 0.0
+        return self.counted[number]
 
     def frequencies(self, terms: DataFrame | None = None) -> DataFrame:
         """(term, df) of all terms or of those in `terms` (term): from the counts of the posting rows."""
@@ -379,7 +385,7 @@ class LexicalIndex:
         task holds one block at a time, with k rows a query. A block's bound for a query is the sum of its terms' idf
         at the block's highest count and shortest length; a query whose k-th best score is above it needn't be scored
         there, which loses nothing. With `skip`, the blocks of the highest bounds are scored first, and of the others
-        only those are read that some query may still need: two passes over the bounds alone, which pay for few queries
+        only those are read that some query may still need: one pass over the bounds alone, which pays for few queries
         over many blocks. `report` gets the number of blocks read and of all.
         """
         percent, avgdl = percent_of(mode, share), self.statistics()[1]
@@ -390,55 +396,72 @@ class LexicalIndex:
             for asked, folder in self._parts(queries, percent, queries_most, pairs_most):
                 floor = blocks = None
                 if skip:
-                    seeds = top_by(self._bounds(asked, avgdl, kinds["qid"]), SEEDS, ["qid"], [F.desc("bound"), F.asc("block")])
+                    bounds = self._bounds(asked, avgdl)
+                    seeds = self._seeds(bounds, asked, kinds["qid"])
                     first = self._scored(asked, k, avgdl, kinds, seeds.select("block").distinct(), None)
                     least = top_by(first, k, ["qid"], [F.desc("score")]).where(F.col("rank") == k).select("qid", "score").toPandas()
                     floor = np.zeros(len(asked.qids))
                     floor[np.searchsorted(asked.qids, least["qid"].to_numpy())] = least["score"].to_numpy()
-                    blocks = self._needed(asked, avgdl, floor)
+                    blocks = self._needed(bounds, floor)
                     if report:
                         report({"read": blocks.count(), "all": self._table().where("slot = -1").count()})
                 yield top_by(self._scored(asked, k, avgdl, kinds, blocks, floor), k, ["qid"], order), folder
 
         return self._together(found(), f"qid {kinds['qid']}, id {kinds['id']}, score double, matched long, rank int")
 
-    def _bounds(self, asked: Asked, avgdl: float, qid_kind: str) -> DataFrame:
-        """(qid, block, bound): of each task's blocks the SEEDS of the highest bounds for each query."""
-        sent = self.spark.sparkContext.broadcast((asked, avgdl))
+    def _bounds(self, asked: Asked, avgdl: float) -> DataFrame:
+        """(block, at, bounds): each block's bounds for the queries from number `at` on, WIDTH of them as bytes, written
+        once: both what is scored first and what else is needed are told by it."""
+        sent, path = self.spark.sparkContext.broadcast((asked, avgdl)), f"{self.path}/bounds-{uuid.uuid4().hex}"
+        schema = "block long, at int, bounds binary"
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             asked, avgdl = sent.value
-            best, blocks = np.zeros((len(asked.qids), 0)), np.zeros((len(asked.qids), 0), np.int64)
             for b in _by_block(batches):
                 bound = _bound(b, asked, avgdl)
-                if bound is None:
-                    continue
-                best = np.concatenate([best, bound[:, None]], axis=1)
-                blocks = np.concatenate([blocks, np.full((len(bound), 1), b.column(0)[0].as_py())], axis=1)
-                if best.shape[1] > 8 * SEEDS:
-                    keep = np.argsort(-best, axis=1)[:, :SEEDS]
-                    best, blocks = np.take_along_axis(best, keep, 1), np.take_along_axis(blocks, keep, 1)
-            keep = np.argsort(-best, axis=1)[:, :SEEDS]
-            best, blocks = np.take_along_axis(best, keep, 1), np.take_along_axis(blocks, keep, 1)
+                if bound is not None:
+                    ats = [at for at in range(0, len(bound), WIDTH) if bound[at : at + WIDTH].any()]
+                    parts = [bound[at : at + WIDTH].tobytes() for at in ats]
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(0, 1).take(pa.array([0] * len(ats), pa.int32())), pa.array(ats, pa.int32()), pa.array(parts, pa.binary())], names=["block", "at", "bounds"])
+
+        self._rows(asked, ["n", "max_tf", "min_dl"]).mapInArrow(run, schema).write.parquet(path)
+        sent.unpersist()
+        return self.spark.read.schema(schema).parquet(path)
+
+    def _seeds(self, bounds: DataFrame, asked: Asked, qid_kind: str) -> DataFrame:
+        """(qid, block, bound): of each task's blocks the SEEDS of the highest bounds for each query."""
+        sent = self.spark.sparkContext.broadcast(asked.qids)
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            qids = sent.value
+            best, blocks = np.zeros((len(qids), SEEDS)), np.zeros((len(qids), SEEDS), np.int64)
+            for b in batches:
+                for block, at, bound in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    bound = np.frombuffer(bound)
+                    own = np.arange(at, at + len(bound))
+                    least = best[own].argmin(axis=1)
+                    better = bound > best[own, least]
+                    best[own[better], least[better]], blocks[own[better], least[better]] = bound[better], block
             row, col = np.nonzero(best > 0)
-            yield pa.RecordBatch.from_arrays([pa.array(asked.qids[row]), pa.array(blocks[row, col], pa.int64()), pa.array(best[row, col])], names=["qid", "block", "bound"])
+            yield pa.RecordBatch.from_arrays([pa.array(qids[row]), pa.array(blocks[row, col], pa.int64()), pa.array(best[row, col])], names=["qid", "block", "bound"])
 
-        return self._rows(asked, ["n", "max_tf", "min_dl"]).mapInArrow(run, f"qid {qid_kind}, block long, bound double")
+        found = bounds.mapInArrow(run, f"qid {qid_kind}, block long, bound double")
+        return top_by(found, SEEDS, ["qid"], [F.desc("bound"), F.asc("block")])
 
-    def _needed(self, asked: Asked, avgdl: float, floor: np.ndarray) -> DataFrame:
+    def _needed(self, bounds: DataFrame, floor: np.ndarray) -> DataFrame:
         """(block): those that may hold one of the k best for some query."""
-        sent = self.spark.sparkContext.broadcast((asked, avgdl, floor))
+        sent = self.spark.sparkContext.broadcast(floor)
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            asked, avgdl, floor = sent.value
-            some = []
-            for b in _by_block(batches):
-                bound = _bound(b, asked, avgdl)
-                if bound is not None and ((bound > 0) & (bound >= floor - 10.0**-PLACES)).any():
-                    some.append(b.column(0)[0].as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64())], names=["block"])
+            floor, some = sent.value, set()
+            for b in batches:
+                for block, at, bound in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    bound = np.frombuffer(bound)
+                    if ((bound > 0) & (bound >= floor[at : at + len(bound)] - 10.0**-PLACES)).any():
+                        some.add(block)
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(some), pa.int64())], names=["block"])
 
-        return self._rows(asked, ["n", "max_tf", "min_dl"]).mapInArrow(run, "block long")
+        return bounds.mapInArrow(run, "block long").distinct()
 
     def _scored(self, asked: Asked, k: int, avgdl: float, kinds: dict, blocks: DataFrame | None, floor: np.ndarray | None) -> DataFrame:
         """(qid, id, score, matched): each task's k best documents for each query."""

@@ -86,3 +86,19 @@ def test_texts_are_cut_once_however_many_parts_the_queries_make(spark):
     docs = plain.withColumn("text", F.udf(told, "string")("text"))
     assert rows(lexical.bm25_long(docs, q, 5, pairs=10, among=F.col("id") > 3)) == rows(lexical.bm25_long(plain, q, 5, among=F.col("id") > 3))
     assert read.value == 40
+
+
+def test_bounds_are_counted_once_for_both_passes_and_so_is_a_version(spark, monkeypatch):
+    words = "red fox hen jumps over lazy dog again and blue".split()
+    docs = spark.createDataFrame([(i, " ".join(words[(i * j) % 10] for j in range(i % 13)) + (" rare" if i % 500 == 3 else "")) for i in range(1500)], DOC).repartition(3)
+    q = spark.createDataFrame([(1, "rare"), (2, "red hen"), (3, "dog " * 3), (4, "absent"), (5, None)], "qid long, text string")
+    index = LexicalIndex.built(docs, fresh_folder(spark, "index"))
+    index.change(remove=docs.where("id % 2 = 0").select("id"))
+    read, counted, own, table = [], [], LexicalIndex._rows, LexicalIndex.documents
+    monkeypatch.setattr(LexicalIndex, "_rows", lambda self, asked, columns, *more: read.append("docs" in columns) or own(self, asked, columns, *more))
+    monkeypatch.setattr(LexicalIndex, "documents", lambda self: counted.append(1) or table(self))
+    shown = lambda df: rows(df.withColumn("score", F.round("score", 6)))
+    assert shown(index.search(q, 4, skip=True)) == shown(lexical.bm25(docs.where("id % 2 = 1"), q, 4))
+    assert read == [False, True, True] and len(counted) == 1
+    monkeypatch.setattr("lodestone.operators.lexical_index.WIDTH", 2)  # queries in several rows of bounds
+    assert shown(index.search(q, 4, skip=True)) == shown(index.search(q, 4))
