@@ -67,3 +67,29 @@ def test_texts_are_cut_once_and_counts_teach_the_same(spark):
     assert shown(sentences.abbreviations(sentences.counted(found))) == shown(plain)
     assert shown(sentences.starters(sentences.counted(found), plain)) == shown(sentences.starters(found, plain))
     assert "dr" in got[0]
+
+
+def test_no_word_is_dropped_however_many_are_learned(spark):
+    letters = "bcdfghjklmnpqrstvwxyzä"
+    short = sorted(f"{a}{b}{c}" for a in letters for b in letters for c in letters)
+    filler = " plain words without end" * 60
+    texts = [f"See {' x '.join(f'{w}. Other' for w in short[i : i + 10])}{filler}" for i in range(0, len(short), 10)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(-1, None), (-1, "Ask bbb. Other end. Then")], "id long, text string").repartition(4)
+    got = sentences.learn(docs)
+    assert len(short) > 10_000 and set(short) <= set(got[0])
+    out = sentences.split_rows(docs, sentences.learned(docs))
+    assert out.columns == ["id", "text", "s"]
+    rows = out.collect()
+    assert len(rows) == len(texts) + 2
+    assert {len(r.s) for r in rows if r.id >= 0} == {1}  # all of its periods belong to abbreviations
+    assert [[s.strip() for s in r.s] for r in rows if r.id == -1 and r.s is not None] == [["Ask bbb. Other end.", "Then"]]
+    assert [r.s for r in rows if r.text is None] == [None]
+
+
+def test_rows_are_split_as_by_lists(spark, known):
+    texts = ['He said "no." Then (he left.) And\n\nso on', "He met the Dr. The rest left.", "Call Dr. Brown now. He waits.", "ca. z.B. \"Dr.\" Die Frau", "Call Dr. Brown now. He waits.", "a\x01b. c", None, "", "\t Dr.\n\tThe end. ... ."]
+    docs = spark.createDataFrame([(7, t) for t in texts], "id int, text string")
+    table = spark.createDataFrame([(k, w) for k, ws in zip((sentences.SHORT, sentences.FIRST), known, strict=True) for w in ws], "kind string, word string")
+    shown = lambda df: sorted(str(tuple(r)) for r in df.select("id", "text", "s").collect())
+    assert shown(sentences.split_rows(docs, table)) == shown(docs.withColumn("s", sentences.split("text", known)))
+    assert shown(sentences.split_rows(docs, table.limit(0))) == shown(docs.withColumn("s", sentences.split("text")))
