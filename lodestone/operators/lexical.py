@@ -15,9 +15,11 @@ from .dense import ranks, top_by
 from .store import batches_of, dropped, empty, fresh_folder
 
 K1, B = 1.2, 0.75
-#: Queries and (query, term) pairs that are sent to the tasks at once, documents that a task scores at once, and scores
-#: that it holds.
-BLOCK, PAIRS, STEP, TILE = 4096, 500_000, 1024, 1_000_000
+#: Queries and (query, term) pairs that are sent to the tasks at once, scores that a task holds at once, and what it adds
+#: to scores at once.
+BLOCK, PAIRS, TILE, CELLS = 4096, 500_000, 1_000_000, 65_536
+#: Documents and terms of a stored block at most, blocks that are read at once, and what of these goes to Python at once.
+DOCS, DOC_TERMS, READ, SENT_SIZE = 512, 1_000_000, 8, "32m"
 #: Scores are told apart to this many places.
 PLACES = 9
 #: Terms that at least this share of all pairs of a query and a document have in common are multiplied as a matrix.
@@ -68,34 +70,72 @@ class Asked:
         """What terms add to a document's score."""
         return np.maximum(np.rint(self.idf[terms] * impact(tf, dl, avgdl) / self.step), 1) * self.step
 
-    def scores(self, terms: np.ndarray, docs: np.ndarray, parts: np.ndarray, width: int, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def scores(self, terms: np.ndarray, docs: np.ndarray, parts: np.ndarray, width: int, who: np.ndarray) -> tuple[np.ndarray, np.ndarray | Matched]:
         """(scores, matched) of the queries `who` by `width` documents, of which `docs` have `terms`, each once; a score is
-        0 where too few terms of the query are met. Common terms are multiplied, the others are added one by one."""
-        scores, matched = np.zeros((len(who), width)), np.zeros((len(who), width), np.float32)
+        0 where too few terms of the query are met. Common terms are multiplied, the others are added one by one, some
+        documents at a time, so that what is added lies close together."""
+        scores, matched, n = np.zeros((width, len(who))), np.zeros((width, len(who)), np.int32), len(who)
         column = self.column[terms]
         common, rest = np.flatnonzero(column >= 0), np.flatnonzero(column < 0)
+        has = asks = np.zeros((0, 0), np.float32)
         if len(common):
             if self.asks is None:
                 self.asks = np.zeros((len(self.qids), len(self.often)), np.float32)
                 for i, t in enumerate(self.often):
                     self.asks[self.askers[self.bounds[t] : self.bounds[t + 1]], i] = 1
             met, place = np.unique(column[common], return_inverse=True)
-            has, adds = np.zeros((len(met), width), np.float32), np.zeros((len(met), width))
-            has[place, docs[common]], adds[place, docs[common]] = 1, parts[common]
+            has, adds = np.zeros((width, len(met)), np.float32), np.zeros((width, len(met)))
+            has[docs[common], place], adds[docs[common], place] = 1, parts[common]
+            asks = self.asks[np.ix_(who, met)]
             step = max(1, TILE // len(met))
-            for at in range(0, len(who), step):
-                asks = self.asks[np.ix_(who[at : at + step], met)]
-                matched[at : at + step], scores[at : at + step] = asks @ has, asks.astype(float) @ adds
-        row = np.full(len(self.qids), -1)
-        row[who] = np.arange(len(who))
-        for place, q in self.cells(terms[rest]):
-            open_ = row[q] >= 0
-            place, q = rest[place[open_]], row[q[open_]]
-            cell = q * width + docs[place]
-            scores += np.bincount(cell, parts[place], scores.size).reshape(scores.shape)
-            matched += np.bincount(cell, minlength=scores.size).reshape(scores.shape)
-        scores[matched < self.need[who][:, None]] = 0
-        return scores, matched
+            for at in range(0, n, step):
+                scores[:, at : at + step] = adds @ asks[at : at + step].T.astype(float)
+        rest = rest[np.argsort(docs[rest], kind="stable")]
+        t, doc, part = terms[rest], docs[rest], parts[rest]
+        counts = self.bounds[t + 1] - self.bounds[t]
+        ends = np.cumsum(np.bincount(doc, counts, width)).astype(np.int64)
+        row = None
+        if n < len(self.qids):
+            row = np.full(len(self.qids), -1)
+            row[who] = np.arange(n)
+        at = 0
+        while at < width:
+            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CELLS, side="right")))
+            lo, hi = np.searchsorted(doc, (at, upto))
+            k = counts[lo:hi]
+            within = np.arange(k.sum()) + np.repeat(self.bounds[t[lo:hi]] - np.cumsum(k) + k, k)
+            cell, adds = np.repeat((doc[lo:hi] - at) * n, k), np.repeat(part[lo:hi], k)
+            q = self.askers[within]
+            if row is not None:
+                q = row[q]
+                open_ = q >= 0
+                q, cell, adds = q[open_], cell[open_], adds[open_]
+            cell += q
+            scores[at:upto] += np.bincount(cell, adds, (upto - at) * n).reshape(-1, n)
+            matched[at:upto] = np.bincount(cell, minlength=(upto - at) * n).reshape(-1, n)
+            at = upto
+        if (self.need[who] == 1).all():  # what has a score is a hit
+            return scores.T, Matched(matched, has, asks)
+        if len(common):
+            matched += (has @ asks.T).astype(np.int32)
+        scores[matched < self.need[who]] = 0
+        return scores.T, matched.T
+
+
+class Matched:
+    """How many terms a query and a document have in common, counted only for the pairs that are asked for: `rest` by
+    document and query, and the common terms that a document has and that a query asks for."""
+
+    def __init__(self, rest: np.ndarray, has: np.ndarray, asks: np.ndarray):
+        self.rest, self.has, self.asks = rest, has, asks
+
+    def __getitem__(self, at: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        query, doc = at
+        out = self.rest[doc, query].astype(np.int64)
+        step = max(1, TILE // max(1, self.has.shape[1]))
+        for i in range(0, len(out) if self.has.size else 0, step):
+            out[i : i + step] += np.einsum("ij,ij->i", self.has[doc[i : i + step]], self.asks[query[i : i + step]]).astype(np.int64)
+        return out
 
 
 class Kept:
@@ -106,15 +146,15 @@ class Kept:
         self.k, self.least = k, np.zeros(n) if floor is None else floor.copy()
         self.q = self.score = self.fits = self.ids = self.kind = None
 
-    def add(self, ids: pa.Array, scores: np.ndarray, matched: np.ndarray, who: np.ndarray) -> None:
+    def add(self, ids: pa.Array, scores: np.ndarray, matched: np.ndarray | Matched, who: np.ndarray) -> None:
         """scores and matched of the queries `who` (a row each) by documents; 0 is no hit."""
-        slack = 2 * 10.0**-PLACES
-        may = (scores > 0) & (scores >= self.least[who][:, None] - slack)
-        many = np.flatnonzero(may.sum(axis=1) > self.k)
+        slack, by_doc = 2 * 10.0**-PLACES, scores.T
+        may = by_doc >= np.maximum(self.least[who] - slack, np.nextafter(0, 1))
+        many = np.flatnonzero(np.count_nonzero(may, axis=0) > self.k)
         if len(many):
             kth = np.partition(scores[many], -self.k, axis=1)[:, -self.k]
-            may[many] &= scores[many] >= kth[:, None] - slack
-        row, col = np.nonzero(may)
+            may[:, many] &= by_doc[:, many] >= kth - slack
+        col, row = np.nonzero(may)
         if not len(row):
             return
         self.kind = ids.type
@@ -205,15 +245,90 @@ def bm25_joined(docs: DataFrame, queries: DataFrame, k: int, mode: str = "any",
     return top_by(hits.select("qid", "id", "score", "matched"), k, ["qid"], [F.desc(F.round("score", 9)), F.asc("id")])
 
 
+class Stored:
+    """A block of neighbouring documents as one row: the block's different terms once, and for each document the numbers
+    of its terms and their counts, as bytes. Whoever reads it looks up a term once a block instead of once a place."""
+
+    @staticmethod
+    def made(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of documents (id, terms, open); the documents of a row are all open or all not."""
+        for whole in batches:
+            for open_ in (True, False):
+                part = whole.filter(pc.equal(whole.column(2), open_))
+                sizes = pc.list_value_length(part.column(1)).to_numpy(zero_copy_only=False)
+                at = 0
+                while at < part.num_rows:
+                    upto = at + max(1, int(np.searchsorted(np.cumsum(sizes[at : at + DOCS]), DOC_TERMS, side="right")))
+                    yield Stored._row(part.slice(at, upto - at), sizes[at:upto].astype(np.int64), open_)
+                    at = upto
+
+    @staticmethod
+    def _row(docs: pa.RecordBatch, sizes: np.ndarray, open_: bool) -> pa.RecordBatch:
+        words = docs.column(1).flatten().cast(pa.string()).dictionary_encode()
+        terms = words.dictionary
+        code, m = words.indices.to_numpy(zero_copy_only=False).astype(np.int64), max(1, len(terms))
+        cell, tf = np.unique(np.repeat(np.arange(len(sizes)), sizes) * m + code, return_counts=True)
+        doc, code = cell // m, cell % m
+        ends = np.frombuffer(terms.buffers()[1], np.int32)[terms.offset : terms.offset + len(terms) + 1] if len(terms) else np.zeros(1, np.int32)
+        data = (terms.buffers()[2] or b"")[ends[0] : ends[-1]]
+        ids = pa.ListArray.from_arrays(pa.array([0, docs.num_rows], pa.int32()), docs.column(0))
+        kept = {"sizes": np.bincount(doc, minlength=len(sizes)), "code": code, "tf": tf, "ends": ends - ends[0]}
+        columns = {"open": pa.array([open_]), "n": pa.array([len(sizes)], pa.int64()), "total": pa.array([int(sizes.sum())], pa.int64()), "ids": ids}
+        columns |= {name: pa.array([x.astype(np.int32).tobytes()], pa.binary()) for name, x in kept.items()}
+        columns |= {"words": pa.array([bytes(data)], pa.binary()), "df": pa.array([np.bincount(code, minlength=len(terms)).astype(np.int32).tobytes()], pa.binary())}
+        return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    @staticmethod
+    def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(term, n): the documents that have a term, for each block."""
+        for batch in batches:
+            for block in Stored.rows(batch):
+                yield pa.RecordBatch.from_arrays([block.terms(), pa.array(block.df.astype(np.int64))], names=["term", "n"])
+
+    @staticmethod
+    def rows(batch: pa.RecordBatch) -> list[Stored]:
+        return [Stored({name: column[i] for name, column in zip(batch.schema.names, batch.columns, strict=True)}) for i in range(batch.num_rows)]
+
+    @staticmethod
+    def numbered(batch: pa.RecordBatch, words: pa.StringArray) -> Iterator[tuple[Stored, np.ndarray]]:
+        """The blocks of a batch, each with its terms' places in `words`, -1 for others; looked up for the whole batch at once,
+        as each time makes a table of `words`."""
+        blocks = Stored.rows(batch)
+        terms = pa.chunked_array([x.terms() for x in blocks], pa.string())
+        found = pc.index_in(terms, value_set=words).fill_null(-1).to_numpy().astype(np.int64)
+        yield from zip(blocks, np.split(found, np.cumsum([len(x.ends) - 1 for x in blocks])[:-1]), strict=True)
+
+    def __init__(self, row: dict[str, pa.Scalar]):
+        self.ids = row["ids"].values if "ids" in row else None
+        for name in ("sizes", "code", "tf", "ends", "df"):
+            if name in row:
+                setattr(self, name, np.frombuffer(row[name].as_buffer(), np.int32))
+        self.words = row["words"].as_buffer()
+
+    def terms(self) -> pa.StringArray:
+        return pa.StringArray.from_buffers(len(self.ends) - 1, pa.py_buffer(self.ends), self.words)
+
+    def tiles(self, known: np.ndarray, step: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(ids, lengths, terms, docs, tf) of at most `step` documents at a time: their terms that are `known` by a number."""
+        cuts = np.concatenate(([0], np.cumsum(self.sizes)))
+        for at in range(0, len(self.sizes), step):
+            sizes = self.sizes[at : at + step]
+            lo, hi = cuts[at], cuts[at + len(sizes)]
+            doc, tf = np.repeat(np.arange(len(sizes)), sizes), self.tf[lo:hi].astype(np.int64)
+            terms = known[self.code[lo:hi]] if hi > lo else np.empty(0, np.int64)
+            asked = terms >= 0
+            yield self.ids.slice(at, len(sizes)), np.bincount(doc, tf, len(sizes)), terms[asked], doc[asked], tf[asked]
+
+
 def bm25_long(docs: DataFrame, queries: DataFrame, k: int, block: int = BLOCK, pairs: int = PAIRS, percent: int = 0, stop: Sequence[str] = (), among: Column | None = None, analyzer: str = "plain") -> DataFrame:
     """(qid, id, score, matched, rank) as bm25() has it, for queries of any length, such as whole documents.
 
     Queries share terms with nearly every document, so joining them term by term makes rows by the thousand for
     a document. Here queries go out in blocks of a bounded number of terms, with their idf; each task scores its
     documents where they lie against a whole block and keeps k rows a query, so only those are shuffled. Texts are cut
-    into terms once and written, as every block reads them all; what the asked terms weigh is counted once, over these
-    terms alone. The rows of each block are written before the next begins, so that the driver and the tasks hold one
-    block at a time, and of the documents a few megabytes.
+    into terms once and written as blocks of neighbours (Stored), as every block of queries reads them all; how many
+    documents have a term is told by these. The rows of each block of queries are written before the next begins, so that
+    the driver and the tasks hold one at a time, and of the documents a few megabytes.
     """
     spark, folder = docs.sparkSession, fresh_folder(docs.sparkSession, "bm25")
 
@@ -222,14 +337,19 @@ def bm25_long(docs: DataFrame, queries: DataFrame, k: int, block: int = BLOCK, p
         return spark.read.schema(table.schema).parquet(f"{folder}/{name}")
 
     open_ = F.lit(True) if among is None else F.coalesce(among, F.lit(False))
-    own = stored(docs.select("id", corpus_kept(stop, analyzer).alias("terms"), open_.alias("open")).withColumn("dl", F.size("terms")), "documents")
+    kinds = {"qid": queries.schema["qid"].dataType.simpleString(), "id": docs.schema["id"].dataType.simpleString()}
+    cut = docs.select("id", corpus_kept(stop, analyzer).alias("terms"), open_.alias("open"))
     wanted = stored(query_terms(queries, stop, analyzer), "wanted")
-    n, avgdl = own.agg(F.count("*"), F.avg("dl")).first()
-    df = own.select(F.explode(F.array_distinct("terms")).alias("term")).join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    idf = wanted.join(df, "term").select("qid", "term", "n_terms", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    with batches_of(spark, read=READ):
+        own = stored(cut.mapInArrow(Stored.made, f"open boolean, n long, total long, ids array<{kinds['id']}>, sizes binary, code binary, tf binary, ends binary, words binary, df binary"), "documents")
+        n, total = own.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
+        avgdl = total / n if n else 0.0
+        df = own.select("ends", "words", "df").mapInArrow(Stored.counted, "term string, n long").groupBy("term").agg(F.sum("n").alias("df"))
+        weighed = wanted.select("term").distinct().join(df, "term").select("term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+        weighed = stored(weighed, "weighed")
+    idf = wanted.join(weighed, "term").select("qid", "term", "n_terms", "idf")
     sizes = wanted.agg(F.count("*").alias("pairs"), F.count_distinct("qid").alias("queries")).first()
     parts = max(sizes.pairs // pairs, sizes.queries // block) + 1
-    kinds = {"qid": queries.schema["qid"].dataType.simpleString(), "id": docs.schema["id"].dataType.simpleString()}
     result = None
     if parts > 1:
         idf = stored(idf.withColumn("part", F.pmod(F.xxhash64("qid"), F.lit(parts)).cast("int")), "idf", "part")
@@ -242,24 +362,19 @@ def bm25_long(docs: DataFrame, queries: DataFrame, k: int, block: int = BLOCK, p
         def nearest(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             asked, words = sent.value
             best, everyone = Kept(len(asked.qids), k), np.arange(len(asked.qids))
-            step = max(1, min(STEP, TILE // len(everyone)))
-            for whole in batches:
-                for at in range(0, whole.num_rows, step):
-                    b = whole.slice(at, step)
-                    dl = b.column(2).to_numpy(zero_copy_only=False)
-                    term = pc.index_in(b.column(1).flatten(), value_set=words).fill_null(-1).to_numpy(zero_copy_only=False)
-                    doc = np.repeat(np.arange(b.num_rows), dl)[term >= 0]
-                    cell, tf = np.unique(term[term >= 0].astype(np.int64) * step + doc, return_counts=True)
-                    term, doc = cell // step, cell % step
-                    best.add(b.column(0), *asked.scores(term, doc, asked.part(term, tf, dl[doc], avgdl), b.num_rows, everyone), everyone)
+            step = max(1, TILE // len(everyone))
+            for batch in batches:
+                for block, known in Stored.numbered(batch, words) if batch.num_rows else ():
+                    for ids, dl, terms, of, tf in block.tiles(known, step):
+                        best.add(ids, *asked.scores(terms, of, asked.part(terms, tf, dl[of], avgdl), len(ids), everyone), everyone)
             yield from best.rows(asked.qids)
 
-        found = own.where("open").select("id", "terms", "dl").mapInArrow(nearest, f"qid {kinds['qid']}, id {kinds['id']}, score double, matched long")
-        with batches_of(spark):
+        found = own.where("open").select("ids", "sizes", "code", "tf", "ends", "words").mapInArrow(nearest, f"qid {kinds['qid']}, id {kinds['id']}, score double, matched long")
+        with batches_of(spark, size=SENT_SIZE, read=READ):
             found = stored(top_by(found, k, ["qid"], [F.desc(F.round("score", PLACES)), F.asc("id")]), f"found-{i}")
         sent.unpersist()
         result = found if result is None else result.unionByName(found)
-    for name in ("documents", "wanted", "idf"):
+    for name in ("documents", "wanted", "weighed", "idf"):
         dropped(spark, f"{folder}/{name}")
     return empty(spark, f"qid {kinds['qid']}, id {kinds['id']}, score double, matched long, rank int") if result is None else result
 
