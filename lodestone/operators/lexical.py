@@ -77,19 +77,17 @@ class Asked:
         scores, matched, n = np.zeros((width, len(who))), np.zeros((width, len(who)), np.int32), len(who)
         column = self.column[terms]
         common, rest = np.flatnonzero(column >= 0), np.flatnonzero(column < 0)
-        has = asks = np.zeros((0, 0), np.float32)
+        has = asks = np.zeros((0, 0))
         if len(common):
             if self.asks is None:
-                self.asks = np.zeros((len(self.qids), len(self.often)), np.float32)
+                self.asks = np.zeros((len(self.qids), len(self.often)))
                 for i, t in enumerate(self.often):
                     self.asks[self.askers[self.bounds[t] : self.bounds[t + 1]], i] = 1
             met, place = np.unique(column[common], return_inverse=True)
             has, adds = np.zeros((width, len(met)), np.float32), np.zeros((width, len(met)))
             has[docs[common], place], adds[docs[common], place] = 1, parts[common]
-            asks = self.asks[np.ix_(who, met)]
-            step = max(1, TILE // len(met))
-            for at in range(0, n, step):
-                scores[:, at : at + step] = adds @ asks[at : at + step].T.astype(float)
+            asks = self.asks if len(met) == len(self.often) and n == len(self.qids) else self.asks[np.ix_(who, met)]
+            np.matmul(adds, asks.T, out=scores)
         rest = rest[np.argsort(docs[rest], kind="stable")]
         t, doc, part = terms[rest], docs[rest], parts[rest]
         counts = self.bounds[t + 1] - self.bounds[t]
@@ -103,7 +101,8 @@ class Asked:
             upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CELLS, side="right")))
             lo, hi = np.searchsorted(doc, (at, upto))
             k = counts[lo:hi]
-            within = np.arange(k.sum()) + np.repeat(self.bounds[t[lo:hi]] - np.cumsum(k) + k, k)
+            within = np.repeat(self.bounds[t[lo:hi]] - np.cumsum(k) + k, k)
+            within += np.arange(len(within))
             cell, adds = np.repeat((doc[lo:hi] - at) * n, k), np.repeat(part[lo:hi], k)
             q = self.askers[within]
             if row is not None:
@@ -117,7 +116,7 @@ class Asked:
         if (self.need[who] == 1).all():  # what has a score is a hit
             return scores.T, Matched(matched, has, asks)
         if len(common):
-            matched += (has @ asks.T).astype(np.int32)
+            matched += (has @ asks.T.astype(np.float32)).astype(np.int32)
         scores[matched < self.need[who]] = 0
         return scores.T, matched.T
 
@@ -134,7 +133,7 @@ class Matched:
         out = self.rest[doc, query].astype(np.int64)
         step = max(1, TILE // max(1, self.has.shape[1]))
         for i in range(0, len(out) if self.has.size else 0, step):
-            out[i : i + step] += np.einsum("ij,ij->i", self.has[doc[i : i + step]], self.asks[query[i : i + step]]).astype(np.int64)
+            out[i : i + step] += (self.has[doc[i : i + step]] * self.asks[query[i : i + step]]).sum(axis=1).astype(np.int64)
         return out
 
 
@@ -145,6 +144,8 @@ class Kept:
     def __init__(self, n: int, k: int, floor: np.ndarray | None = None):
         self.k, self.least = k, np.zeros(n) if floor is None else floor.copy()
         self.q = self.score = self.fits = self.ids = self.kind = None
+        self.new: list[list[np.ndarray]] = []  # what came since they were last put in order
+        self.most = max(1, n * k // 2)
 
     def add(self, ids: pa.Array, scores: np.ndarray, matched: np.ndarray | Matched, who: np.ndarray) -> None:
         """scores and matched of the queries `who` (a row each) by documents; 0 is no hit."""
@@ -160,10 +161,16 @@ class Kept:
         self.kind = ids.type
         # numbers with nulls would become floats
         own = np.array(ids.to_pylist(), dtype=object) if ids.null_count else ids.to_numpy(zero_copy_only=False)
-        new = [who[row], scores[row, col], matched[row, col].astype(np.int64), own[col]]
-        if self.q is not None:
-            new = [np.concatenate([a, b]) for a, b in zip((self.q, self.score, self.fits, self.ids), new, strict=True)]
-        q, score, fits, ids = new
+        self.new.append([who[row], scores[row, col], matched[row, col].astype(np.int64), own[col]])
+        if sum(len(x[0]) for x in self.new) >= self.most:
+            self._merge()
+
+    def _merge(self) -> None:
+        if not self.new:
+            return
+        held = [] if self.q is None else [[self.q, self.score, self.fits, self.ids]]
+        q, score, fits, ids = (np.concatenate(x) for x in zip(*held, *self.new, strict=True))
+        self.new = []
         order = np.lexsort((ranks(ids), -np.round(score, PLACES), q))
         order = order[np.arange(len(q)) - np.searchsorted(q[order], q[order]) < self.k]
         self.q, self.score, self.fits, self.ids = q[order], score[order], fits[order], ids[order]
@@ -172,6 +179,7 @@ class Kept:
 
     def rows(self, qids: np.ndarray) -> Iterator[pa.RecordBatch]:
         """(qid, id, score, matched) of what was kept."""
+        self._merge()
         if self.q is not None:
             yield pa.RecordBatch.from_arrays([pa.array(qids[self.q]), pa.array(self.ids, self.kind), pa.array(self.score), pa.array(self.fits)], names=["qid", "id", "score", "matched"])
 
