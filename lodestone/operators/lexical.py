@@ -18,8 +18,8 @@ K1, B = 1.2, 0.75
 #: Queries and (query, term) pairs that are sent to the tasks at once, scores that a task holds at once, and what it adds
 #: to scores at once.
 BLOCK, PAIRS, TILE, CELLS = 4096, 500_000, 1_000_000, 65_536
-#: Documents and terms of a stored block at most, blocks that are read at once, and what of these goes to Python at once.
-DOCS, DOC_TERMS, READ, SENT_SIZE = 512, 1_000_000, 8, "32m"
+#: Documents and terms of a stored block at most, and blocks that are read at once.
+DOCS, DOC_TERMS, READ = 512, 1_000_000, 8
 #: Scores are told apart to this many places.
 PLACES = 9
 #: Terms that at least this share of all pairs of a query and a document have in common are multiplied as a matrix.
@@ -280,10 +280,10 @@ class Stored:
         ends = np.frombuffer(terms.buffers()[1], np.int32)[terms.offset : terms.offset + len(terms) + 1] if len(terms) else np.zeros(1, np.int32)
         data = (terms.buffers()[2] or b"")[ends[0] : ends[-1]]
         ids = pa.ListArray.from_arrays(pa.array([0, docs.num_rows], pa.int32()), docs.column(0))
-        kept = {"sizes": np.bincount(doc, minlength=len(sizes)), "code": code, "tf": tf, "ends": ends - ends[0]}
+        kept = {"sizes": np.bincount(doc, minlength=len(sizes)), "code": code, "tf": tf, "df": np.bincount(code, minlength=len(terms))}
         columns = {"open": pa.array([open_]), "n": pa.array([len(sizes)], pa.int64()), "total": pa.array([int(sizes.sum())], pa.int64()), "ids": ids}
-        columns |= {name: pa.array([x.astype(np.int32).tobytes()], pa.binary()) for name, x in kept.items()}
-        columns |= {"words": pa.array([bytes(data)], pa.binary()), "df": pa.array([np.bincount(code, minlength=len(terms)).astype(np.int32).tobytes()], pa.binary())}
+        columns |= {name: pa.array([x.astype(np.min_scalar_type(int(x.max(initial=0)))).tobytes()], pa.binary()) for name, x in kept.items()}
+        columns |= {"ends": pa.array([(ends - ends[0]).astype(np.int32).tobytes()], pa.binary()), "words": pa.array([bytes(data)], pa.binary())}
         return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     @staticmethod
@@ -307,11 +307,18 @@ class Stored:
         yield from zip(blocks, np.split(found, np.cumsum([len(x.ends) - 1 for x in blocks])[:-1]), strict=True)
 
     def __init__(self, row: dict[str, pa.Scalar]):
-        self.ids = row["ids"].values if "ids" in row else None
-        for name in ("sizes", "code", "tf", "ends", "df"):
-            if name in row:
-                setattr(self, name, np.frombuffer(row[name].as_buffer(), np.int32))
-        self.words = row["words"].as_buffer()
+        self.words, self.ends = row["words"].as_buffer(), np.frombuffer(row["ends"].as_buffer(), np.int32)
+
+        def numbers(name: str, count: int) -> np.ndarray:  # of the fewest bytes that hold them all
+            kept = row[name].as_buffer()
+            return np.frombuffer(kept, f"u{kept.size // count}") if count else np.empty(0, np.uint8)
+
+        if "df" in row:
+            self.df = numbers("df", len(self.ends) - 1)
+        if "ids" in row:
+            self.ids = row["ids"].values
+            self.sizes = numbers("sizes", len(self.ids)).astype(np.int64)
+            self.code, self.tf = (numbers(name, int(self.sizes.sum())) for name in ("code", "tf"))
 
     def terms(self) -> pa.StringArray:
         return pa.StringArray.from_buffers(len(self.ends) - 1, pa.py_buffer(self.ends), self.words)
@@ -349,7 +356,7 @@ def bm25_long(docs: DataFrame, queries: DataFrame, k: int, block: int = BLOCK, p
     cut = docs.select("id", corpus_kept(stop, analyzer).alias("terms"), open_.alias("open"))
     wanted = stored(query_terms(queries, stop, analyzer), "wanted")
     with batches_of(spark, read=READ):
-        own = stored(cut.mapInArrow(Stored.made, f"open boolean, n long, total long, ids array<{kinds['id']}>, sizes binary, code binary, tf binary, ends binary, words binary, df binary"), "documents")
+        own = stored(cut.mapInArrow(Stored.made, f"open boolean, n long, total long, ids array<{kinds['id']}>, sizes binary, code binary, tf binary, df binary, ends binary, words binary"), "documents")
         n, total = own.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
         avgdl = total / n if n else 0.0
         df = own.select("ends", "words", "df").mapInArrow(Stored.counted, "term string, n long").groupBy("term").agg(F.sum("n").alias("df"))
@@ -378,7 +385,7 @@ def bm25_long(docs: DataFrame, queries: DataFrame, k: int, block: int = BLOCK, p
             yield from best.rows(asked.qids)
 
         found = own.where("open").select("ids", "sizes", "code", "tf", "ends", "words").mapInArrow(nearest, f"qid {kinds['qid']}, id {kinds['id']}, score double, matched long")
-        with batches_of(spark, size=SENT_SIZE, read=READ):
+        with batches_of(spark, read=READ):
             found = stored(top_by(found, k, ["qid"], [F.desc(F.round("score", PLACES)), F.asc("id")]), f"found-{i}")
         sent.unpersist()
         result = found if result is None else result.unionByName(found)
